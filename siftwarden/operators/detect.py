@@ -430,6 +430,13 @@ def scan(
     )
 
 
+# JSON types by the names a violation reports them under.
+_TYPE_NAMES = {
+    "integer": "int", "bigint": "int", "number": "float", "double": "float",
+    "array": "list", "object": "dict", "boolean": "bool",
+}
+
+
 def scan_message_schema(messages: DataFrame, salt: str) -> DataFrame:
     """Messages with an unknown role or with content that is not text.
 
@@ -440,12 +447,17 @@ def scan_message_schema(messages: DataFrame, salt: str) -> DataFrame:
         F.coalesce(~F.col("role").isin(*d.ROLES), F.lit(True)),
         F.struct(
             F.lit("invalid_role_v1").alias("pattern_id"),
-            F.concat(F.lit("invalid role: "), F.coalesce("role", F.lit("None"))).alias("detail"),
+            F.concat(
+                F.lit("invalid role: "),
+                F.coalesce(F.concat(F.lit("'"), F.col("role"), F.lit("'")), F.lit("None")),
+            ).alias("detail"),
         ),
     )
     checks = [roles]
     if "content_type" in messages.columns:
+        names = F.create_map(*[F.lit(x) for pair in _TYPE_NAMES.items() for x in pair])
         kind = F.lower("content_type")
+        kind = F.coalesce(F.element_at(names, kind), kind)
         checks.append(
             F.when(
                 ~kind.isin("string", "null", "void"),
