@@ -10,7 +10,7 @@ from siftwarden.operators import detect, leak, tools
 from siftwarden.operators import messages as ms
 from siftwarden.plans import inputs as src
 from siftwarden.plans.registry import query
-from siftwarden.plans.scalars import _COMMANDS, _STATEMENT, _COMMAND_CASE, _SQL_OF_STATUS
+from siftwarden.plans.scalars import _COMMAND_CASE, _COMMANDS
 from siftwarden.sources.readers import table
 
 # Conversations with a phrase in front of each message, so that every pattern
@@ -318,18 +318,26 @@ def scan_tool_amount(spark, sf):
     return found.where(F.col("category") == "SENSITIVE_ACTION").select("txn_id", "tool", "score")
 
 
+_SQL_CALLS = {
+    "F": "delete from t_{}", "O": "  drop TABLE t_{}", "P": "-- tidy up\nDROP TABLE t_{} where",
+}
+_SQL_CALL_CASE = " ".join(
+    f"WHEN '{k}' THEN replace({src.quote(v)}, '{{}}', o_orderkey::VARCHAR)" for k, v in _SQL_CALLS.items()
+)
+
+
 @query(
     "scan_tool_sql",
-    f"""WITH q AS (SELECT o_orderkey, CASE o_orderstatus {_SQL_OF_STATUS} END AS sql FROM orders)
+    f"""WITH q AS (SELECT o_orderkey, upper(CASE o_orderstatus {_SQL_CALL_CASE} END) AS u FROM orders)
     SELECT o_orderkey AS txn_id FROM q
-    WHERE string_split_regex(upper(trim(sql, ' \\n')), '\\s+')[1] IN ('DROP', 'TRUNCATE', 'ALTER')
-       OR ((upper(sql) LIKE 'DELETE%' OR upper(sql) LIKE 'UPDATE%') AND NOT contains(upper(sql), 'WHERE'))""",
+    WHERE string_split_regex(trim(u, ' ' || chr(10)), '\\s+')[1] IN ('DROP', 'TRUNCATE', 'ALTER')
+       OR ((u LIKE 'DELETE%' OR u LIKE 'UPDATE%') AND NOT contains(u, 'WHERE'))""",
 )
 def scan_tool_sql(spark, sf):
     key = F.col("o_orderkey").cast("string")
     sql = F
-    for status, (a, b) in _STATEMENT.items():
-        sql = sql.when(F.col("o_orderstatus") == status, F.replace(F.lit(a + b), F.lit("{}"), key))
+    for status, statement in _SQL_CALLS.items():
+        sql = sql.when(F.col("o_orderstatus") == status, F.replace(F.lit(statement), F.lit("{}"), key))
     rows = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("txn_id"), F.lit("run_sql").alias("tool"),
         F.to_json(F.struct(sql.alias("query"))).alias("args"),

@@ -145,7 +145,7 @@ _SQL_OF_STATUS = " ".join(
     "sql_statement_class",
     f"""WITH q AS (SELECT o_orderkey, CASE o_orderstatus {_SQL_OF_STATUS} END AS sql FROM orders),
     s AS (SELECT o_orderkey, upper(trim(regexp_replace(regexp_replace(sql, '--[^\\n]*', ' ', 'g'),
-            '(?s)/\\*.*?\\*/', ' ', 'g'), ' \\n')) AS u FROM q)
+            '(?s)/\\*.*?\\*/', ' ', 'g'), ' ' || chr(10))) AS u FROM q)
     SELECT o_orderkey AS txn_id, string_split_regex(u, '\\s+')[1] AS verb,
       (u LIKE 'DELETE%' OR u LIKE 'UPDATE%') AND NOT contains(u, 'WHERE') AS unbounded FROM s""",
 )
