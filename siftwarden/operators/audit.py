@@ -39,30 +39,37 @@ def decision_payload() -> Column:
     )
 
 
-def build_chain(events: DataFrame, stream: str = "stream_id", order: str = "event_id") -> DataFrame:
+def build_chain(
+    events: DataFrame, stream: str = "stream_id", order: str = "event_id", seeds: DataFrame | None = None
+) -> DataFrame:
     """Chain the events of each stream: adds prev_hash and event_hash.
 
     Each hash needs the one before it, so a stream is inherently sequential. It
     is read once in order and only the last hash is held, never the stream.
+    ``seeds`` (stream, seed) holds the last hash of streams that go on.
     """
+    if seeds is not None:
+        events = events.join(seeds, stream, "left")
+    else:
+        events = events.withColumn("seed", F.lit(None).cast("string"))
     parts = events.repartition(stream).sortWithinPartitions(stream, order)
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = None, GENESIS
         for batch in batches:
             before, after = [], []
-            for key, payload in zip(batch[stream], batch["payload"], strict=True):
+            rows = zip(batch[stream], batch["payload"], batch["seed"], strict=True)
+            for key, payload, seed in rows:
                 if key != current:
-                    current, last = key, GENESIS
+                    current, last = key, seed or GENESIS
                 before.append(last)
                 last = "sha256:" + sha256((last + payload).encode()).hexdigest()
                 after.append(last)
-            yield batch.assign(prev_hash=before, event_hash=after)
+            yield batch.drop(columns="seed").assign(prev_hash=before, event_hash=after)
 
-    schema = T.StructType(
-        [*parts.schema.fields, *(T.StructField(n, T.StringType()) for n in ("prev_hash", "event_hash"))]
-    )
-    return parts.mapInPandas(chain, schema)
+    kept = [f for f in parts.schema.fields if f.name != "seed"]
+    added = [T.StructField(n, T.StringType()) for n in ("prev_hash", "event_hash")]
+    return parts.mapInPandas(chain, T.StructType(kept + added))
 
 
 def broken_links(

@@ -128,7 +128,7 @@ def agg_detector_versions(spark, sf):
     named = F.struct("detector_id", F.lit("1.0.0").alias("version"))
     return src.findings(spark, sf).groupBy("txn_id").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_set(named)), lambda x: F.concat(x[0], F.lit("="), x[1])), ","
+            F.transform(F.array_sort(F.collect_set(named)), lambda x: F.concat(x["detector_id"], F.lit("="), x["version"])), ","
         ).alias("detectors")
     )
 
@@ -382,7 +382,7 @@ def win_merge_spans(spark, sf):
     start = (F.col("l_orderkey") * 7).cast("bigint")
     rows = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("doc_id"),
-        (F.col("l_linenumber") * 1_000_000_000 + F.col("l_partkey")).alias("pos"), start.alias("start"),
+        (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey")).alias("pos"), start.alias("start"),
         (start + F.col("l_quantity")).cast("bigint").alias("end"),
         src.case_col("l_returnflag", _SPAN_LABELS).alias("label"),
     )

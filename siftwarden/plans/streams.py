@@ -1 +1,111 @@
-"""Pending."""
+"""Streaming queries: a streaming read of the tables, run until it has caught up."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftwarden.plans import inputs as src
+from siftwarden.plans.aggregates import _CHAIN_SQL, _LIMIT, _WINDOW
+from siftwarden.plans.approvals import _REPLAY_SQL
+from siftwarden.plans.registry import ORACLES, query
+from siftwarden.plans.sources import scratch
+from siftwarden.sources import readers
+from siftwarden.streaming import jobs
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def feed(spark, sf: str, name: str, schema: str) -> DataFrame:
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def request_feed(spark, sf) -> DataFrame:
+    return feed(spark, sf, "events", readers.REQUEST_SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def caught_up(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream into a table until its input is used up, and read the table."""
+    spark = stream.sparkSession
+    path = scratch(spark, name)
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out")
+    jobs.start(writer, f"{path}/checkpoint", True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("source_request_stream", "SELECT event_id, user_id, event_type, epoch_us(ts) AS us FROM events")
+def source_request_stream(spark, sf):
+    rows = request_feed(spark, sf).select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("us"))
+    return caught_up(rows, "requests")
+
+
+@query("stream_scan_decide")
+def stream_scan_decide(spark, sf):
+    path = scratch(spark, "scan-decide")
+    turns = feed(spark, sf, "conversations", "conv_id bigint, turn bigint, role string, text string")
+    jobs.scan_and_decide(turns, src.POLICY, src.SALT, path, f"{path}/checkpoint").awaitTermination()
+    done = spark.read.parquet(f"{path}/decisions")
+    return done.select("txn_id", "verdict", "transformation", "risk_level", "payload_bytes")
+
+
+@query("stream_rate_limit", ORACLES["win_rate_limit"])
+def stream_rate_limit(spark, sf):
+    path = scratch(spark, "rate-limit")
+    jobs.rate_limit(request_feed(spark, sf), path, f"{path}/checkpoint", _LIMIT, _WINDOW).awaitTermination()
+    return spark.read.parquet(f"{path}/requests").drop("ts", "batch_id")
+
+
+@query(
+    "stream_window_sweep",
+    f"""WITH w AS (SELECT user_id AS identity, (epoch_us(ts) // {_WINDOW * 1000000}) * {_WINDOW} AS window_start, count(*) AS request_count
+      FROM events GROUP BY ALL)
+    SELECT * FROM w WHERE window_start + {_WINDOW} <= (SELECT floor(epoch_ms(max(ts)) / 1000) FROM events) - {2 * _WINDOW}""",
+)
+def stream_window_sweep(spark, sf):
+    return caught_up(jobs.window_counts(request_feed(spark, sf), _WINDOW), "sweep")
+
+
+@query(
+    "stream_idempotency",
+    "SELECT DISTINCT user_id || '-' || event_type || '-' || strftime(ts, '%Y%m%d') AS idempotency_key FROM events",
+)
+def stream_idempotency(spark, sf):
+    key = F.concat_ws("-", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyyMMdd"))
+    keyed = request_feed(spark, sf).withColumn("idempotency_key", key)
+    return caught_up(jobs.first_per_key(keyed, "idempotency_key").select("idempotency_key", "ts"), "keys").drop("ts")
+
+
+@query(
+    "stream_metrics",
+    """WITH w AS (SELECT date_trunc('hour', ts) AS s, event_type, count(*) AS n FROM events GROUP BY ALL)
+    SELECT epoch_us(s) // 1000000 AS start_s, event_type, n FROM w
+    WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
+def stream_metrics(spark, sf):
+    out = caught_up(jobs.metrics(request_feed(spark, sf)), "metrics")
+    return out.select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
+
+
+@query("stream_approvals", f"WITH {_REPLAY_SQL} SELECT approval_id, state, n_events FROM folded")
+def stream_approvals(spark, sf):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = request_feed(spark, sf).select(
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("approval_id"),
+        "ts", F.col("event_id").alias("seq"), src.case_col("event_type", src.STATE_OF_EVENT).alias("to_state"),
+        F.lit(None).cast("timestamp").alias("expires_at"),
+    )
+    changes = caught_up(jobs.approvals(rows), "approvals")
+    return changes.groupBy("approval_id").agg(
+        F.max_by("state", F.struct("ts", "seq")).alias("state"), F.count("*").alias("n_events")
+    )
+
+
+@query("stream_audit_chain", f"{_CHAIN_SQL} SELECT user_id AS stream_id, event_id, prev_hash, event_hash FROM c")
+def stream_audit_chain(spark, sf):
+    path = scratch(spark, "chain")
+    rows = request_feed(spark, sf).select(
+        F.col("user_id").alias("stream_id"), "event_id",
+        F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit("}")).alias("payload"),
+    )
+    jobs.audit_chain(rows, path, f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/events").select("stream_id", "event_id", "prev_hash", "event_hash")

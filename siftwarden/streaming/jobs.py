@@ -19,7 +19,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from siftwarden import domains as d
 from siftwarden.operators import decide, detect, limits, messages
-from siftwarden.operators.audit import GENESIS
+from siftwarden.operators.audit import build_chain
 from siftwarden.operators.policy import Policy
 from siftwarden.sources.sinks import write_batch
 
@@ -180,6 +180,8 @@ class ApprovalMachine(StatefulProcessor):
     the state alone. Rows are taken one at a time; only the state is held.
     """
 
+    COLUMNS = ["approval_id", "ts", "seq", "from_state", "asked", "state"]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "state string, expires_ms bigint, rejected bigint")
@@ -197,9 +199,9 @@ class ApprovalMachine(StatefulProcessor):
                     current = row.to_state
                 else:
                     rejected += 1
-                out.append((key[0], row.ts, source, row.to_state, current))
+                out.append((key[0], row.ts, row.seq, source, row.to_state, current))
         self.state.update((current, expires, rejected))
-        yield pd.DataFrame(out, columns=["approval_id", "ts", "from_state", "asked", "state"])
+        yield pd.DataFrame(out, columns=self.COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         current, expires, rejected = self.state.get()
@@ -207,8 +209,8 @@ class ApprovalMachine(StatefulProcessor):
         if (current, "EXPIRED") in d.APPROVAL_EDGES:
             self.state.update(("EXPIRED", expires, rejected))
             yield pd.DataFrame(
-                [(key[0], at, current, "EXPIRED", "EXPIRED")],
-                columns=["approval_id", "ts", "from_state", "asked", "state"],
+                [(key[0], at, None, current, "EXPIRED", "EXPIRED")],
+                columns=self.COLUMNS,
             )
 
     def close(self) -> None:
@@ -219,7 +221,7 @@ def approvals(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Live state changes of approvals from their event stream."""
     key_type = dict(events.dtypes)["approval_id"]
     schema = T.StructType.fromDDL(
-        f"approval_id {key_type}, ts timestamp, from_state string, asked string, state string"
+        f"approval_id {key_type}, ts timestamp, seq bigint, from_state string, asked string, state string"
     )
     return (
         events.withWatermark("ts", delay)
@@ -233,43 +235,26 @@ def approvals(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 # --- live audit chain -----------------------------------------------------------------
 
 
-class ChainLink(StatefulProcessor):
-    """The running hash of an audit stream; only the last hash is held."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "event_hash string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        from hashlib import sha256
-
-        last = self.last.get()[0] if self.last.exists() else GENESIS
-        for batch in rows:
-            out = []
-            for row in batch.sort_values("event_id").itertuples():
-                digest = "sha256:" + sha256((last + row.payload).encode()).hexdigest()
-                out.append((key[0], row.event_id, row.payload, last, digest))
-                last = digest
-            yield pd.DataFrame(
-                out, columns=["stream_id", "event_id", "payload", "prev_hash", "event_hash"]
-            )
-        self.last.update((last,))
-
-    def close(self) -> None:
-        pass
+def audit_chain(events: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Chain a stream of audit events (stream_id, event_id, payload).
 
-
-def audit_chain(events: DataFrame) -> DataFrame:
-    """Chain a stream of audit events (stream_id, event_id, payload)."""
+    The last hash of every stream is a table per batch; a batch goes on from the
+    one before it.
+    """
     key_type = dict(events.dtypes)["stream_id"]
-    schema = T.StructType.fromDDL(
-        f"stream_id {key_type}, event_id bigint, payload string, prev_hash string, event_hash string"
-    )
-    return events.groupBy("stream_id").transformWithStateInPandas(
-        ChainLink(), outputStructType=schema, outputMode="append", timeMode="None"
-    )
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = f"stream_id {key_type}, seed string"
+        before = (
+            spark.read.schema(schema).parquet(f"{out}/last/batch_id={batch_id - 1}")
+            if batch_id > 0
+            else spark.createDataFrame([], schema)
+        )
+        write_batch(build_chain(batch, seeds=before), f"{out}/events", batch_id)
+        chained = spark.read.parquet(f"{out}/events/batch_id={batch_id}")
+        newest = chained.groupBy("stream_id").agg(F.max_by("event_hash", "event_id").alias("newest"))
+        merged = before.join(newest, "stream_id", "full_outer")
+        write_batch(merged.select("stream_id", F.coalesce("newest", "seed").alias("seed")), f"{out}/last", batch_id)
 
-__all__ = [
-    "approvals", "audit_chain", "first_per_key", "for_each_batch", "late_rows", "metrics",
-    "rate_limit", "scan_and_decide", "start", "window_counts",
-]
+    return for_each_batch(events, handle, checkpoint, once)
