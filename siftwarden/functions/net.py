@@ -18,7 +18,7 @@ _IPV6 = r"^(?=.*:)(?!.*:::)(?!.*::.*::)(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}$"
 
 def url_spans(text: str) -> Column:
     """All http(s) URLs in a text column."""
-    return spans(text, URL, f"{text} ILIKE '%http%'")
+    return spans(text, URL, f"{text} RLIKE '(?i)https?://'")
 
 
 def url_host(url: Column) -> Column:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from siftwarden import domains as d
 from siftwarden.functions.regex import java_pattern
 
-_SPACE_RUN = r"[\p{IsWhite_Space}\x1c-\x1f]+"
+_SPACES = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# White-space runs other than a lone blank: those are right as they are.
+_SPACE_RUN = f" [ {_SPACES}]+|[{_SPACES}][ {_SPACES}]*"
 _EDGE_SPACE = r"^ | $"
 _STRIPPED = d.ZERO_WIDTH + d.BIDI_CONTROLS + d.VARIATION_SELECTORS
 # translate() drops the characters that have no counterpart.
@@ -41,7 +43,9 @@ def _unsettled_class() -> str:
                 runs[-1][1] = code
             else:
                 runs.append([code, code])
-    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+    settled = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs if b > 0x7F)
+    # ASCII is ruled out first, so it never walks through the ranges.
+    return rf"[\x{{80}}-\x{{10ffff}}&&[^{settled}]]"
 
 
 @functools.cache
@@ -83,15 +87,21 @@ def _form_udf(form: str):
     return F.arrow_udf(apply, "string")
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility composition. Only texts that need it travel to Python."""
-    unsettled = F.when(text.rlike(_unsettled_class()), text)
+    unsettled = F.when(~is_ascii(text) & text.rlike(_unsettled_class()), text)
     return F.coalesce(_form_udf("NFKC")(unsettled), text)
 
 
 def fold_and_squeeze(text: Column) -> Column:
     """Drop invisible characters, fold look-alikes, squeeze white space."""
-    folded = F.translate(text, _TRANSLATE_FROM, _TRANSLATE_TO)
+    folded = F.when(is_ascii(text), text).otherwise(
+        F.translate(text, _TRANSLATE_FROM, _TRANSLATE_TO)
+    )
     return F.regexp_replace(F.regexp_replace(folded, _SPACE_RUN, " "), _EDGE_SPACE, "")
 
 
@@ -102,7 +112,7 @@ def normalize(text: Column) -> Column:
 
 def fold_diacritics(text: Column) -> Column:
     """Lower-cased text without diacritics (compatibility decomposition)."""
-    unsettled = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    unsettled = F.when(~is_ascii(text), text)
     plain = F.regexp_replace(_form_udf("NFKD")(unsettled), _combining_class(), "")
     return F.lower(F.coalesce(plain, text))
 

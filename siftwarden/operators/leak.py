@@ -26,18 +26,23 @@ WINDOW = 4  # runs per selection window
 LONG = GRAM + WINDOW - 1  # inner tokens that guarantee a shared selected run
 
 
-def _grams(tokens: str, size: int | str) -> str:
+def _run_hash(tokens: str, first: str, size: int) -> str:
+    """SQL: the hash of ``size`` tokens from position ``first``."""
+    return "xxhash64(" + ", ".join(f"{tokens}[{first} + {k}]" for k in range(size)) + ")"
+
+
+def _grams(tokens: str, size: int) -> str:
     """SQL: hashes of all runs of ``size`` tokens, null where there are too few."""
     return f"""CASE WHEN size({tokens}) >= {size} THEN
-      transform(sequence(0, size({tokens}) - {size}), i -> xxhash64(array_join(slice({tokens}, i + 1, {size}), ' ')))
+      transform(sequence(0, size({tokens}) - {size}), i -> {_run_hash(tokens, 'i', size)})
     END"""
 
 
 def _selected(hashes: str) -> str:
     """SQL: the smallest hash of every window of ``WINDOW`` runs, each once."""
+    window = ", ".join(f"{hashes}[i + {k}]" for k in range(WINDOW))
     return f"""CASE WHEN size({hashes}) >= {WINDOW} THEN
-      array_distinct(transform(sequence(1, size({hashes}) - {WINDOW - 1}),
-                               i -> array_min(slice({hashes}, i, {WINDOW}))))
+      array_distinct(transform(sequence(0, size({hashes}) - {WINDOW}), i -> least({window})))
     END"""
 
 
@@ -56,9 +61,9 @@ def protected_keys(protected: DataFrame) -> DataFrame:
     keyed = inner.withColumn("kind", F.least(F.size("_inner"), F.lit(LONG))).withColumn(
         "key",
         F.expr(
-            f"""CASE WHEN kind = 0 THEN xxhash64(canary)
-                WHEN kind < {LONG} THEN xxhash64(array_join(_inner, ' '))
-                ELSE array_min({_grams('_inner', GRAM)}) END"""
+            "CASE kind WHEN 0 THEN xxhash64(canary) "
+            + " ".join(f"WHEN {k} THEN {_run_hash('_inner', '0', k)}" for k in range(1, LONG))
+            + f" ELSE array_min({_grams('_inner', GRAM)}) END"
         ),
     )
     return keyed.select("canary_id", "canary", "kind", "key", F.length("canary").alias("width"))
@@ -99,15 +104,16 @@ def canary_hits(texts: DataFrame, protected: DataFrame) -> DataFrame:
     if not kinds:
         kinds = [LONG]
     tokens = texts.withColumn("_tokens", F.split("text", " "))
-    prepared = tokens.select(
-        "txn_id", "turn", "vidx", "_tokens",
-        F.expr(_grams("_tokens", GRAM)).alias("_runs"),
-        F.expr(
+    derived = {}
+    if LONG in kinds:
+        derived["_runs"] = F.expr(_grams("_tokens", GRAM))
+    if 0 in kinds:
+        derived["_pairs"] = F.expr(
             """transform(sequence(0, size(_tokens) - 1), i ->
                  CASE WHEN i + 1 < size(_tokens) THEN concat(_tokens[i], ' ', _tokens[i + 1])
                       ELSE _tokens[i] END)"""
-        ).alias("_pairs"),
-    )
+        )
+    prepared = tokens.select("txn_id", "turn", "vidx", "_tokens").withColumns(derived)
     offered = (
         prepared.select("txn_id", "turn", "vidx", F.explode_outer(_text_keys(kinds, widths)).alias("k"))
         .where(F.col("k").isNotNull())

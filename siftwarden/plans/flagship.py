@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwarden.operators import decide, detect, redact
 from siftwarden.plans import inputs as src
+from siftwarden.plans.registry import query
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,3 +20,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join("reason_codes", ",").alias("reason_codes"), "risk_level",
         F.col("record.span_count").cast("bigint").alias("span_count"), "redacted",
     )
+
+
+@query("flagship")
+def flagship_query(spark: SparkSession, sf: str) -> DataFrame:
+    return flagship(spark, sf)

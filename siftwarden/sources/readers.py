@@ -18,8 +18,23 @@ _corrupt_record string
 REQUEST_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Put a table that came in fewer pieces than there are cores on all cores.
+
+    Text work costs far more than moving the text once. A table of many files is
+    in enough pieces already and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of a folder of parquet tables."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
