@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwarden.functions.regex import literal
+
 
 def sha256_tag(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
@@ -14,6 +16,10 @@ def salted_hash(text: Column, salt: str) -> Column:
     return sha256_tag(F.concat(F.lit(salt), text))
 
 
+def salted_hash_sql(text: str, salt: str) -> str:
+    return f"concat('sha256:', sha2(CAST(concat({literal(salt)}, {text}) AS BINARY), 256))"
+
+
 def genesis_hash() -> Column:
     return sha256_tag(F.lit(""))
 

@@ -88,27 +88,28 @@ element_at(transform(array(regexp_extract_all({text}, {pattern}, 0)), m ->
 SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
 
 
-def spans(text: str, pattern: str, guard: str | None = None) -> Column:
-    """Every match of a Java pattern in a column, as ``array<struct<start,end,text>>``.
+def spans_sql(text: str, pattern: str, guard: str | None = None) -> str:
+    """SQL: every match of a Java pattern in a column, as ``SPAN_TYPE``.
 
-    ``guard`` is a cheap necessary condition in SQL: where it is false the
-    pattern is not run. The expression is spelled in SQL because it is deep and
-    used by every detector; building it call by call would cost more than
-    running it on a small table.
+    ``guard`` is a cheap necessary condition: where it is false the pattern is
+    not run. Deep expressions such as this one are spelled in SQL, because
+    building them call by call would cost more than running them on a small
+    table.
     """
     body = _SPANS.format(text=text, pattern=literal(pattern), sums=_RUNNING_SUMS)
     if guard is not None:
         body = f"CASE WHEN {guard} THEN {body} END"
-    return F.expr(f"coalesce(CAST({body} AS {SPAN_TYPE}), CAST(array() AS {SPAN_TYPE}))")
-
-
-def first_span(text: Column, pattern: str) -> Column:
-    """The first match as ``struct<start,end,text,n>``; meaningful where it matches."""
-    hit = F.regexp_extract(text, pattern, 0)
-    start = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
-    return F.struct(
-        start.alias("start"),
-        (start + F.length(hit)).alias("end"),
-        hit.alias("text"),
-        F.regexp_count(text, F.lit(pattern)).alias("n"),
+    return f"coalesce(CAST({body} AS {SPAN_TYPE}), CAST(array() AS {SPAN_TYPE}))"
+
+
+def spans(text: str, pattern: str, guard: str | None = None) -> Column:
+    return F.expr(spans_sql(text, pattern, guard))
+
+
+def first_span_sql(text: str, pattern: str) -> str:
+    """SQL: the first match as a struct of at, hit and n (the number of matches)."""
+    p = literal(pattern)
+    return (
+        f"named_struct('at', length(split({text}, {p}, 2)[0]), "
+        f"'hit', regexp_extract({text}, {p}, 0), 'n', regexp_count({text}, {p}))"
     )

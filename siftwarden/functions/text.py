@@ -58,7 +58,8 @@ def _combining_class() -> str:
                 runs[-1][1] = code
             else:
                 runs.append([code, code])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+    marks = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
+    return rf"[\x{{300}}-\x{{1f000}}&&[{marks}]]"
 
 
 @functools.cache
@@ -117,10 +118,10 @@ def fold_diacritics(text: Column) -> Column:
     return F.lower(F.coalesce(plain, text))
 
 
-def fold_digits(text: Column) -> Column:
-    """Decimal digits of any script as ASCII digits."""
+def fold_digits_sql(text: str) -> str:
+    """SQL: decimal digits of any script as ASCII digits."""
     source, target = _decimal_digits()
-    return F.translate(text, source, target)
+    return f"translate({text}, '{source}', '{target}')"
 
 
 def printable_ratio(text: Column) -> Column:

@@ -19,9 +19,7 @@ def guard_responses(
     """
     on_plane = responses.withColumn("plane", F.lit("response"))
     found = detect.scan(on_plane, [detect.pii(), detect.secrets()], salt)
-    prepared = detect.prepare_texts(on_plane, [])
-    prepared = prepared.withColumn("variants", detect.tx.hidden_texts(F.col("norm")))
-    hits = leak.canary_hits(leak.numbered_texts(prepared), canaries)
+    hits = leak.canary_hits(responses, canaries)
     leaks = leak.canary_findings(hits, salt).unionByName(
         leak.prompt_leak_findings(leak.prompt_similarity(responses, prompts), salt)
     )

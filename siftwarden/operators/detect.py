@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from siftwarden import domains as d
 from siftwarden.functions import net
 from siftwarden.functions import text as tx
-from siftwarden.functions.hashing import salted_hash
-from siftwarden.functions.regex import first_span, java_pattern, let, literal, spans
+from siftwarden.functions.hashing import salted_hash_sql
+from siftwarden.functions.regex import first_span_sql, java_pattern, literal, spans_sql
 from siftwarden.operators.variants import with_variants
 
 FINDING_TYPE = (
@@ -30,39 +30,33 @@ FINDING_TYPE = (
 VERSION = "1.0.0"
 
 
-def no_findings() -> Column:
-    return F.array().cast(f"array<{FINDING_TYPE}>")
+NO_FINDINGS = f"CAST(array() AS array<{FINDING_TYPE}>)"
 
 
-def finding(
+def quote(value: str | None) -> str:
+    return "NULL" if value is None else literal(value)
+
+
+def finding_sql(
     detector: str,
-    category: Column | str,
-    score: Column | float,
-    confidence: Column | str,
-    pattern_id: Column | str | None,
-    start: Column | int | None,
-    end: Column | int | None,
-    excerpt_hash: Column | None,
-    match_count: Column | int = 1,
-    depth: Column | int = 0,
-    pii_type: str | None = None,
-) -> Column:
-    def col(value, kind: str) -> Column:
-        return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
-
-    return F.struct(
-        F.lit(detector).alias("detector_id"),
-        F.lit(VERSION).alias("detector_version"),
-        col(category, "string").alias("category"),
-        col(score, "double").alias("score"),
-        col(confidence, "string").alias("confidence"),
-        col(pattern_id, "string").alias("pattern_id"),
-        col(start, "int").alias("start"),
-        col(end, "int").alias("end"),
-        col(excerpt_hash, "string").alias("excerpt_hash"),
-        col(match_count, "int").alias("match_count"),
-        col(depth, "int").alias("decoded_depth"),
-        col(pii_type, "string").alias("pii_type"),
+    category: str,
+    score: str,
+    confidence: str,
+    pattern_id: str = "NULL",
+    start: str = "NULL",
+    end: str = "NULL",
+    excerpt_hash: str = "NULL",
+    match_count: str = "1",
+    depth: str = "0",
+    pii_type: str = "NULL",
+) -> str:
+    """SQL: one finding. All arguments but the detector's name are SQL."""
+    return (
+        f"CAST(named_struct('detector_id', {quote(detector)}, 'detector_version', '{VERSION}', "
+        f"'category', {category}, 'score', {score}, 'confidence', {confidence}, "
+        f"'pattern_id', {pattern_id}, 'start', {start}, 'end', {end}, "
+        f"'excerpt_hash', {excerpt_hash}, 'match_count', {match_count}, "
+        f"'decoded_depth', {depth}, 'pii_type', {pii_type}) AS {FINDING_TYPE})"
     )
 
 
@@ -71,12 +65,13 @@ class DetectorSpec:
     """A detector: the planes it reads and its expression over a prepared row.
 
     The expression sees the columns ``plane``, ``norm`` (normalised text),
-    ``folded`` (without diacritics) and ``variants`` (decoded texts).
+    ``folded`` (without diacritics), ``variants`` (decoded texts) and
+    ``internal_urls``.
     """
 
     id: str
     planes: frozenset[str]
-    findings: Callable[[str], Column]
+    findings: Callable[[str], str]  # salt -> SQL of an array of findings
     version: str = VERSION
 
 
@@ -96,30 +91,29 @@ class ValueKind:
     pattern_id: str
     pattern: str
     guard: str  # necessary condition in SQL over {t}
-    accept: Callable[[Column], Column] | None = None
+    accept: str | None = None  # exact check in SQL over {v}
     score: float = 0.9
     confidence: str = "HIGH"
 
-    def spans(self, text: str) -> Column:
-        found = spans(text, self.pattern, self.guard.replace("{t}", text))
-        accept = self.accept
-        return found if accept is None else F.filter(found, lambda s: accept(s["text"]))
-
-
-def _digits(value: Column) -> Column:
-    return tx.fold_digits(F.regexp_replace(value, "[ -]", ""))
+    def spans_sql(self, text: str) -> str:
+        found = spans_sql(text, self.pattern, self.guard.replace("{t}", text))
+        if self.accept is None:
+            return found
+        return f"filter({found}, c -> {self.accept.replace('{v}', 'c.text')})"
 
+    def spans(self, text: str) -> Column:
+        return F.expr(self.spans_sql(text))
 
-def luhn_ok(value: Column) -> Column:
-    return F.call_function("luhn_check", _digits(value))
 
+LUHN = "luhn_check(" + tx.fold_digits_sql("regexp_replace({v}, '[ -]', '')") + ")"
+OCTETS = f"forall(split({tx.fold_digits_sql('{v}')}, '[.]'), o -> CAST(o AS INT) <= 255)"
 
 EMAIL = ValueKind(
     "email", "EMAIL", "email_v1", java_pattern(d.EMAIL), "contains({t}, '@')"
 )
 PHONE = ValueKind(
     "phone", "PHONE", "phone_e164_v1", java_pattern(d.PHONE), "contains({t}, '+')",
-    lambda v: F.regexp_count(v, F.lit(r"\p{Nd}")) >= d.MIN_PHONE_DIGITS,
+    f"regexp_count({{v}}, '\\\\p{{Nd}}') >= {d.MIN_PHONE_DIGITS}",
 )
 SSN = ValueKind(
     "ssn", "SSN", "ssn_v1", java_pattern(d.SSN),
@@ -127,7 +121,7 @@ SSN = ValueKind(
 )
 CARD = ValueKind(
     "credit_card", "CREDIT_CARD", "credit_card_luhn_v1", java_pattern(d.CARD),
-    _has(r"(?:\p{Nd}[ -]?){13}"), luhn_ok,
+    _has(r"(?:\p{Nd}[ -]?){13}"), LUHN,
 )
 IBAN = ValueKind(
     "iban", "IBAN", "iban_v1", java_pattern(d.IBAN, ignore_case=True),
@@ -136,30 +130,25 @@ IBAN = ValueKind(
 IP = ValueKind(
     "ip_address", None, "ip_address_v1", java_pattern(d.IP),
     _has(r"\p{Nd}\.\p{Nd}"),
-    lambda v: F.forall(F.split(tx.fold_digits(v), r"\."), lambda o: o.cast("int") <= 255),
-    0.6, "LOW",
+    OCTETS, 0.6, "LOW",
 )
 PII_KINDS = {k.name: k for k in (EMAIL, PHONE, SSN, CARD, IBAN, IP)}
 
 
 def _value_findings(
-    detector: str, kinds: Iterable[ValueKind], text: str, category: Column, salt: str, typed: bool
-) -> Column:
-    def of_kind(kind: ValueKind) -> Column:
-        return F.transform(
-            kind.spans(text),
-            lambda s: finding(
-                detector, category, kind.score, kind.confidence, kind.pattern_id,
-                s["start"], s["end"], salted_hash(s["text"], salt),
-                pii_type=kind.name if typed else None,
-            ),
+    detector: str, kinds: Iterable[ValueKind], inbound: str, outbound: str, salt: str, typed: bool
+) -> str:
+    category = f"CASE WHEN plane = 'response' THEN '{outbound}' ELSE '{inbound}' END"
+
+    def of_kind(kind: ValueKind) -> str:
+        found = finding_sql(
+            detector, category, f"{kind.score}D", quote(kind.confidence), quote(kind.pattern_id),
+            "z.start", "z.end", salted_hash_sql("z.text", salt),
+            pii_type=quote(kind.name if typed else None),
         )
+        return f"transform({kind.spans_sql('norm')}, z -> {found})"
 
-    return F.concat(*[of_kind(kind) for kind in kinds])
-
-
-def _by_plane(inbound: str, outbound: str) -> Column:
-    return F.when(F.col("plane") == "response", outbound).otherwise(inbound)
+    return f"concat({', '.join(of_kind(kind) for kind in kinds)})"
 
 
 def pii(kinds: Iterable[str] = tuple(PII_KINDS)) -> DetectorSpec:
@@ -167,26 +156,19 @@ def pii(kinds: Iterable[str] = tuple(PII_KINDS)) -> DetectorSpec:
     return DetectorSpec(
         "pii",
         frozenset({"input", "context", "response"}),
-        lambda salt: _value_findings(
-            "pii", chosen, "norm", _by_plane("PII_DETECTED", "OUTPUT_PII"), salt, True
-        ),
+        lambda salt: _value_findings("pii", chosen, "PII_DETECTED", "OUTPUT_PII", salt, True),
     )
 
 
 # --- secrets -----------------------------------------------------------------
 
 
-def entropy_bits(text: Column) -> Column:
-    """Shannon entropy of the characters of a text, in bits per character."""
-
-    def share(ch: Column) -> Column:
-        return (F.length(text) - F.length(F.replace(text, ch, F.lit("")))) / F.length(text)
-
-    return F.aggregate(
-        F.array_distinct(F.split(text, "")),
-        F.lit(0.0),
-        lambda acc, ch: acc - share(ch) * F.log2(share(ch)),
-    )
+# Shannon entropy of the characters of a text, in bits per character.
+_SHARE = "((length({v}) - length(replace({v}, ch, ''))) / length({v}))"
+ENTROPY = (
+    "aggregate(array_distinct(split({v}, '')), CAST(0 AS DOUBLE), "
+    f"(acc, ch) -> acc - {_SHARE} * log2({_SHARE}))"
+)
 
 
 AWS_KEY = ValueKind(
@@ -207,8 +189,7 @@ JWT = ValueKind(
 HIGH_ENTROPY = ValueKind(
     "high_entropy", None, "high_entropy_v1", java_pattern(d.ENTROPY_RUN),
     _has(r"[A-Za-z0-9+/_=-]{32}"),
-    lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    & (F.round(entropy_bits(v), 6) >= d.MIN_ENTROPY_BITS),
+    f"{{v}} RLIKE '[0-9]' AND {{v}} RLIKE '[A-Za-z]' AND round({ENTROPY}, 6) >= {d.MIN_ENTROPY_BITS}",
     0.7, "MEDIUM",
 )
 SECRET_KINDS = {k.name: k for k in (AWS_KEY, PROVIDER_KEY, PEM, JWT, HIGH_ENTROPY)}
@@ -224,101 +205,80 @@ def secrets(kinds: Iterable[str] = tuple(SECRET_KINDS)) -> DetectorSpec:
         "secrets",
         frozenset({"input", "context", "response"}),
         lambda salt: _value_findings(
-            "secrets", chosen, "norm", _by_plane("SECRET_DETECTED", "OUTPUT_SECRET"),
-            salt, False,
+            "secrets", chosen, "SECRET_DETECTED", "OUTPUT_SECRET", salt, False
         ),
-    )
+    )
 
 
 # --- injection and jailbreak ---------------------------------------------------
 
 
-def first_pattern(text: Column, depth: Column, family, words, category: str, salt: str, detector: str) -> Column:
-    """The finding of the first pattern, in priority order, that matches a text."""
+def _holds_word(text: str, words: Iterable[str]) -> str:
+    """SQL: whether a text may match a family; cheaper for plain ASCII texts."""
+    any_word = "|".join(words)
+    return (
+        f"CASE WHEN octet_length({text}) = length({text}) THEN {text} RLIKE {literal('(?i)' + any_word)} "
+        f"ELSE {text} RLIKE {literal('(?iu)' + any_word)} END"
+    )
 
-    def evidence(java: str, pattern_id: str, score: float, confidence: str) -> Column:
-        return let(
-            first_span(text, java),
-            lambda s: finding(
-                detector, category, score, confidence, pattern_id, s["start"], s["end"],
-                salted_hash(s["text"], salt), s["n"], depth,
-            ),
-        )
 
-    chain = F
+def first_pattern(family, words: Iterable[str], category: str, salt: str, detector: str) -> str:
+    """SQL over ``v``: the finding of the first pattern, in priority order, that matches."""
+    arms = []
     for pattern_id, pattern, score, confidence in family:
         java = java_pattern(pattern, ignore_case=True)
-        chain = chain.when(text.rlike(java), evidence(java, pattern_id, score, confidence))
-    return F.when(text.rlike("(?iu)" + "|".join(words)), chain)
-
-
-def _all_texts() -> Column:
-    plain = F.struct(
-        F.col("norm").alias("text"), F.lit(0).alias("depth"), F.lit("plain").alias("encoding")
-    )
-    return F.concat(F.array(plain), F.col("variants"))
+        found = finding_sql(
+            detector, quote(category), f"{score}D", quote(confidence), quote(pattern_id),
+            "e.at", "e.at + length(e.hit)", salted_hash_sql("e.hit", salt), "e.n", "v.depth",
+        )
+        evidence = first_span_sql("v.text", java)
+        arms.append(
+            f"WHEN v.text RLIKE {literal(java)} THEN element_at(transform(array({evidence}), e -> {found}), 1)"
+        )
+    return f"CASE WHEN {_holds_word('v.text', words)} THEN CASE {' '.join(arms)} END END"
 
 
-def _family_findings(family, words, category: str, salt: str, detector: str) -> Column:
-    hits = F.transform(
-        _all_texts(),
-        lambda v: first_pattern(v["text"], v["depth"], family, words, category, salt, detector),
-    )
-    return F.filter(hits, lambda f: f.isNotNull())
+ALL_TEXTS = "concat(array(named_struct('text', norm, 'depth', 0, 'encoding', 'plain')), variants)"
 
 
-def _input_injection(salt: str) -> Column:
-    both = F.concat(
-        _family_findings(
-            d.INJECTION_PATTERNS, d.INJECTION_WORDS, "PROMPT_INJECTION", salt, "prompt_injection"
-        ),
-        _family_findings(
-            d.JAILBREAK_PATTERNS, d.JAILBREAK_WORDS, "JAILBREAK", salt, "prompt_injection"
-        ),
+def _both_families(first: str, second: str, salt: str, detector: str) -> str:
+    """SQL: findings of both families over a text and all it hides."""
+    injection = first_pattern(d.INJECTION_PATTERNS, d.INJECTION_WORDS, first, salt, detector)
+    jailbreak = first_pattern(d.JAILBREAK_PATTERNS, JAILBREAK_WORDS, second, salt, detector)
+    return (
+        f"concat(filter(transform({ALL_TEXTS}, v -> {injection}), f -> f IS NOT NULL), "
+        f"filter(transform({ALL_TEXTS}, v -> {jailbreak}), f -> f IS NOT NULL))"
     )
 
-    def with_encoded(found: Column) -> Column:
-        # The first of the deepest findings lends its evidence.
-        deepest = F.array_max(F.transform(found, lambda f: f["decoded_depth"]))
-        lead = F.get(F.filter(found, lambda f: f["decoded_depth"] == deepest), F.lit(0))
-        extra = let(
-            lead,
-            lambda f: finding(
-                "prompt_injection", "ENCODED_PAYLOAD", d.ENCODED_PAYLOAD_SCORE, "HIGH",
-                f["pattern_id"], f["start"], f["end"], f["excerpt_hash"],
-                F.lit(None), f["decoded_depth"],
-            ),
-        )
-        return F.when(deepest > 0, F.concat(found, F.array(extra))).otherwise(found)
-
-    return let(both, with_encoded)
-
 
-def _context_injection(salt: str) -> Column:
-    both = F.concat(
-        _family_findings(
-            d.INJECTION_PATTERNS, d.INJECTION_WORDS, "INDIRECT_INJECTION", salt, "indirect_injection"
-        ),
-        _family_findings(
-            d.JAILBREAK_PATTERNS, d.JAILBREAK_WORDS, "INDIRECT_INJECTION", salt, "indirect_injection"
-        ),
-    )
+# "dan" is part of too many words to be looked for inside them.
+JAILBREAK_WORDS = tuple(java_pattern(r"\bdan\b") if w == "dan" else w for w in d.JAILBREAK_WORDS)
 
-    def once_per_pattern(found: Column) -> Column:
-        first = F.filter(
-            found,
-            lambda f, i: F.array_position(
-                F.transform(found, lambda g: g["pattern_id"]), f["pattern_id"]
-            )
-            == i + 1,
-        )
-        return F.transform(
-            first,
-            lambda f: f.withField("score", F.greatest(f["score"], F.lit(d.INDIRECT_SCORE_FLOOR)))
-            .withField("confidence", F.lit("HIGH")),
-        )
 
-    return let(both, once_per_pattern)
+def _input_injection(salt: str) -> str:
+    both = _both_families("PROMPT_INJECTION", "JAILBREAK", salt, "prompt_injection")
+    extra = finding_sql(
+        "prompt_injection", "'ENCODED_PAYLOAD'", f"{d.ENCODED_PAYLOAD_SCORE}D", "'HIGH'",
+        "x.pattern_id", "x.start", "x.end", "x.excerpt_hash", "NULL", "x.decoded_depth",
+    )
+    # The first of the deepest findings lends its evidence.
+    deepest = "array_max(transform(found, g -> g.decoded_depth))"
+    lead = f"filter(found, f -> f.decoded_depth = {deepest})[0]"
+    return f"""element_at(transform(array({both}), found ->
+      CASE WHEN {deepest} > 0
+      THEN concat(found, transform(array({lead}), x -> {extra})) ELSE found END), 1)"""
+
+
+def _context_injection(salt: str) -> str:
+    both = _both_families("INDIRECT_INJECTION", "INDIRECT_INJECTION", salt, "indirect_injection")
+    raised = finding_sql(
+        "indirect_injection", "g.category", f"greatest(g.score, {d.INDIRECT_SCORE_FLOOR}D)", "'HIGH'",
+        "g.pattern_id", "g.start", "g.end", "g.excerpt_hash", "g.match_count", "g.decoded_depth",
+    )
+    return f"""element_at(transform(array({both}), found ->
+      transform(
+        filter(found, (f, i) -> array_position(transform(found, h -> h.pattern_id), f.pattern_id) = i + 1),
+        g -> {raised})), 1)"""
 
 
 def prompt_injection() -> DetectorSpec:
@@ -348,39 +308,34 @@ def phrase_pattern(phrase: str) -> str:
 def topics(blocked: Iterable[str], sensitive: Iterable[str]) -> DetectorSpec:
     phrases = [("BLOCKED_TOPIC", p) for p in blocked] + [("SENSITIVE_TOPIC", p) for p in sensitive]
 
-    def hit(category: str, phrase: str, salt: str) -> Column:
-        folded = F.col("folded")
+    def hit(category: str, phrase: str, salt: str) -> str:
         java = phrase_pattern(phrase)
-        longest = max(fold_phrase(phrase).split(" "), key=len)
-        evidence = let(
-            first_span(folded, java),
-            lambda s: finding(
-                "topics", category, 0.9, "MEDIUM", f"topic:{phrase}",
-                s["start"], s["end"], salted_hash(s["text"], salt),
-            ),
+        longest = literal(max(fold_phrase(phrase).split(" "), key=len))
+        found = finding_sql(
+            "topics", quote(category), "0.9D", "'MEDIUM'", quote(f"topic:{phrase}"),
+            "e.at", "e.at + length(e.hit)", salted_hash_sql("e.hit", salt),
         )
-        return F.when(folded.contains(longest) & folded.rlike(java), evidence)
+        evidence = first_span_sql("folded", java)
+        return (
+            f"CASE WHEN contains(folded, {longest}) AND folded RLIKE {literal(java)} "
+            f"THEN element_at(transform(array({evidence}), e -> {found}), 1) END"
+        )
 
-    def findings(salt: str) -> Column:
+    def findings(salt: str) -> str:
         if not phrases:
-            return no_findings()
-        return F.array_compact(F.array(*[hit(c, p, salt) for c, p in phrases]))
+            return NO_FINDINGS
+        return f"array_compact(array({', '.join(hit(c, p, salt) for c, p in phrases)}))"
 
     return DetectorSpec("topics", frozenset({"input", "context"}), findings)
 
 
 def urls() -> DetectorSpec:
-    def findings(salt: str) -> Column:
-        internal = F.filter(
-            net.url_spans("norm"), lambda s: net.is_internal(net.url_host(s["text"]))
-        )
-        return F.transform(
-            internal,
-            lambda s: finding(
-                "urls", "SCHEMA_VIOLATION", 0.7, "MEDIUM", "private_or_metadata_url_v1",
-                s["start"], s["end"], salted_hash(s["text"], salt),
-            ),
-        )
+    def findings(salt: str) -> str:
+        found = finding_sql(
+            "urls", "'SCHEMA_VIOLATION'", "0.7D", "'MEDIUM'", "'private_or_metadata_url_v1'",
+            "z.start", "z.end", salted_hash_sql("z.text", salt),
+        )
+        return f"transform(internal_urls, z -> {found})"
 
     return DetectorSpec("urls", frozenset({"input", "context"}), findings)
 
@@ -406,8 +361,13 @@ def prepare_texts(messages: DataFrame, detectors: Iterable[DetectorSpec]) -> Dat
     df = messages.withColumn("norm", tx.normalize(F.col("text")))
     if "topics" in ids:
         df = df.withColumn("folded", tx.fold_diacritics(F.col("norm")))
-    if ids & {"prompt_injection", "indirect_injection", "canary"}:
+    if ids & {"prompt_injection", "indirect_injection"}:
         df = with_variants(df)
+    if "urls" in ids:
+        internal = F.filter(
+            net.url_spans("norm"), lambda s: net.is_internal(net.url_host(s["text"]))
+        )
+        df = df.withColumn("internal_urls", internal)
     return df
 
 
@@ -420,14 +380,16 @@ def scan(
     """
     detectors = list(detectors)
     prepared = prepare_texts(messages, detectors)
-    arrays = [
-        F.when(F.col("plane").isin(*sorted(s.planes)), s.findings(salt)).otherwise(no_findings())
+    arrays = ", ".join(
+        f"CASE WHEN plane IN ({', '.join(map(quote, sorted(s.planes)))}) "
+        f"THEN {s.findings(salt)} ELSE {NO_FINDINGS} END"
         for s in detectors
-    ]
-    keys = ["txn_id", "turn", "plane", *keep]
-    return prepared.select(*keys, F.posexplode_outer(F.concat(*arrays)).alias("ord", "f")).where(F.col("f").isNotNull()).select(
-        *keys, "ord", "f.*"
     )
+    keys = ["txn_id", "turn", "plane", *keep]
+    # The outer form keeps the optimizer from computing the arrays a second time
+    # for a filter on their size.
+    found = prepared.select(*keys, F.posexplode_outer(F.expr(f"concat({arrays})")).alias("ord", "f"))
+    return found.where(F.col("f").isNotNull()).select(*keys, "ord", "f.*")
 
 
 # JSON types by the names a violation reports them under.
@@ -443,42 +405,28 @@ def scan_message_schema(messages: DataFrame, salt: str) -> DataFrame:
     ``content_type`` is optional: the JSON type of the content where the source
     keeps it ("string", "null", "integer", ...).
     """
-    roles = F.when(
-        F.coalesce(~F.col("role").isin(*d.ROLES), F.lit(True)),
-        F.struct(
-            F.lit("invalid_role_v1").alias("pattern_id"),
-            F.concat(
-                F.lit("invalid role: "),
-                F.coalesce(F.concat(F.lit("'"), F.col("role"), F.lit("'")), F.lit("None")),
-            ).alias("detail"),
-        ),
-    )
-    checks = [roles]
+    detail = [
+        "CASE WHEN NOT coalesce(role IN (" + ", ".join(map(quote, d.ROLES)) + "), false) THEN named_struct("
+        "'pattern_id', 'invalid_role_v1', "
+        "'detail', concat('invalid role: ', coalesce(concat(\"'\", role, \"'\"), 'None'))) END"
+    ]
     if "content_type" in messages.columns:
-        names = F.create_map(*[F.lit(x) for pair in _TYPE_NAMES.items() for x in pair])
-        kind = F.lower("content_type")
-        kind = F.coalesce(F.element_at(names, kind), kind)
-        checks.append(
-            F.when(
-                ~kind.isin("string", "null", "void"),
-                F.struct(
-                    F.lit("invalid_content_type_v1").alias("pattern_id"),
-                    F.concat(F.lit("content must be a string or null, got "), kind).alias("detail"),
-                ),
-            )
+        names = ", ".join(f"{quote(k)}, {quote(v)}" for k, v in _TYPE_NAMES.items())
+        kind = f"coalesce(element_at(map({names}), lower(content_type)), lower(content_type))"
+        detail.append(
+            "CASE WHEN lower(content_type) NOT IN ('string', 'null', 'void') THEN named_struct("
+            "'pattern_id', 'invalid_content_type_v1', "
+            f"'detail', concat('content must be a string or null, got ', {kind})) END"
         )
+    found = finding_sql(
+        "schema", "'SCHEMA_VIOLATION'", "0.5D", "'LOW'", "x.pattern_id", "0", "0",
+        salted_hash_sql("x.detail", salt),
+    )
     rows = messages.select(
-        "txn_id",
-        "turn",
-        F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("x"),
-    )
-    return rows.select(
         "txn_id", "turn",
-        finding(
-            "schema", "SCHEMA_VIOLATION", 0.5, "LOW", F.col("x.pattern_id"), 0, 0,
-            salted_hash(F.col("x.detail"), salt),
-        ).alias("f"),
-    ).select("txn_id", "turn", "f.*")
+        F.explode_outer(F.expr(f"transform(array_compact(array({', '.join(detail)})), x -> {found})")).alias("f"),
+    )
+    return rows.where(F.col("f").isNotNull()).select("txn_id", "turn", "f.*")
 
 
 def quarantine(
@@ -494,19 +442,12 @@ def quarantine(
     long = F.length("text") > max_chars
     scanned = scan(messages.where(~long), detectors, salt)
     skipped = messages.where(long)
-    marks = F.filter(
-        F.array(
-            *[
-                F.when(
-                    F.col("plane").isin(*sorted(s.planes)),
-                    finding(s.id, d.OPERATIONAL_CATEGORY, 0.0, "LOW", None, None, None, None),
-                )
-                for s in detectors
-            ]
-        ),
-        lambda f: f.isNotNull(),
-    )
+    marks = ", ".join(
+        f"CASE WHEN plane IN ({', '.join(map(quote, sorted(s.planes)))}) THEN "
+        + finding_sql(s.id, quote(d.OPERATIONAL_CATEGORY), "0D", "'LOW'") + " END"
+        for s in detectors
+    )
     marked = skipped.select(
-        "txn_id", "turn", "plane", F.posexplode(marks).alias("ord", "f")
+        "txn_id", "turn", "plane", F.posexplode(F.expr(f"array_compact(array({marks}))")).alias("ord", "f")
     ).select("txn_id", "turn", "plane", "ord", "f.*")
     return scanned.unionByName(marked), skipped.select("txn_id", "turn", "plane", F.length("text").alias("n_chars"))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from siftwarden import domains as d
 from siftwarden.functions import text as tx
-from siftwarden.functions.hashing import salted_hash
-from siftwarden.operators.detect import finding
+from siftwarden.functions.hashing import salted_hash_sql
+from siftwarden.operators.detect import ALL_TEXTS, finding_sql
 
 GRAM = 3  # tokens per hashed run
 WINDOW = 4  # runs per selection window
@@ -87,23 +87,36 @@ def _text_keys(kinds: list[int], widths: list[int]) -> Column:
     return F.expr("concat(" + ", ".join(f"coalesce({p}, array())" for p in parts) + ")")
 
 
-def canary_hits(texts: DataFrame, protected: DataFrame) -> DataFrame:
+def numbered_texts(messages: DataFrame, decode: bool) -> DataFrame:
+    """(txn_id, turn, vidx, decoded_depth, text): normalised texts and what they hide."""
+    prepared = messages.select("txn_id", "turn", tx.normalize(F.col("text")).alias("norm"))
+    if not decode:
+        return prepared.select(
+            "txn_id", "turn", F.lit(0).alias("vidx"), F.lit(0).alias("decoded_depth"), F.col("norm").alias("text")
+        )
+    prepared = prepared.withColumn("variants", tx.hidden_texts(F.col("norm")))
+    return (
+        prepared.select("txn_id", "turn", F.posexplode_outer(F.expr(ALL_TEXTS)).alias("vidx", "v"))
+        .where(F.col("v").isNotNull())
+        .select("txn_id", "turn", "vidx", F.col("v.depth").alias("decoded_depth"), F.col("v.text").alias("text"))
+    )
+
+
+def canary_hits(messages: DataFrame, protected: DataFrame, decode: bool = True) -> DataFrame:
     """Which text holds which protected text, and where first.
 
-    ``texts`` has (txn_id, turn, vidx, decoded_depth, text) with normalised
-    texts; ``protected`` has (canary_id, canary). One row per message and
-    protected text: the first variant that holds it.
+    ``messages`` has (txn_id, turn, text), one row per key; ``protected`` has
+    (canary_id, canary). One row per message and protected text: the first of
+    the message's texts, decoded ones included, that holds it.
     """
     keys = protected_keys(protected)
     # At most LONG + 1 kinds; widths only of the one- and two-token texts.
     shape = keys.groupBy("kind").agg(
         F.collect_set(F.when(F.col("kind") == 0, F.col("width"))).alias("widths")
     ).collect()
-    kinds = sorted(r["kind"] for r in shape)
+    kinds = sorted(r["kind"] for r in shape) or [LONG]
     widths = sorted({w for r in shape for w in r["widths"]})
-    if not kinds:
-        kinds = [LONG]
-    tokens = texts.withColumn("_tokens", F.split("text", " "))
+    tokens = numbered_texts(messages, decode).withColumn("_tokens", F.split("text", " "))
     derived = {}
     if LONG in kinds:
         derived["_runs"] = F.expr(_grams("_tokens", GRAM))
@@ -124,7 +137,9 @@ def canary_hits(texts: DataFrame, protected: DataFrame) -> DataFrame:
     pairs = offered.join(keys, ["kind", "key"]).select(
         "txn_id", "turn", "vidx", "canary_id", "canary"
     )
-    held = pairs.join(texts, ["txn_id", "turn", "vidx"]).withColumn(
+    # Only messages with a candidate are normalised again for the full check.
+    suspects = messages.join(pairs.select("txn_id", "turn"), ["txn_id", "turn"], "left_semi")
+    held = pairs.join(numbered_texts(suspects, decode), ["txn_id", "turn", "vidx"]).withColumn(
         "start", F.expr("instr(text, canary) - 1")
     )
     return (
@@ -140,27 +155,15 @@ def canary_hits(texts: DataFrame, protected: DataFrame) -> DataFrame:
     )
 
 
-def numbered_texts(prepared: DataFrame) -> DataFrame:
-    """Normalised texts and their decoded variants as numbered rows."""
-    every = F.expr(
-        "concat(array(named_struct('text', norm, 'depth', 0, 'encoding', 'plain')), variants)"
-    )
-    return (
-        prepared.select("txn_id", "turn", F.posexplode_outer(every).alias("vidx", "v"))
-        .where(F.col("v").isNotNull())
-        .select("txn_id", "turn", "vidx", F.col("v.depth").alias("decoded_depth"), F.col("v.text").alias("text"))
-    )
-
-
 def canary_findings(hits: DataFrame, salt: str) -> DataFrame:
-    shaped = hits.select(
-        "txn_id", "turn",
-        finding(
-            "system_prompt_leak", "CANARY_LEAK", 1.0, "HIGH", "canary_token_v1",
-            F.col("start"), F.col("end"), salted_hash(F.col("canary"), salt),
-            F.lit(None), F.col("decoded_depth"),
-        ).alias("f"),
+    found = finding_sql(
+        "system_prompt_leak", "'CANARY_LEAK'", "1D", "'HIGH'", "'canary_token_v1'", "start", "end",
+        salted_hash_sql("canary", salt), "NULL", "decoded_depth",
     )
+    return _on_response(hits.select("txn_id", "turn", F.expr(found).alias("f")))
+
+
+def _on_response(shaped: DataFrame) -> DataFrame:
     return shaped.select("txn_id", "turn", F.lit("response").alias("plane"), F.lit(0).alias("ord"), "f.*")
 
 
@@ -196,13 +199,9 @@ def prompt_similarity(responses: DataFrame, prompts: DataFrame) -> DataFrame:
 
 
 def prompt_leak_findings(similar: DataFrame, salt: str) -> DataFrame:
-    confidence = F.when(F.col("ratio") >= d.HIGH_SIMILARITY, "HIGH").otherwise("MEDIUM")
-    shaped = similar.select(
-        "txn_id", "turn",
-        finding(
-            "system_prompt_leak", "SYSTEM_PROMPT_LEAK", F.col("ratio"), confidence,
-            "system_prompt_similarity_v1", 0, F.col("n_chars"), salted_hash(F.col("norm"), salt),
-            F.lit(None),
-        ).alias("f"),
+    found = finding_sql(
+        "system_prompt_leak", "'SYSTEM_PROMPT_LEAK'", "ratio",
+        f"CASE WHEN ratio >= {d.HIGH_SIMILARITY} THEN 'HIGH' ELSE 'MEDIUM' END",
+        "'system_prompt_similarity_v1'", "0", "n_chars", salted_hash_sql("norm", salt), "NULL",
     )
-    return shaped.select("txn_id", "turn", F.lit("response").alias("plane"), F.lit(0).alias("ord"), "f.*")
+    return _on_response(similar.select("txn_id", "turn", F.expr(found).alias("f")))

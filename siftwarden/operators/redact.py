@@ -24,15 +24,11 @@ def label_rank(label: Column) -> Column:
 def raw_spans(text: str) -> Column:
     """All spans to redact, in scan order, overlaps included."""
 
-    def of_kind(kind) -> Column:
-        return F.transform(
-            kind.spans(text),
-            lambda s: F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), F.lit(kind.label).alias("label")
-            ),
-        )
-
-    return F.concat(*[of_kind(kind) for kind in REDACTED_KINDS])
+    parts = [
+        f"transform({kind.spans_sql(text)}, z -> named_struct('start', z.start, 'end', z.end, 'label', '{kind.label}'))"
+        for kind in REDACTED_KINDS
+    ]
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def merge_overlaps(spans: Column) -> Column:

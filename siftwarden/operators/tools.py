@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwarden.functions import toolargs as ta
-from siftwarden.functions.hashing import salted_hash
-from siftwarden.operators.detect import finding
+from siftwarden.functions.hashing import salted_hash_sql
+from siftwarden.operators.detect import finding_sql
 from siftwarden.operators.policy import Policy
 
 
@@ -56,14 +56,14 @@ def scan_calls(calls: DataFrame, policy: Policy, salt: str) -> DataFrame:
     checks = [
         F.when(
             F.col("_v").isNull(),
-            finding("tool_calls", "SCHEMA_VIOLATION", 0.6, "MEDIUM",
-                    "unparseable_tool_arguments_v1", 0, 0, salted_hash(F.col("args"), salt)),
+            F.expr(finding_sql("tool_calls", "'SCHEMA_VIOLATION'", "0.6D", "'MEDIUM'",
+                               "'unparseable_tool_arguments_v1'", "0", "0", salted_hash_sql("args", salt))),
         )
     ]
     readable = F.col("_v").isNotNull()
 
     def check(condition, category: str, score: float):
-        hit = finding("tool_calls", category, score, "HIGH", None, None, None, None, None)
+        hit = F.expr(finding_sql("tool_calls", f"'{category}'", f"{score}D", "'HIGH'"))
         checks.append(F.when(readable & F.coalesce(condition, F.lit(False)), hit))
 
     allowlist = policy.tool_allowlist

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwarden import domains as d
-from siftwarden.functions import text as tx
 from siftwarden.operators import detect, leak, tools
 from siftwarden.operators import messages as ms
 from siftwarden.plans import inputs as src
@@ -259,12 +258,10 @@ def scan_message_schema(spark, sf):
 
 
 def document_canaries(spark, sf):
-    prepared = detect.prepare_texts(src.documents(spark, sf), [])
-    texts = leak.numbered_texts(prepared.withColumn("variants", tx.hidden_texts(F.col("norm"))))
     protected = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("canary_id"), F.col("text").alias("canary")
     )
-    return leak.canary_hits(texts, protected)
+    return leak.canary_hits(src.documents(spark, sf), protected)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwarden import domains as d
 from siftwarden.operators import approvals as ap
-from siftwarden.operators import audit, decide, detect, leak
+from siftwarden.operators import audit, decide, leak
 from siftwarden.operators import messages as ms
 from siftwarden.operators.policy import rules_table
 from siftwarden.plans import inputs as src
@@ -229,12 +229,8 @@ def join_idempotent_replay(spark, sf):
     SELECT item_id AS canary_id, count(*) AS n_leaks FROM docs JOIN b ON contains(norm, c) GROUP BY 1""",
 )
 def join_leaked_values(spark, sf):
-    prepared = detect.prepare_texts(src.documents(spark, sf), [])
-    texts = prepared.select(
-        "txn_id", "turn", F.lit(0).alias("vidx"), F.lit(0).alias("decoded_depth"), F.col("norm").alias("text")
-    )
     values = table(spark, sf, "benchmark").select(F.col("item_id").alias("canary_id"), F.col("text").alias("canary"))
-    return leak.canary_hits(texts, values).groupBy("canary_id").agg(F.count("*").alias("n_leaks"))
+    return leak.canary_hits(src.documents(spark, sf), values, decode=False).groupBy("canary_id").agg(F.count("*").alias("n_leaks"))
 
 
 @query(

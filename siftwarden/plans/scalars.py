@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftwarden import domains as d
 from siftwarden.functions import hashing, net, toolargs
 from siftwarden.functions import text as tx
+from siftwarden.functions.regex import spans
 from siftwarden.operators import approvals as ap
 from siftwarden.operators import audit, metrics, tools, variants
 from siftwarden.operators import messages as ms
@@ -90,7 +91,7 @@ def salted_hash(spark, sf):
     from siftwarden.operators import detect
 
     docs = src.documents(spark, sf).withColumn("norm", tx.normalize(F.col("text")))
-    raw_ip = detect.spans("norm", detect.IP.pattern, detect.IP.guard.replace("{t}", "norm"))
+    raw_ip = spans("norm", detect.IP.pattern, detect.IP.guard.replace("{t}", "norm"))
     hits = docs.select(
         "txn_id", F.explode_outer(F.concat(detect.EMAIL.spans("norm"), raw_ip)).alias("s")
     ).where(F.col("s").isNotNull())
