@@ -43,7 +43,7 @@ def json_string(text: Column) -> Column:
 
     def escape(ch: Column) -> Column:
         units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
-        numeric = F.regexp_replace(units, "(.{4})", r"\\\\u$1")
+        numeric = F.regexp_replace(units, "(.{4})", r"\\u$1")
         return F.coalesce(
             F.element_at(short, ch), F.when(ch.rlike("[^ -~]"), numeric).otherwise(ch)
         )

@@ -9,7 +9,6 @@ import unicodedata
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,16 +72,15 @@ def _decimal_digits() -> tuple[str, str]:
     return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
 
 
-def _unicode_form(values: pa.Array, form: str) -> pa.Array:
-    return pc.utf8_normalize(values, form=form)
-
-
-# Spark has no Unicode normal forms; Arrow does them batch-wise in native code.
-# The wrappers are made once per process: a UDF needs a running session.
+# Spark has no Unicode normal forms. The wrappers are made once per process,
+# because a UDF needs a running session.
 @functools.cache
 def _form_udf(form: str):
     def apply(values: pa.Array) -> pa.Array:
-        return _unicode_form(values, form)
+        texts = values.to_pylist()
+        return pa.array(
+            [None if t is None else unicodedata.normalize(form, t) for t in texts], pa.string()
+        )
 
     apply.__annotations__ = {"values": pa.Array, "return": pa.Array}
     return F.arrow_udf(apply, "string")
