@@ -25,14 +25,18 @@ def column(spark, texts, *exprs):
     return [tuple(r)[1:] for r in df.select("i", *exprs).orderBy("i").collect()]
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(max_size=30), min_size=20, max_size=60))
-def test_normalize_matches_the_rule_and_is_idempotent(spark, texts):
+def test_normalize_matches_the_rule(spark, texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts] + ODD
     once = tx.normalize(F.col("text"))
     got = column(spark, texts, once.alias("a"), tx.normalize(once).alias("b"))
     assert [g[0] for g in got] == [reference_normalize(t) for t in texts]
-    assert all(a == b for a, b in got)
+    # A second pass changes nothing unless folding a look-alike let a following
+    # mark compose, which the rule does as well.
+    assert [g[1] for g in got] == [reference_normalize(g[0]) for g in got]
+    plain = [g for g, t in zip(got, texts, strict=True) if not any(map(unicodedata.combining, t))]
+    assert all(a == b for a, b in plain)
 
 
 SPAN_TEXTS = [
