@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwarden import domains as d
-from siftwarden.operators.policy import Facts, Policy, hits_column, rule_categories
+from siftwarden.operators.policy import Facts, Policy, hits_sql, rule_categories
 
 
 def verdict_rank(verdict: Column) -> Column:
@@ -119,15 +119,12 @@ def score_board(findings: DataFrame, policy: Policy) -> DataFrame:
 
 
 def _facts(policy: Policy, df: DataFrame) -> Facts:
-    known = {
-        (p, c): F.col(_score_column(p, c)) for p, c in _asked_pairs(policy)
-    }
-    null_score = F.lit(None).cast("double")
+    known = set(_asked_pairs(policy))
     has = set(df.columns)
     return Facts(
-        score=lambda p, c: known.get((p, c), null_score),
-        byte_count=F.col("payload_bytes") if "payload_bytes" in has else F.lit(0),
-        tool=F.col("tool") if "tool" in has else F.lit(None).cast("string"),
+        score=lambda p, c: _score_column(p, c) if (p, c) in known else "CAST(NULL AS DOUBLE)",
+        byte_count="payload_bytes" if "payload_bytes" in has else "0",
+        tool="tool" if "tool" in has else "CAST(NULL AS STRING)",
         args=F.try_parse_json("args") if "args" in has else F.try_parse_json(F.lit("{}")),
     )
 
@@ -139,39 +136,46 @@ def decide(board: DataFrame, policy: Policy) -> DataFrame:
     ``tool`` and ``args`` (JSON text). Adds hits, verdict, transformation,
     reason_codes, risk_level and policy_version.
     """
-    df = board
-    for pair in _asked_pairs(policy):
-        if _score_column(*pair) not in df.columns:
-            df = df.withColumn(_score_column(*pair), F.lit(None).cast("double"))
-    for column, default in (("max_score", F.lit(None).cast("double")), ("degraded", F.lit(False))):
-        if column not in df.columns:
-            df = df.withColumn(column, default)
-    df = df.withColumn("degraded", F.coalesce("degraded", F.lit(False)))
-    df = df.withColumn("policy_hits", hits_column(policy, _facts(policy, df)))
-    df = df.withColumn(
-        "rank",
-        F.coalesce(
-            F.array_max(F.transform("policy_hits", lambda h: verdict_rank(h["verdict"]))), F.lit(0)
-        ),
-    )
-    winners = F.filter("policy_hits", lambda h: verdict_rank(h["verdict"]) == F.col("rank"))
-    top_change = F.array_max(F.transform(winners, lambda h: transformation_rank(h["transformation"])))
+    missing = {
+        _score_column(*pair): F.lit(None).cast("double")
+        for pair in _asked_pairs(policy)
+        if _score_column(*pair) not in board.columns
+    }
+    if "max_score" not in board.columns:
+        missing["max_score"] = F.lit(None).cast("double")
+    missing["degraded"] = F.expr("coalesce(degraded, false)") if "degraded" in board.columns else F.lit(False)
+    df = board.withColumns(missing)
+    facts = _facts(policy, df)
+    hits = hits_sql(policy, facts)
+    if facts.checks:
+        df = df.withColumns(facts.checks)
+    df = df.withColumn("policy_hits", F.expr(hits)).withColumn("_rank", F.expr(_TOP_RANK))
+    winners = "filter(policy_hits, h -> h.verdict = verdict)"
+    order = ", ".join(f"'{t}'" for t in d.TRANSFORMATION_ORDER)
+    change = f"array_max(transform({winners}, h -> array_position(array({order}), h.transformation)))"
     return (
-        df.withColumn("verdict", verdict_name(F.col("rank")))
-        .withColumn(
-            "transformation",
-            F.when(F.col("rank") == 2, "NONE").otherwise(transformation_name(top_change)),
+        df.withColumn("verdict", verdict_name(F.col("_rank")))
+        .withColumns(
+            {
+                "transformation": F.expr(
+                    f"CASE WHEN verdict = 'DENY' THEN 'NONE' "
+                    f"ELSE element_at(array('NONE', {order}), CAST(coalesce({change}, 0) AS INT) + 1) END"
+                ),
+                "reason_codes": F.expr(f"array_sort(array_distinct(transform({winners}, h -> h.reason_code)))"),
+                "risk_level": risk_level(F.col("max_score")),
+                "policy_version": F.lit(policy.version),
+            }
         )
-        .withColumn(
-            "reason_codes",
-            F.array_sort(F.array_distinct(F.transform(winners, lambda h: h["reason_code"]))),
-        )
-        .withColumn("risk_level", risk_level(F.col("max_score")))
-        .withColumn("policy_version", F.lit(policy.version))
-        .drop("rank", *[_score_column(*p) for p in _asked_pairs(policy)])
+        .drop("_rank", *facts.checks, *[_score_column(*p) for p in _asked_pairs(policy)])
     )
 
 
+_TOP_RANK = (
+    "coalesce(array_max(transform(policy_hits, h -> "
+    "CASE h.verdict WHEN 'DENY' THEN 2 WHEN 'NEED_APPROVAL' THEN 1 ELSE 0 END)), 0)"
+)
+
+
 def combine(decisions: DataFrame, key: str = "txn_id") -> DataFrame:
     """Merge several decisions per key into one.
 

@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 
 from siftwarden import domains as d
 from siftwarden.functions import toolargs as ta
+from siftwarden.functions.regex import literal
 
 
 @dataclass(frozen=True)
@@ -100,36 +100,31 @@ def rule_categories(rule: dict) -> list[str]:
 # --- conditions as columns ---------------------------------------------------
 
 
-@dataclass(frozen=True)
+@dataclass
 class Facts:
-    """What conditions may refer to, as columns of one row."""
+    """What conditions may refer to. Names and scores are SQL over one row.
+
+    Looking into tool arguments takes several steps, so each such check is a
+    column of its own in ``checks``, to be added to the row first.
+    """
 
-    score: Callable[[str, str], Column]  # (plane, category) -> max score or null
-    byte_count: Column
-    tool: Column
+    score: Callable[[str, str], str]  # (plane, category) -> max score or null
+    byte_count: str
+    tool: str
     args: Column  # variant
+    checks: dict[str, Column] = field(default_factory=dict)
 
+    def check(self, condition: Column) -> str:
+        name = f"_check{len(self.checks)}"
+        self.checks[name] = condition
+        return name
 
-def _leaf_column(leaf: dict, plane: str, facts: Facts) -> Column:
-    if "category" in leaf:
-        score = facts.score(plane, leaf["category"])
-        low = score >= float(leaf["score_gte"]) if "score_gte" in leaf else F.lit(True)
-        high = score < float(leaf["score_lt"]) if "score_lt" in leaf else F.lit(True)
-        return score.isNotNull() & low & high
-    if "bytes_gt" in leaf:
-        return facts.byte_count > int(leaf["bytes_gt"])
-    if "tool_name_in" in leaf:
-        return facts.tool.isin(*leaf["tool_name_in"])
-    if "tool_not_in" in leaf:
-        return ~facts.tool.isin(*leaf["tool_not_in"])
-    if "argument_path" not in leaf:
-        return F.lit(False)
+
+def _argument_check(leaf: dict, args: Column) -> Column | None:
     path = leaf["argument_path"]
     # A boolean counts as the number 1 or 0 here, unlike in the detectors.
-    number = F.coalesce(
-        ta.path_number(facts.args, path), ta.path_flag(facts.args, path).cast("double")
-    )
-    text = ta.path_text(facts.args, path)
+    number = F.coalesce(ta.path_number(args, path), ta.path_flag(args, path).cast("double"))
+    text = ta.path_text(args, path)
     if "numeric_gte" in leaf:
         return number >= float(leaf["numeric_gte"])
     if "numeric_lt" in leaf:
@@ -141,54 +136,70 @@ def _leaf_column(leaf: dict, plane: str, facts: Facts) -> Column:
         return ta.unbounded_mutation(ta.strip_sql_comments(text))
     if "shell_pattern_in" in leaf:
         return ta.has_shell_pattern(ta.squeeze(text), leaf["shell_pattern_in"])
-    return F.lit(False)
+    return None
+
+
+def _listed(values: list[str]) -> str:
+    return ", ".join(literal(v) for v in values)
+
+
+def _leaf_sql(leaf: dict, plane: str, facts: Facts) -> str:
+    if "category" in leaf:
+        score = facts.score(plane, leaf["category"])
+        parts = [f"{score} IS NOT NULL"]
+        if "score_gte" in leaf:
+            parts.append(f"{score} >= {float(leaf['score_gte'])!r}D")
+        if "score_lt" in leaf:
+            parts.append(f"{score} < {float(leaf['score_lt'])!r}D")
+        return " AND ".join(parts)
+    if "bytes_gt" in leaf:
+        return f"{facts.byte_count} > {int(leaf['bytes_gt'])}"
+    if "tool_name_in" in leaf:
+        return f"{facts.tool} IN ({_listed(leaf['tool_name_in'])})"
+    if "tool_not_in" in leaf:
+        return f"{facts.tool} NOT IN ({_listed(leaf['tool_not_in'])})"
+    if "argument_path" in leaf:
+        condition = _argument_check(leaf, facts.args)
+        return "false" if condition is None else facts.check(condition)
+    return "false"
 
 
-def compile_condition(condition: dict, plane: str, facts: Facts) -> Column:
-    """A condition tree as one boolean column that is never null."""
-    if "all" in condition:
-        parts = [compile_condition(c, plane, facts) for c in condition["all"]]
-        return reduce(lambda a, b: a & b, parts)
-    if "any" in condition:
-        parts = [compile_condition(c, plane, facts) for c in condition["any"]]
-        return reduce(lambda a, b: a | b, parts)
-    return F.coalesce(_leaf_column(condition, plane, facts), F.lit(False))
+def compile_condition(condition: dict, plane: str, facts: Facts) -> str:
+    """A condition tree as one boolean SQL expression that is never null."""
+    for key, word in (("all", " AND "), ("any", " OR ")):
+        if key in condition:
+            return "(" + word.join(compile_condition(c, plane, facts) for c in condition[key]) + ")"
+    return f"coalesce({_leaf_sql(condition, plane, facts)}, false)"
 
 
-def hits_column(policy: Policy, facts: Facts) -> Column:
-    """Every matching rule of the policy, in rule order, as an array of structs."""
+def hits_sql(policy: Policy, facts: Facts) -> str:
+    """SQL: every matching rule of the policy, in rule order, as an array of structs."""
     hits = []
     for position, rule in enumerate(policy.rules):
         if rule.get("when") is None or "rate_limit" in rule:
             continue
-        matched = F.lit(False)
-        categories = []
+        matched, categories = [], []
         for plane in rule["plane"]:
             here = compile_condition(rule["when"], plane, facts)
-            matched = matched | here
+            matched.append(here)
             categories += [
-                F.when(here & facts.score(plane, c).isNotNull(), F.lit(c))
+                f"CASE WHEN {here} AND {facts.score(plane, c)} IS NOT NULL THEN {literal(c)} END"
                 for c in rule_categories(rule)
             ]
         seen = (
-            F.array_sort(F.array_distinct(F.array_compact(F.array(*categories))))
+            f"array_sort(array_distinct(array_compact(array({', '.join(categories)}))))"
             if categories
-            else F.array().cast("array<string>")
+            else "CAST(array() AS array<string>)"
         )
         hits.append(
-            F.when(
-                matched,
-                F.struct(
-                    F.lit(position).alias("position"),
-                    F.lit(rule["id"]).alias("rule_id"),
-                    F.lit(rule["verdict"]).alias("verdict"),
-                    F.lit(rule.get("transformation", "NONE")).alias("transformation"),
-                    F.lit(rule["reason_code"]).alias("reason_code"),
-                    seen.alias("matched_categories"),
-                ),
-            )
+            f"CASE WHEN {' OR '.join(matched)} THEN named_struct('position', {position}, "
+            f"'rule_id', {literal(rule['id'])}, 'verdict', {literal(rule['verdict'])}, "
+            f"'transformation', {literal(rule.get('transformation', 'NONE'))}, "
+            f"'reason_code', {literal(rule['reason_code'])}, 'matched_categories', {seen}) END"
         )
-    return F.array_compact(F.array(*hits))
+    if not hits:
+        return "array()"
+    return f"array_compact(array({', '.join(hits)}))"
 
 
 # --- rules as a dimension ------------------------------------------------------
