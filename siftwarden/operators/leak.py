@@ -87,18 +87,19 @@ def _text_keys(kinds: list[int], widths: list[int]) -> Column:
     return F.expr("concat(" + ", ".join(f"coalesce({p}, array())" for p in parts) + ")")
 
 
-def numbered_texts(messages: DataFrame, decode: bool) -> DataFrame:
+def numbered_texts(messages: DataFrame, decode: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     """(txn_id, turn, vidx, decoded_depth, text): normalised texts and what they hide."""
-    prepared = messages.select("txn_id", "turn", tx.normalize(F.col("text")).alias("norm"))
+    keys = ["txn_id", "turn", *keep]
+    prepared = messages.select(*keys, tx.normalize(F.col("text")).alias("norm"))
     if not decode:
         return prepared.select(
-            "txn_id", "turn", F.lit(0).alias("vidx"), F.lit(0).alias("decoded_depth"), F.col("norm").alias("text")
+            *keys, F.lit(0).alias("vidx"), F.lit(0).alias("decoded_depth"), F.col("norm").alias("text")
         )
     prepared = prepared.withColumn("variants", tx.hidden_texts(F.col("norm")))
     return (
-        prepared.select("txn_id", "turn", F.posexplode_outer(F.expr(ALL_TEXTS)).alias("vidx", "v"))
+        prepared.select(*keys, F.posexplode_outer(F.expr(ALL_TEXTS)).alias("vidx", "v"))
         .where(F.col("v").isNotNull())
-        .select("txn_id", "turn", "vidx", F.col("v.depth").alias("decoded_depth"), F.col("v.text").alias("text"))
+        .select(*keys, "vidx", F.col("v.depth").alias("decoded_depth"), F.col("v.text").alias("text"))
     )
 
 
@@ -137,9 +138,12 @@ def canary_hits(messages: DataFrame, protected: DataFrame, decode: bool = True)
     pairs = offered.join(keys, ["kind", "key"]).select(
         "txn_id", "turn", "vidx", "canary_id", "canary"
     )
-    # Only messages with a candidate are normalised again for the full check.
-    suspects = messages.join(pairs.select("txn_id", "turn"), ["txn_id", "turn"], "left_semi")
-    held = pairs.join(numbered_texts(suspects, decode), ["txn_id", "turn", "vidx"]).withColumn(
+    # Only messages with a candidate are normalised again, for the full check.
+    suspects = messages.select("txn_id", "turn", "text").join(
+        pairs.withColumnRenamed("vidx", "_vidx"), ["txn_id", "turn"]
+    )
+    checked = numbered_texts(suspects, decode, ("canary_id", "canary", "_vidx"))
+    held = checked.where(F.col("vidx") == F.col("_vidx")).withColumn(
         "start", F.expr("instr(text, canary) - 1")
     )
     return (
