@@ -88,13 +88,18 @@ def stream_metrics(spark, sf):
 
 @query("stream_approvals", f"WITH {_REPLAY_SQL} SELECT approval_id, state, n_events FROM folded")
 def stream_approvals(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
     rows = request_feed(spark, sf).select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("approval_id"),
         "ts", F.col("event_id").alias("seq"), src.case_col("event_type", src.STATE_OF_EVENT).alias("to_state"),
         F.lit(None).cast("timestamp").alias("expires_at"),
     )
-    changes = caught_up(jobs.approvals(rows), "approvals")
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        changes = caught_up(jobs.approvals(rows), "approvals")
+    finally:
+        spark.conf.set(setting, before)
     return changes.groupBy("approval_id").agg(
         F.max_by("state", F.struct("ts", "seq")).alias("state"), F.count("*").alias("n_events")
     )
