@@ -46,10 +46,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for materialised intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``; a private temporary folder
-    is used only where that is unset, which is the local test case.
+    A cluster names it in ``spark.checkpoint.dir`` and must do so: executors do not
+    see each other's disks. A temporary folder serves only a local session, where
+    driver and executors are one process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    return root or tempfile.mkdtemp(prefix="siftwarden-")
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="siftwarden-")
