@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwarden.llm import exact, langid
+from siftwarden.llm import exact, langid, packing, sharding, warc
+from siftwarden.llm.tables import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +48,44 @@ FROM norm JOIN grouped USING (content)"""
 @query("op3_exact_dedup", EXACT_SQL)
 def op3_exact_dedup(spark, sf):
     return exact.duplicates(table(spark, sf, "documents"))
+
+
+@query("op2_sharding")
+def op2_sharding(spark, sf):
+    placed = sharding.external_shuffle(table(spark, sf, "documents"), shards=8, seed=20240)
+    text = F.col("row.text")
+    return placed.select(
+        "row.doc_id", sharding.text_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+large AS (SELECT body, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY body)
+SELECT page_id, n AS payload_bytes, sha1(p.body) AS payload_digest,
+  CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < first THEN first END AS refers_to
+FROM p LEFT JOIN large ON p.body = large.body"""
+
+
+@query("op9_warc", WARC_SQL)
+def op9_warc(spark, sf):
+    path = scratch(spark, "warc")
+    warc.write(warc.revisits(table(spark, sf, "pages"), "page_id", "html", least=1000), path)
+    number = lambda c: F.regexp_extract(c, "urn:page:(-?[0-9]+)", 1).try_cast("bigint")
+    fields = ["record_type", "record_id", "refers_to", "payload_digest", "payload_bytes"]
+    whole = warc.read(spark, path, [*fields, "payload"]).where("record_type = 'response'")
+    again = warc.read(spark, path, fields).where("record_type = 'revisit'")
+    found = whole.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha1("payload")})
+    return found.drop("payload").unionByName(again).select(
+        number("record_id").alias("page_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        "record_type", number("refers_to").alias("refers_to"),
+    )
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark, sf):
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
