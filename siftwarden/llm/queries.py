@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwarden.llm import exact, langid, packing, sharding, warc
+from siftwarden.llm import exact, langid, near, packing, sharding, warc
 from siftwarden.llm.tables import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op10_best_fit_packing(spark, sf):
     import public_tokenizers
 
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark, sf):
+    return near.join(table(spark, sf, "documents"))
