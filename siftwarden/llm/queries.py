@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwarden.llm import exact, langid, near, packing, sharding, warc
+from siftwarden.llm import exact, importance, langid, near, packing, sharding, urls, warc
 from siftwarden.llm.tables import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,60 @@ def op10_best_fit_packing(spark, sf):
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark, sf):
     return near.join(table(spark, sf, "documents"))
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    n = labels.agg(F.count("*").alias("all"), F.count_if(good).alias("good")).first()
+    ratios = importance.fit(docs, labels.where(good), n["good"])
+    # As many documents as the labels say are good.
+    return importance.resample(docs, ratios, share=n["good"] / max(n["all"], 1))
+
+
+# The rules the query is given: verdict, host, path.
+URL_RULES = (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def _url_sql() -> str:
+    values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    steps = "\n".join(
+        f"""r{i + 1} AS MATERIALIZED (SELECT kind, node, sum(rank) AS rank FROM (
+          SELECT kind, node, mass * {1 - urls.DAMPING} AS rank FROM seeds UNION ALL
+          SELECT kind, dst, rank * share * {urls.DAMPING} FROM r{i} JOIN flow USING (kind, node)) GROUP BY ALL),"""
+        for i in range(urls.ROUNDS)
+    )
+    return rf"""
+WITH rules(v, h, p) AS (VALUES {values}),
+page AS MATERIALIZED (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+    '{urls.ASCII_UPPER}', '{urls.ASCII_LOWER}') AS host,
+  regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+fits AS (SELECT host, path, max(struct_pack(n := length(h) + length(p), k := length(h), rule := h || p, v := v)) AS best
+  FROM (SELECT DISTINCT host, path FROM page) JOIN rules
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path),
+ruled AS MATERIALIZED (SELECT page_id, page.host, page.path, best.rule AS rule, best.v AS verdict
+  FROM page LEFT JOIN fits ON page.host = fits.host AND page.path = fits.path),
+seeds AS MATERIALIZED (SELECT verdict AS kind, host AS node, count(*) / sum(count(*)) OVER (PARTITION BY verdict) AS mass
+  FROM ruled WHERE verdict IS NOT NULL GROUP BY verdict, host),
+links AS MATERIALIZED (SELECT host AS src, translate(dst, '{urls.ASCII_UPPER}', '{urls.ASCII_LOWER}') AS dst, count(*) AS n FROM (
+  SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '{urls.LINK.replace("'", "''")}', 1)) AS dst FROM page)
+  WHERE host <> '' AND host <> translate(dst, '{urls.ASCII_UPPER}', '{urls.ASCII_LOWER}') GROUP BY ALL),
+flow AS MATERIALIZED (SELECT 'allow' AS kind, src AS node, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM links
+  UNION ALL SELECT 'block', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM links),
+r0 AS (SELECT kind, node, mass AS rank FROM seeds),
+{steps}
+hosts AS (SELECT node AS host, round(coalesce(sum(rank) FILTER (kind = 'allow'), 0) / sum(rank), 9) AS trust
+  FROM r{urls.ROUNDS} GROUP BY node)
+SELECT page_id, ruled.host AS host, path, rule,
+  coalesce(verdict, CASE WHEN trust < {urls.LEAST} THEN 'block' ELSE 'allow' END) AS verdict, trust
+FROM ruled LEFT JOIN hosts ON ruled.host = hosts.host"""
+
+
+@query("op8_url_filters", _url_sql())
+def op8_url_filters(spark, sf):
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return urls.judge(table(spark, sf, "pages"), rules)
