@@ -57,8 +57,8 @@ def fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def host_links(pages: DataFrame) -> DataFrame:
     """``src``, ``dst`` and number of links between different hosts."""
-    to = F.translate(F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)), ASCII_UPPER, ASCII_LOWER)
-    links = pages.select(F.col("host").alias("src"), to.alias("dst")).where("src <> '' and src <> dst")
+    links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("to"))
+    links = links.select("src", F.translate("to", ASCII_UPPER, ASCII_LOWER).alias("dst")).where("src <> '' and src <> dst")
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
