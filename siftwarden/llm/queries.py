@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwarden.llm import exact, importance, langid, near, packing, sharding, urls, warc
+from siftwarden.llm import exact, importance, langid, mixing, near, packing, sharding, urls, warc
 from siftwarden.llm.tables import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,19 @@ FROM ruled LEFT JOIN hosts ON ruled.host = hosts.host"""
 def op8_url_filters(spark, sf):
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return urls.judge(table(spark, sf, "pages"), rules)
+
+
+@query("op6_mixing")
+def op6_mixing(spark, sf):
+    narrow = mixing.mix_documents(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+    domains = sorted(mixing.WEIGHTS)
+    return narrow.select(
+        "row.doc_id", "tokens", *[F.col("p")[i].alias("p_" + d.replace("-", "_")) for i, d in enumerate(domains)], "rate"
+    )
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
