@@ -54,28 +54,29 @@ def terms_of(text: Column) -> Column:
     return F.concat(F.split(letters, " "), F.split(signs, " "))
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sizes: dict[str, int], sample: int = SAMPLE) -> DataFrame:
+def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], n_labelled: int, sample: int = SAMPLE) -> DataFrame:
     """``row`` (all columns), ``tokens`` and ``p``, the posterior of each domain, for every document.
 
-    ``labelled`` has ``doc_id`` and ``domain``; ``sizes`` counts its rows by domain.
+    ``labelled`` has ``doc_id`` and ``domain``, and ``n_labelled`` rows.
     """
     if len(domains) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), terms_of(F.col("text")).alias("words"), tokens_of(F.col("text")).alias("tokens"))
     seen = HashingTF(inputCol="words", outputCol="features", numFeatures=FEATURES, binary=True)
-    n = sum(sizes.values())
-    if len([d for d in domains if sizes.get(d)]) < 2:
-        sure = [1.0 if sizes.get(d) or (not n and d == domains[0]) else 0.0 for d in domains]
-        return rows.select("row", "tokens", F.array(*map(F.lit, sure)).alias("p"))
-    rate = min(1.0, sample / n)
+    rate = min(1.0, sample / max(n_labelled, 1))
     chosen = labelled.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
     chosen = chosen.groupBy(F.col("doc_id").alias("key")).agg(F.min("domain").alias("domain"))
     index = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(float(i)))])
     # About ``sample`` keys at most, however long the labelled table.
     known = rows.join(F.broadcast(chosen), "key").select("words", index[F.col("domain")].alias("label"))
+    known = written(seen.transform(known).select("features", "label"), "labelled")
+    present = [int(r["label"]) for r in known.select("label").distinct().collect()]
+    if len(present) < 2:
+        only = present[0] if present else 0
+        return rows.select("row", "tokens", F.array(*[F.lit(float(i == only)) for i in range(len(domains))]).alias("p"))
     learner = LogisticRegression(family="multinomial", maxIter=40, regParam=PENALTY, standardization=False)
     # The sample is bounded, and each of its parts returns a gradient as wide as the model.
-    model = learner.fit(written(seen.transform(known).select("features", "label"), "labelled").repartition(FIT_PARTS))
+    model = learner.fit(known.repartition(FIT_PARTS))
     told = model.transform(seen.transform(rows))
     p = vector_to_array("probability")
     missing = len(domains) - model.numClasses
@@ -157,8 +158,8 @@ def targets_of(natural: np.ndarray, domains: list[str], weights: dict[str, float
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str) -> DataFrame:
     """``row``, ``tokens``, ``p`` and ``rate`` of every document, for target weights by domain."""
     domains = sorted(weights)
-    sizes = {r["domain"]: r["count"] for r in labelled.where(F.col("domain").isin(domains)).groupBy("domain").count().collect()}
-    told = posteriors(docs, labelled.where(F.col("domain").isin(domains)), domains, sizes)
+    labelled = labelled.where(F.col("domain").isin(domains))
+    told = posteriors(docs, labelled, domains, labelled.count())
     told = written(told, "posteriors")
     sums = told.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
     targets = targets_of(np.array(sums, float), domains, weights, anchor)
