@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwarden.llm import words
-from siftwarden.llm.tables import bounded_batches, written
+from siftwarden.llm.tables import BATCH_BYTES, bounded_batches, written
 
 BUCKETS = 1 << 16
 SAMPLE = 20_000
@@ -49,7 +49,7 @@ def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(batches):
     total = np.zeros((2, BUCKETS))
-    for batch in batches:
+    for batch in (part for whole in batches for part in words.slices(whole, "text", BATCH_BYTES)):
         found, rows = buckets(batch.column("text"))
         good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
         total[0] += np.bincount(found, minlength=BUCKETS)
@@ -88,8 +88,11 @@ def log_ratio(docs: DataFrame, ratios: np.ndarray):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        found, rows = buckets(texts)
-        return pa.array(np.bincount(rows, shared.value[found], len(texts)))
+        def of(part: pa.Array) -> pa.Array:
+            found, rows = buckets(part)
+            return pa.array(np.bincount(rows, shared.value[found], len(part)))
+
+        return words.sliced(texts, BATCH_BYTES, of)
 
     return score(docs["text"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwarden.llm import words
-from siftwarden.llm.tables import bounded_batches
+from siftwarden.llm.tables import BATCH_BYTES, bounded_batches
 
 BUCKETS = 1 << 16
 SAMPLE = 2000
@@ -79,7 +79,7 @@ def features(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _counted(batches):
     """Feature counts of each label in each batch; scripts come after the buckets."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in words.slices(whole, "text", BATCH_BYTES)):
         codes, distinct, offsets = letter_words(batch.column("text"))
         bucket, owner, script = features(distinct)
         labels = batch.column("label").dictionary_encode()
@@ -212,7 +212,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", penalty: float = S
 
     @F.arrow_udf(ANSWER)
     def answer(texts: pa.Array) -> pa.Array:
-        return label_texts(texts, shared.value, penalty)
+        return words.sliced(texts, BATCH_BYTES, lambda part: label_texts(part, shared.value, penalty))
 
     return answer(df[text])
 

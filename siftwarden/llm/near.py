@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwarden.llm import words
-from siftwarden.llm.tables import bounded_batches, written
+from siftwarden.llm.tables import BATCH_BYTES, bounded_batches, written
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -99,9 +99,7 @@ def signatures(grams: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
 
 def _sketched(width: int, bands: int, rows: int):
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in words.slices(whole, "text", BATCH_BYTES)):
             grams, starts, same = shingles(batch.column("text"), width)
             has = np.diff(starts) > 0
             hashes = signatures(grams, starts, bands, rows).view(np.int64)

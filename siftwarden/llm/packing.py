@@ -23,11 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwarden.llm import words
 from siftwarden.llm.tables import bounded_batches, worker_cache, written
 
 CAPACITY = 2048
 GROUP = 20_000
-CACHE = 400_000
+CACHE = 200_000  # parts of words a worker keeps, twice; about 200 bytes each
+ENCODE_BYTES = 8 << 20
 SEPARATOR = 0
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -98,9 +100,7 @@ class Encoder:
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches):
         encoder = Encoder(path)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in words.slices(whole, "text", ENCODE_BYTES)):
             ids, bounds = encoder.ids(batch.column("text"))
             sizes = np.diff(bounds)
             cuts = -(-sizes // capacity)
@@ -124,7 +124,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The pieces of every document; ``with_ids`` adds their ids as little-endian bytes."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, ENCODE_BYTES)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(_pieces(tokenizer, capacity, with_ids), PIECES + (", ids binary" if with_ids else ""))
 

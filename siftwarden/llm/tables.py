@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwarden.session import checkpoint_root
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -25,9 +25,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound what one Arrow batch holds by bytes as well as by rows, as texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def worker_cache(name: str) -> dict:

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes of text: Spark bounds batches by rows alone in some operators."""
+    ends = np.cumsum(pc.binary_length(pc.fill_null(batch.column(column), "")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def sliced(texts: pa.Array, size: int, work: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``work`` on a text array in such parts."""
+    parts = [work(b.column(0)) for b in slices(pa.record_batch([texts], ["text"]), "text", size)]
+    return pa.concat_arrays(parts) if parts else work(texts)
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whitespace-separated words of each text: codes, distinct words, row offsets.
 
