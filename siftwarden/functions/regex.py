@@ -70,6 +70,26 @@ element_at(transform(array(
   ), 1)
 ), 1)"""
 
+
+def running_max(values: Column) -> Column:
+    """For each of an array of numbers from 0 on, the largest before it (-1 for the first), block by block."""
+
+    def within(tops: Column) -> Column:
+        def at(heads: Column, j: Column) -> Column:
+            block = F.floor(j / _BLOCK).cast("int")
+            own = F.array_max(F.slice(values, block * _BLOCK + 1, j % _BLOCK))
+            return F.greatest(F.get(heads, block), F.coalesce(own, F.lit(-1)))
+
+        heads = F.transform(tops, lambda _, k: F.coalesce(F.array_max(F.slice(tops, F.lit(1), k)), F.lit(-1)))
+        return let(heads, lambda h: F.transform(values, lambda _, j: at(h, j)))
+
+    tops = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")),
+        lambda k: F.array_max(F.slice(values, k * _BLOCK + 1, F.lit(_BLOCK))),
+    )
+    return let(tops, within)
+
+
 # ``m`` are the matches, ``w`` the widths of the pieces between them, ``b`` the
 # widths of everything before each piece.
 _SPANS = """

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import base64
+import binascii
 import functools
 import re
 import unicodedata
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,77 +137,83 @@ def _possessive(pattern: str) -> str:
     return java_pattern(pattern) + "+"
 
 
-# A text without such a run hides nothing.
-ANY_RUN = r"[A-Za-z0-9+/]{16}|(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~-]){10}"
+# A text without such a run hides nothing: a hex run is of the first kind too, and a
+# percent run needs escapes.
+ANY_RUN = r"[A-Za-z0-9+/]{16}|%[0-9A-Fa-f]{2}"
 
 RUNS = {
     "base64": java_pattern(d.BASE64_RUN),
     "hex": _possessive(d.HEX_RUN),
     "percent": _possessive(d.PERCENT_RUN),
 }
+VARIANT_TYPE = "array<struct<text:string,depth:int,encoding:string>>"
+_VARIANT_ARROW = pa.struct([("text", pa.string()), ("depth", pa.int32()), ("encoding", pa.string())])
+
 
+def _percent_bytes(run: str) -> bytes:
+    if len(re.findall(d.PERCENT_ESCAPE, run)) < d.MIN_PERCENT_ESCAPES:
+        raise ValueError("too few escapes")
+    return unquote_to_bytes(run)
 
-def _readable(text: str) -> bool:
-    shown = sum(ch.isprintable() or ch in "\n\r\t" for ch in text)
-    return bool(text) and shown / len(text) >= d.MIN_PRINTABLE_RATIO
 
+# Encoding, shape of its runs, and the bytes of a run (an error where it has none).
+_ENCODINGS = (
+    ("base64", d.BASE64_RUN, lambda run: binascii.a2b_base64(run + "=" * (-len(run) % 4), strict_mode=True)),
+    ("hex", d.HEX_RUN, bytes.fromhex),
+    ("percent", d.PERCENT_RUN, _percent_bytes),
+)
+_HIDDEN_CHARS = regex.compile(r"[\p{C}\p{Z}--[ \n\r\t]]", regex.V1)
 
-def _decode_run(encoding: str, run: str) -> str | None:
-    """One run decoded under one encoding; None unless it is readable UTF-8."""
+
+def _said(bytes_of, run: str) -> str | None:
+    """What a run says, None unless it is UTF-8 that can be read."""
     try:
-        if encoding == "base64":
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        elif encoding == "hex":
-            raw = bytes.fromhex(run)
-        elif run.count("%") and len(re.findall(d.PERCENT_ESCAPE, run)) >= d.MIN_PERCENT_ESCAPES:
-            raw = unquote_to_bytes(run)
-        else:
-            return None
-        text = raw.decode("utf-8")
+        text = bytes_of(run).decode()
     except ValueError:
         return None
-    return text if text != run and _readable(text) else None
+    hidden = len(_HIDDEN_CHARS.findall(text))
+    return text if text not in ("", run) and len(text) - hidden >= d.MIN_PRINTABLE_RATIO * len(text) else None
 
 
-_STRIP_AND_FOLD = {ord(ch): None for ch in _STRIPPED} | {
-    ord(a): b for a, b in zip(d.HOMOGLYPHS_FROM, d.HOMOGLYPHS_TO, strict=True)
-}
+def _peeled(texts: pd.Series) -> pd.DataFrame:
+    """One layer off a column of texts: (row, inner, encoding) in the order of rows, texts and encodings."""
+    tables = []
+    for rank, (encoding, shape, bytes_of) in enumerate(_ENCODINGS):
+        runs = texts.reset_index(drop=True).str.findall(shape).explode().dropna()
+        said = runs.map(functools.partial(_said, bytes_of)).dropna()
+        tables.append(pd.DataFrame({"at": said.index, "inner": said.array, "rank": rank, "encoding": encoding}))
+    table = pd.concat(tables).sort_values(["at", "rank"], kind="stable")
+    return table.assign(row=texts.index.to_numpy()[table["at"].to_numpy(int)])[["row", "inner", "encoding"]]
 
 
-def _normalize_one(text: str) -> str:
-    folded = unicodedata.normalize("NFKC", text).translate(_STRIP_AND_FOLD)
-    return re.sub(r"\s+", " ", folded).strip()
+_FOLD = str.maketrans({**dict.fromkeys(_STRIPPED), **dict(zip(d.HOMOGLYPHS_FROM, d.HOMOGLYPHS_TO, strict=True))})
 
 
-def _hidden_texts(text: str, depth: int) -> list[dict]:
-    """All texts hidden in one text, layer by layer, each taken once."""
-    shapes = {"base64": d.BASE64_RUN, "hex": d.HEX_RUN, "percent": d.PERCENT_RUN}
-    seen, front, found = {text}, [text], []
-    for level in range(1, depth + 1):
-        fresh = []
-        for outer in front:
-            for encoding, shape in shapes.items():
-                for run in re.finditer(shape, outer):
-                    inner = _decode_run(encoding, run.group())
-                    if inner is not None and inner not in seen:
-                        seen.add(inner)
-                        fresh.append(_normalize_one(inner))
-                        found.append({"text": fresh[-1], "depth": level, "encoding": encoding})
-        front = fresh
-    return found
+def _settled(texts: pd.Series) -> pd.Series:
+    """``normalize`` of a column of texts."""
+    return texts.str.normalize("NFKC").str.translate(_FOLD).str.replace(r"\s+", " ", regex=True).str.strip()
 
 
-VARIANT_TYPE = "array<struct<text:string,depth:int,encoding:string>>"
-_VARIANT_ARROW = pa.list_(
-    pa.struct([("text", pa.string()), ("depth", pa.int32()), ("encoding", pa.string())])
-)
+def _variants(texts: pd.Series, depth: int) -> pd.DataFrame:
+    """(row, text, depth, encoding): all layers of a column, as tables. A row's inner text counts once."""
+    met, layers = pd.DataFrame({"row": texts.index, "inner": texts.array, "encoding": None}), []
+    for level in range(1, depth + 1):
+        known = len(met)
+        met = pd.concat([met, _peeled(texts)]).drop_duplicates(["row", "inner"])
+        fresh = met.iloc[known:]
+        texts = _settled(fresh.set_index("row")["inner"].astype(object))
+        layers.append(fresh.assign(text=texts.array, depth=level))
+    return pd.concat(layers).sort_values("row", kind="stable")
 
 
 @functools.cache
 def _hidden_udf(depth: int):
     def apply(values: pa.Array) -> pa.Array:
-        rows = [None if v is None else _hidden_texts(v, depth) for v in values.to_pylist()]
-        return pa.array(rows, _VARIANT_ARROW)
+        texts = values.to_pandas().dropna()
+        found = _variants(texts, depth) if len(texts) else pd.DataFrame(columns=["row", "text", "depth", "encoding"])
+        ends = np.searchsorted(found["row"].to_numpy(int), np.arange(len(values) + 1)).astype(np.int32)
+        columns = [pa.array(found[f.name].to_list(), f.type) for f in _VARIANT_ARROW]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(_VARIANT_ARROW)))
 
     apply.__annotations__ = {"values": pa.Array, "return": pa.Array}
     return F.arrow_udf(apply, VARIANT_TYPE)
@@ -213,8 +222,9 @@ def _hidden_udf(depth: int):
 def hidden_texts(text: Column, depth: int = d.MAX_DECODE_DEPTH) -> Column:
     """The texts hidden in a normalised text, up to ``depth`` layers down.
 
-    Nested decoding is beyond Spark's expressions, so texts that hold a candidate
-    run, and only those, go through Python in Arrow batches.
+    Spark composes no Unicode forms, so layers cannot be peeled by its expressions alone:
+    texts that hold a run, and only those, go through Python, a whole Arrow batch as one
+    table per layer.
     """
     live = F.when(text.rlike(ANY_RUN), text)
     return F.coalesce(_hidden_udf(depth)(live), F.array().cast(VARIANT_TYPE))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,74 +94,49 @@ def edges_column(source: Column, target: Column) -> Column:
 _CODE = {state: i for i, state in enumerate(d.APPROVAL_STATES)}
 
 
-def _step_table() -> np.ndarray:
-    """table[event, state] = the state afterwards; an illegal event changes nothing."""
+def _step_sql(state: str, code: str) -> str:
+    """SQL: the state after an event; an illegal or unknown event changes nothing."""
     n = len(d.APPROVAL_STATES)
-    table = np.tile(np.arange(n), (n + 1, 1))
+    legal = [["NULL"] * n for _ in range(n)]
     for a, b in d.APPROVAL_EDGES:
-        table[_CODE[b], _CODE[a]] = _CODE[b]
-    return table
+        legal[_CODE[b]][_CODE[a]] = str(_CODE[b])
+    rows = ", ".join("array(" + ", ".join(f"CAST({x} AS INT)" for x in row) + ")" for row in legal)
+    return f"coalesce(get(get(array({rows}), {code}), {state}), {state})"
+
+
+def _runs(events: DataFrame) -> DataFrame:
+    """The events of each approval and hour in order: (approval_id, slice, run)."""
+    states = F.array(*[F.lit(s) for s in d.APPROVAL_STATES])
+    code = F.coalesce(F.array_position(states, F.col("to_state")) - 1, F.lit(-1)).cast("int")
+    rows = events.select(
+        "approval_id", hour_slice(F.col("ts")).alias("slice"),
+        F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("bigint").alias("seq"), code.alias("code"), "to_state").alias("e"),
+    )
+    return rows.groupBy("approval_id", "slice").agg(F.array_sort(F.collect_list("e")).alias("run"))
+
+
+def _maps(runs: DataFrame) -> DataFrame:
+    """Each run as a map from the state before it to the state after it, and how many events it rejects."""
+    step = _step_sql("a.s", "e.code")
+    one = f"""aggregate(run, named_struct('s', s, 'bad', 0L),
+      (a, e) -> named_struct('s', {step}, 'bad', a.bad + CASE WHEN {step} = a.s THEN 1L ELSE 0L END))"""
+    return runs.select(
+        "approval_id", "slice", F.size("run").cast("bigint").alias("n"),
+        F.expr(f"transform(sequence(0, {len(d.APPROVAL_STATES) - 1}), s -> {one})").alias("m"),
+    )
 
 
 def replay(events: DataFrame) -> DataFrame:
     """Fold each approval's events (approval_id, ts, seq, to_state), from PENDING.
 
-    A run of events is a map from the state before it to the state after it, and
-    such maps compose. The log is range-partitioned by (approval, time), so even
-    one approval with a large part of all events is spread evenly; each part
-    reduces its runs to maps, and only those few maps are gathered per approval.
+    A run of events is a map from the state before it to the state after it, and such
+    maps compose: the events of one approval and hour are reduced to one map, and only
+    those maps are gathered per approval. A task holds one approval's hour at most.
     """
-    ordered = (
-        events.select(
-            "approval_id", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("bigint").alias("seq"),
-            F.coalesce(
-                F.array_position(F.array(*[F.lit(s) for s in d.APPROVAL_STATES]), F.col("to_state")) - 1,
-                F.lit(-1),
-            ).cast("int").alias("code"),
-        )
-        .repartitionByRange("approval_id", "ts", "seq")
-        .sortWithinPartitions("approval_id", "ts", "seq")
-    )
-    n = len(d.APPROVAL_STATES)
-    table = _step_table()
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, key, ends, missed, first, count = [], None, None, None, None, 0
-
-        def close():
-            out.append((key, first[0], first[1], count, ends.tolist(), missed.tolist()))
-
-        for batch in batches:
-            rows = zip(batch["approval_id"], batch["ts"], batch["seq"], batch["code"], strict=True)
-            for approval, ts, seq, code in rows:
-                if approval != key:
-                    if key is not None:
-                        close()
-                    key, first, count = approval, (ts, seq), 0
-                    ends, missed = np.arange(n), np.zeros(n, dtype=np.int64)
-                after = table[code if code >= 0 else n, ends]
-                missed += after == ends
-                ends, count = after, count + 1
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-                out.clear()
-        if key is not None:
-            close()
-            yield pd.DataFrame(out, columns=columns)
-
-    columns = ["approval_id", "ts", "seq", "n_events", "ends", "missed"]
-    key_type = dict(events.dtypes)["approval_id"]
-    maps = ordered.mapInPandas(
-        runs,
-        f"approval_id {key_type}, ts timestamp, seq bigint, n_events bigint, "
-        "ends array<int>, missed array<bigint>",
-    )
-    folded = maps.groupBy("approval_id").agg(
+    folded = _maps(_runs(events)).groupBy("approval_id").agg(
         F.expr(
-            """aggregate(array_sort(collect_list(struct(ts, seq, n_events, ends, missed))),
-                 named_struct('s', 0, 'bad', 0L, 'n', 0L),
-                 (acc, r) -> named_struct('s', r.ends[acc.s], 'bad', acc.bad + r.missed[acc.s],
-                                          'n', acc.n + r.n_events))"""
+            """aggregate(array_sort(collect_list(struct(slice, n, m))), named_struct('s', 0, 'bad', 0L, 'n', 0L),
+                 (acc, r) -> named_struct('s', r.m[acc.s].s, 'bad', acc.bad + r.m[acc.s].bad, 'n', acc.n + r.n))"""
         ).alias("f")
     )
     return folded.select(
@@ -183,12 +155,25 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def illegal_transitions(events: DataFrame) -> DataFrame:
-    """Reported state changes that no allowed edge explains."""
-    pairs = with_previous(events, ["approval_id"], ["ts", "seq"], "to_state", hour_slice(F.col("ts")), "from_state")
-    source = F.coalesce("from_state", F.lit("PENDING"))
-    return pairs.where(~edges_column(source, F.col("to_state"))).select(
-        "approval_id", "seq", source.alias("from_state"), "to_state"
+    """Events that no allowed edge explains, from the state the approval was really in."""
+    runs = _runs(events)
+    starts = _maps(runs).groupBy("approval_id").agg(
+        F.expr(
+            """aggregate(array_sort(collect_list(struct(slice, m))),
+                 named_struct('s', 0, 'at', CAST(array() AS array<struct<slice: bigint, s: int>>)),
+                 (acc, r) -> named_struct('s', r.m[acc.s].s, 'at', concat(acc.at, array(named_struct('slice', r.slice, 's', acc.s))))).at"""
+        ).alias("at")
+    ).select("approval_id", F.inline("at"))
+    step = _step_sql("a.s", "e.code")
+    kind = "array<struct<seq: bigint, s: int, to_state: string>>"
+    wrong = F.expr(
+        f"""aggregate(run, named_struct('s', s, 'bad', CAST(array() AS {kind})), (a, e) -> named_struct('s', {step}, 'bad',
+              CASE WHEN {step} = a.s THEN concat(a.bad, array(named_struct('seq', e.seq, 's', a.s, 'to_state', e.to_state)))
+                   ELSE a.bad END)).bad"""
     )
+    found = runs.join(starts, ["approval_id", "slice"]).select("approval_id", F.inline(wrong))
+    state = F.element_at(F.array(*[F.lit(s) for s in d.APPROVAL_STATES]), F.col("s") + 1)
+    return found.select("approval_id", "seq", state.alias("from_state"), "to_state")
 
 
 # --- decisions --------------------------------------------------------------------

@@ -371,6 +371,10 @@ def prepare_texts(messages: DataFrame, detectors: Iterable[DetectorSpec]) -> Dat
     return df
 
 
+def failure_sql(detector: str) -> str:
+    return finding_sql(detector, quote(d.OPERATIONAL_CATEGORY), "0D", "'LOW'")
+
+
 def scan(
     messages: DataFrame, detectors: Iterable[DetectorSpec], salt: str, keep: Iterable[str] = ()
 ) -> DataFrame:
@@ -380,9 +384,10 @@ def scan(
     """
     detectors = list(detectors)
     prepared = prepare_texts(messages, detectors)
+    # A detector fails for itself alone: null is its mark, not the row's end.
     arrays = ", ".join(
-        f"CASE WHEN plane IN ({', '.join(map(quote, sorted(s.planes)))}) "
-        f"THEN {s.findings(salt)} ELSE {NO_FINDINGS} END"
+        f"CASE WHEN plane IN ({', '.join(map(quote, sorted(s.planes)))}) AND norm IS NOT NULL "
+        f"THEN coalesce({s.findings(salt)}, array({failure_sql(s.id)})) ELSE {NO_FINDINGS} END"
         for s in detectors
     )
     keys = ["txn_id", "turn", "plane", *keep]
@@ -430,24 +435,14 @@ def scan_message_schema(messages: DataFrame, salt: str) -> DataFrame:
 
 
 def quarantine(
-    messages: DataFrame, max_chars: int, detectors: Iterable[DetectorSpec], salt: str
+    messages: DataFrame, detectors: Iterable[DetectorSpec], salt: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Scan texts up to a size; mark each longer one with an operational finding.
+    """All findings, and per message the detectors that failed on it.
 
-    Returns (findings, degraded messages). A text over the bound is not scanned:
-    it yields a DETECTOR_TIMEOUT finding per detector that would have read it,
-    so its transaction is reported as degraded instead of failing the job.
+    A detector whose expression gives null for a text has failed there: it leaves one
+    operational finding, the other detectors go on, and the transaction is reported as
+    degraded. Texts are scanned whole, however long.
     """
-    detectors = list(detectors)
-    long = F.length("text") > max_chars
-    scanned = scan(messages.where(~long), detectors, salt)
-    skipped = messages.where(long)
-    marks = ", ".join(
-        f"CASE WHEN plane IN ({', '.join(map(quote, sorted(s.planes)))}) THEN "
-        + finding_sql(s.id, quote(d.OPERATIONAL_CATEGORY), "0D", "'LOW'") + " END"
-        for s in detectors
-    )
-    marked = skipped.select(
-        "txn_id", "turn", "plane", F.posexplode(F.expr(f"array_compact(array({marks}))")).alias("ord", "f")
-    ).select("txn_id", "turn", "plane", "ord", "f.*")
-    return scanned.unionByName(marked), skipped.select("txn_id", "turn", "plane", F.length("text").alias("n_chars"))
+    found = scan(messages, detectors, salt)
+    failed = found.where(F.col("category") == d.OPERATIONAL_CATEGORY)
+    return found, failed.groupBy("txn_id", "turn", "plane").agg(F.array_sort(F.collect_set("detector_id")).alias("failed"))

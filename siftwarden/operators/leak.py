@@ -20,6 +20,7 @@ from siftwarden import domains as d
 from siftwarden.functions import text as tx
 from siftwarden.functions.hashing import salted_hash_sql
 from siftwarden.operators.detect import ALL_TEXTS, finding_sql
+from siftwarden.operators.variants import with_variants
 
 GRAM = 3  # tokens per hashed run
 WINDOW = 4  # runs per selection window
@@ -95,7 +96,7 @@ def numbered_texts(messages: DataFrame, decode: bool, keep: tuple[str, ...] = ()
         return prepared.select(
             *keys, F.lit(0).alias("vidx"), F.lit(0).alias("decoded_depth"), F.col("norm").alias("text")
         )
-    prepared = prepared.withColumn("variants", tx.hidden_texts(F.col("norm")))
+    prepared = with_variants(prepared)
     return (
         prepared.select(*keys, F.posexplode_outer(F.expr(ALL_TEXTS)).alias("vidx", "v"))
         .where(F.col("v").isNotNull())

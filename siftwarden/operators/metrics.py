@@ -182,11 +182,14 @@ def throughput(samples: DataFrame, label: str, ts: str) -> DataFrame:
 
 
 def counter_increase(scrapes: DataFrame) -> DataFrame:
-    """Increase between scrapes (series, ts, value); a drop is a counter reset."""
-    before = with_previous(scrapes, ["series"], ["ts"], "value", hour_slice(F.col("ts")), "before")
+    """Increase between scrapes (series, ts, seq, value); a drop is a counter reset.
+
+    ``seq`` orders scrapes of the same time.
+    """
+    before = with_previous(scrapes, ["series"], ["ts", "seq"], "value", hour_slice(F.col("ts")), "before")
     grown = F.col("value") - F.col("before")
     return before.select(
-        "series", "ts", "value",
+        "series", "ts", "seq", "value",
         F.when(F.col("before").isNull(), F.lit(0)).when(grown < 0, F.col("value")).otherwise(grown).alias("increase"),
     )
 

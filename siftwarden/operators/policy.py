@@ -36,6 +36,11 @@ class Policy:
                 raise ValueError(f"rule {rule.get('id')}: missing {sorted(missing)}")
             if rule["verdict"] not in d.VERDICT_RANK:
                 raise ValueError(f"rule {rule['id']}: unknown verdict {rule['verdict']}")
+            unknown = set(rule["plane"]) - set(d.PLANES)
+            if unknown or rule.get("transformation", "NONE") not in ("NONE", *d.TRANSFORMATION_ORDER):
+                raise ValueError(f"rule {rule['id']}: unknown plane or transformation")
+            if rule.get("when") is not None:
+                check_condition(rule["when"], rule["id"])
         canonical = json.dumps(document, sort_keys=True, separators=(",", ":"))
         version = "sha256:" + hashlib.sha256(canonical.encode()).hexdigest()
         return Policy(tuple(document["rules"]), dict(document.get("detectors", {})), version)
@@ -83,6 +88,29 @@ RULE_KEYS = {
 }
 
 
+# The keys of each kind of condition: that which names the kind, and what may stand beside it.
+CONDITION_KEYS = {
+    "all": set(), "any": set(), "category": {"score_gte", "score_lt"}, "bytes_gt": set(), "tool_name_in": set(), "tool_not_in": set(),
+    "argument_path": {"numeric_gte", "numeric_lt", "sql_verb_in", "sql_unbounded_mutation", "shell_pattern_in"},
+}
+
+
+def check_condition(condition: dict, rule_id: str) -> None:
+    """Refuse a condition that says nothing, two things at once, or something unknown."""
+    kinds = set(condition) & set(CONDITION_KEYS)
+    if len(kinds) != 1:
+        raise ValueError(f"rule {rule_id}: a condition is one of {sorted(CONDITION_KEYS)}, got {sorted(condition)}")
+    kind = kinds.pop()
+    beside = set(condition) - {kind}
+    if beside - CONDITION_KEYS[kind] or (kind == "argument_path" and len(beside) != 1):
+        raise ValueError(f"rule {rule_id}: unknown keys beside {kind}: {sorted(beside)}")
+    if kind in ("all", "any"):
+        if not condition[kind]:
+            raise ValueError(f"rule {rule_id}: empty {kind}")
+        for part in condition[kind]:
+            check_condition(part, rule_id)
+
+
 def _leaves(condition: dict) -> Iterator[dict]:
     children = [*condition.get("all", []), *condition.get("any", [])]
     if children:
@@ -93,7 +121,7 @@ def _leaves(condition: dict) -> Iterator[dict]:
 
 
 def rule_categories(rule: dict) -> list[str]:
-    found = {leaf["category"] for leaf in _leaves(rule.get("when", {})) if "category" in leaf}
+    found = {leaf["category"] for leaf in _leaves(rule.get("when") or {}) if "category" in leaf}
     return sorted(found)
 
 
@@ -237,6 +265,12 @@ def leaf_rows(policy: Policy) -> list[tuple]:
     return rows
 
 
+def governed_categories(spark: SparkSession, policy: Policy) -> DataFrame:
+    """Every category that some rule mentions, however deep in its condition."""
+    names = sorted({c for rule in policy.rules for c in rule_categories(rule)})
+    return spark.createDataFrame([(c,) for c in names], "category string")
+
+
 def rules_table(spark: SparkSession, policy: Policy) -> DataFrame:
     """The category rules as a table: a few dozen rows, one policy document's worth."""
     return spark.createDataFrame(leaf_rows(policy), LEAF_SCHEMA)

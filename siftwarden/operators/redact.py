@@ -6,14 +6,18 @@ typed placeholders, all inside the row that holds the text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwarden import domains as d
-from siftwarden.functions.regex import let
+from siftwarden.functions.regex import let, running_max
 from siftwarden.operators.detect import REDACTED_KINDS
 
 _SPAN = "struct<start:int,end:int,label:string>"
+_BLOCK = 4096
+_FEW_SPANS = 32
 
 
 def label_rank(label: Column) -> Column:
@@ -35,39 +39,41 @@ def merge_overlaps(spans: Column) -> Column:
     """Merge spans that overlap; touching spans stay apart.
 
     The label of the most sensitive span wins and the earlier one keeps it on a
-    tie. The fold works on the distinct islands, whose number is what the result
-    holds anyway.
+    tie. A span opens an island where it begins at or after all ends before it, so
+    the work grows with the number of spans, not with its square.
     """
-    ordered = F.transform(
-        F.array_sort(
-            F.transform(
-                spans,
-                lambda s, i: F.struct(
-                    s["start"].alias("start"), i.alias("pos"), s["end"].alias("end"), s["label"].alias("label")
-                ),
-            )
-        ),
-        lambda s: F.struct(s["start"], s["end"], s["label"]).cast(_SPAN),
+    ordered = F.array_sort(
+        F.transform(
+            spans,
+            lambda s, i: F.struct(
+                s["start"].alias("start"), i.alias("pos"), s["end"].alias("end"), s["label"].alias("label"),
+                label_rank(s["label"]).alias("rank"),
+            ),
+        )
     )
 
-    def step(acc: Column, span: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        overlaps = (F.size(acc) > 0) & (span["start"] < last["end"])
-        joined = F.struct(
-            F.least(last["start"], span["start"]).alias("start"),
-            F.greatest(last["end"], span["end"]).alias("end"),
-            F.when(label_rank(span["label"]) > label_rank(last["label"]), span["label"])
-            .otherwise(last["label"])
-            .alias("label"),
-        ).cast(_SPAN)
-        return F.when(
-            F.coalesce(overlaps, F.lit(False)),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined)),
-        ).otherwise(F.concat(acc, F.array(span)))
-
-    return F.when(F.size(spans) <= 1, spans.cast(f"array<{_SPAN}>")).otherwise(
-        F.aggregate(ordered, F.array().cast(f"array<{_SPAN}>"), step)
-    )
+    def islands(o: Column, opens: Column) -> Column:
+        def island(at: Column, k: Column) -> Column:
+            stop = F.coalesce(F.get(opens, k + 1), F.size(o))
+            own = F.slice(o, at + 1, stop - at)
+            lead = F.array_max(F.transform(own, lambda z, i: F.struct(z["rank"], -i, z["label"].alias("label"))))["label"]
+            return F.struct(
+                F.get(o, at)["start"].alias("start"), F.array_max(F.transform(own, lambda z: z["end"])).alias("end"), lead.alias("label")
+            ).cast(_SPAN)
+
+        return F.transform(opens, island)
+
+    def merged(o: Column) -> Column:
+        ends = F.transform(o, lambda z: z["end"])
+        return let(
+            running_max(ends),
+            lambda before: let(
+                F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: F.get(o, i)["start"] >= F.get(before, i)),
+                lambda opens: islands(o, opens),
+            ),
+        )
+
+    return F.when(F.size(spans) <= 1, spans.cast(f"array<{_SPAN}>")).otherwise(let(ordered, merged))
 
 
 def redaction_spans(text: str) -> Column:
@@ -75,18 +81,33 @@ def redaction_spans(text: str) -> Column:
 
 
 def replace_spans(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its typed placeholder."""
+    """The text with each span replaced by its typed placeholder.
 
-    def piece(span: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
-        return F.concat(
-            F.substring(text, before + 1, span["start"] - before),
-            F.lit("[REDACTED:"), span["label"], F.lit("]"),
-        )
+    Positions count characters, which a UTF-8 string has to be walked for. A text with
+    many spans is cut into blocks once, so that no piece is looked for from its beginning.
+    """
+
+    def rebuilt(part: Callable[[Column, Column], Column]) -> Column:
+        def piece(span: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+            return F.concat(part(before, span["start"]), F.lit("[REDACTED:"), span["label"], F.lit("]"))
 
-    tail = F.substring(text, F.get(spans, F.size(spans) - 1)["end"] + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.concat(F.array_join(F.transform(spans, piece), ""), tail)
+        tail = part(F.get(spans, F.size(spans) - 1)["end"], F.length(text))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), tail)
+
+    def by_block(blocks: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            first = F.floor(a / _BLOCK).cast("int")
+            last = F.floor((b - 1) / _BLOCK).cast("int")
+            near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+            return F.when(b > a, F.substring(near, (a - first * _BLOCK + 1).cast("int"), b - a)).otherwise("")
+
+        return rebuilt(part)
+
+    plain = rebuilt(lambda a, b: F.substring(text, a + 1, b - a))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    return (
+        F.when(F.size(spans) == 0, text).when(F.size(spans) <= _FEW_SPANS, plain).otherwise(let(blocks, by_block))
     )
 
 

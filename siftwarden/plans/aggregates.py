@@ -123,10 +123,15 @@ def agg_findings_summary(spark, sf):
     )
 
 
-@query("agg_detector_versions")
+@query(
+    "agg_detector_versions",
+    f"""WITH {src.FINDINGS_SQL}, v AS (SELECT DISTINCT txn_id, detector_id, '1.' || (ord2 % 3) || '.0' AS version FROM findings)
+    SELECT txn_id, string_agg(detector_id || '=' || version, ',' ORDER BY detector_id, version) AS detectors FROM v GROUP BY 1""",
+)
 def agg_detector_versions(spark, sf):
-    named = F.struct("detector_id", F.lit("1.0.0").alias("version"))
-    return src.findings(spark, sf).groupBy("txn_id").agg(
+    version = F.concat(F.lit("1."), (F.col("ord2") % 3).cast("string"), F.lit(".0"))
+    named = F.struct("detector_id", "version")
+    return src.findings(spark, sf).withColumn("version", version).groupBy("txn_id").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_set(named)), lambda x: F.concat(x["detector_id"], F.lit("="), x["version"])), ","
         ).alias("detectors")
@@ -246,9 +251,24 @@ def agg_latency_summary(spark, sf):
     return metrics.latency_summary(rows, "shape", "l_extendedprice").withColumn("mean", F.round("mean", 6))
 
 
-@query("agg_latency_approx")
+@query(
+    "agg_latency_approx",
+    "SELECT event_type, count(value) AS n, true AS p50_ok, true AS p95_ok, true AS p99_ok FROM events GROUP BY 1",
+)
 def agg_latency_approx(spark, sf):
-    return metrics.approx_summary(table(spark, sf, "events"), "event_type", "value")
+    """Whether each approximate percentile has its rank, within one part in a thousand."""
+    events = table(spark, sf, "events")
+    approx = metrics.approx_summary(events, "event_type", "value")
+    ranks = events.select("event_type", "value").join(approx, "event_type").groupBy("event_type", "n").agg(
+        *[F.count_if(F.col("value") < F.col(p)).alias(f"{p}_less") for p in ("p50", "p95", "p99")],
+        *[F.count_if(F.col("value") <= F.col(p)).alias(f"{p}_most") for p in ("p50", "p95", "p99")],
+    )
+    slack = F.col("n") / 1000 + 1
+    ok = [
+        ((F.col(f"{p}_less") <= F.col("n") * q + slack) & (F.col(f"{p}_most") >= F.col("n") * q - slack)).alias(f"{p}_ok")
+        for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+    ]
+    return ranks.select("event_type", "n", *ok)
 
 
 @query(
@@ -301,23 +321,35 @@ def agg_cost_avoided(spark, sf):
 @query(
     "agg_corpus_score",
     f"""WITH {src.DECISIONS_SQL} SELECT CASE toxic WHEN 1 THEN 'TOXIC' ELSE 'BENIGN' END AS category, count(*) AS n,
-      count(*) FILTER (WHERE (verdict = 'DENY') = (toxic = 1)) AS n_ok,
-      round(count(*) FILTER (WHERE (verdict = 'DENY') = (toxic = 1)) / count(*), 9) AS share
-    FROM labels JOIN decisions ON doc_id = txn_id GROUP BY 1""",
+      count(*) FILTER (WHERE (coalesce(verdict, 'ALLOW') = 'DENY') = (toxic = 1)) AS n_ok,
+      round(count(*) FILTER (WHERE (coalesce(verdict, 'ALLOW') = 'DENY') = (toxic = 1)) / count(*), 9) AS share
+    FROM labels LEFT JOIN decisions ON doc_id = txn_id GROUP BY 1""",
 )
 def agg_corpus_score(spark, sf):
     from siftwarden.operators.corpus import score
 
     cases = table(spark, sf, "labels").select(F.col("doc_id").alias("txn_id"), "toxic")
-    joined = cases.join(src.decisions(spark, sf).select("txn_id", "verdict"), "txn_id")
+    # A case without findings is allowed.
+    joined = cases.join(src.decisions(spark, sf).select("txn_id", "verdict"), "txn_id", "left")
+    verdict = F.coalesce("verdict", F.lit("ALLOW"))
     compared = joined.select(
         F.when(F.col("toxic") == 1, "TOXIC").otherwise("BENIGN").alias("category"),
-        ((F.col("verdict") == "DENY") == (F.col("toxic") == 1)).alias("ok"),
+        ((verdict == "DENY") == (F.col("toxic") == 1)).alias("ok"),
     )
     return score(compared).withColumn("share", F.round("share", 9))
 
 
-@query("agg_corpus_distribution")
+_EXPECTED = ", ".join(f"({i}, '{c}', {n})" for i, (c, n) in enumerate(d.CORPUS_DISTRIBUTION.items()))
+
+
+@query(
+    "agg_corpus_distribution",
+    f"""WITH expected(i, category, expected) AS (VALUES {_EXPECTED}),
+    c AS (SELECT doc_id, count(*) AS k FROM labels GROUP BY 1),
+    counted AS (SELECT doc_id % {len(d.CORPUS_DISTRIBUTION)} AS i, sum(k)::BIGINT AS n, count(*) FILTER (k > 1) AS repeated_ids FROM c GROUP BY 1)
+    SELECT category, expected::BIGINT AS expected, coalesce(n, 0) AS n, coalesce(repeated_ids, 0) AS repeated_ids
+    FROM expected LEFT JOIN counted USING (i)""",
+)
 def agg_corpus_distribution(spark, sf):
     from siftwarden.operators.corpus import distribution
 
@@ -432,13 +464,13 @@ def win_latest_state(spark, sf):
 
 @query(
     "win_counter_increase",
-    """WITH e AS (SELECT event_type AS series, epoch_us(ts) AS us, json_extract_string(props, '$.k')::BIGINT AS value, ts FROM events),
-    b AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts) AS before FROM e)
+    """WITH e AS (SELECT event_type AS series, epoch_us(ts) AS us, json_extract_string(props, '$.k')::BIGINT AS value, ts, event_id FROM events),
+    b AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts, event_id) AS before FROM e)
     SELECT series, us, value, CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END AS increase FROM b""",
 )
 def win_counter_increase(spark, sf):
     scrapes = src.requests(spark, sf).select(
-        F.col("event_type").alias("series"), "ts", F.get_json_object("props", "$.k").cast("bigint").alias("value")
+        F.col("event_type").alias("series"), "ts", F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("bigint").alias("value")
     )
     out = metrics.counter_increase(scrapes)
     return out.select("series", F.unix_micros("ts").alias("us"), "value", "increase")
@@ -479,12 +511,12 @@ def top_recent_decisions(spark, sf):
 
 @query(
     "top_series",
-    f"WITH {src.HITS_SQL} SELECT reason_code AS name, count(*) AS value FROM hits GROUP BY 1 ORDER BY value DESC, name LIMIT 5",
+    f"WITH {src.HITS_SQL} SELECT reason_code AS name, count(*) AS value FROM hits GROUP BY 1 ORDER BY value DESC, name",
 )
 def top_series(spark, sf):
     hits = src.decisions(spark, sf).select(F.explode("policy_hits").alias("h"))
     counts = hits.groupBy(F.col("h.reason_code").alias("name")).agg(F.count("*").alias("value"))
-    return metrics.series(counts, 5)
+    return metrics.series(counts)
 
 
 @query(

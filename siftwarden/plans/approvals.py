@@ -34,11 +34,12 @@ def approvals_create(spark, sf):
     )
 
 
+_PAIRS_SQL = ", ".join(f"'{a}>{b}'" for a, b in d.APPROVAL_EDGES)
+_STEP_SQL = f"lambda s, e: CASE WHEN (s || '>' || e) IN ({_PAIRS_SQL}) THEN e ELSE s END"
 _REPLAY_SQL = f"""{src.APPROVAL_EVENTS_SQL},
 seqs AS (SELECT approval_id, list_prepend('PENDING', list(to_state ORDER BY ts, seq)) AS path, count(*) AS n_events
   FROM approval_events GROUP BY 1),
-folded AS (SELECT approval_id, n_events, list_reduce(path, lambda s, e: CASE WHEN (s || '>' || e) IN
-  ({', '.join(f"'{a}>{b}'" for a, b in d.APPROVAL_EDGES)}) THEN e ELSE s END) AS state FROM seqs)"""
+folded AS (SELECT approval_id, n_events, list_reduce(path, {_STEP_SQL}) AS state FROM seqs)"""
 
 
 @query("approvals_replay", f"WITH {_REPLAY_SQL} SELECT approval_id, state, n_events FROM folded")
@@ -48,8 +49,10 @@ def approvals_replay(spark, sf):
 
 @query(
     "approvals_illegal",
-    f"""WITH {src.APPROVAL_EVENTS_SQL}, l AS (SELECT approval_id, seq,
-      coalesce(lag(to_state) OVER (PARTITION BY approval_id ORDER BY ts, seq), 'PENDING') AS from_state, to_state FROM approval_events)
+    f"""WITH {src.APPROVAL_EVENTS_SQL},
+    k AS (SELECT approval_id, seq, to_state, list(to_state) OVER (PARTITION BY approval_id ORDER BY ts, seq
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM approval_events),
+    l AS (SELECT approval_id, seq, list_reduce(list_prepend('PENDING', coalesce(before, [])), {_STEP_SQL}) AS from_state, to_state FROM k)
     SELECT * FROM l WHERE (from_state, to_state) NOT IN ({src.EDGES_SQL})""",
 )
 def approvals_illegal(spark, sf):

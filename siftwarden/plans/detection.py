@@ -9,7 +9,7 @@ from siftwarden.operators import detect, leak, tools
 from siftwarden.operators import messages as ms
 from siftwarden.plans import inputs as src
 from siftwarden.plans.registry import query
-from siftwarden.plans.scalars import _COMMAND_CASE, _COMMANDS
+from siftwarden.plans.scalars import _COMMAND_CASE, _COMMANDS, hidden
 from siftwarden.sources.readers import table
 
 # Conversations with a phrase in front of each message, so that every pattern
@@ -105,13 +105,13 @@ def scan_indirect_injection(spark, sf):
 
 @query(
     "scan_encoded_payload",
-    f"""WITH {PROBES_SQL} SELECT p.txn_id, p.turn, 1::BIGINT AS decoded_depth FROM probes p
-      WHERE plane = 'input' AND (txn_id + turn) % {len(PHRASES)} = 1""",
+    f"""WITH {PROBES_SQL} SELECT p.txn_id, p.turn, CASE (txn_id + turn) % 5 WHEN 3 THEN 2 ELSE 1 END::BIGINT AS decoded_depth
+      FROM probes p WHERE plane = 'input' AND (txn_id + turn) % 5 < 4""",
 )
 def scan_encoded_payload(spark, sf):
-    phrase = (F.col("txn_id") + F.col("turn")) % len(PHRASES) == 1
-    hidden = F.concat(F.base64(F.lit(PHRASES[1]).cast("binary")), F.lit(" "), "text")
-    rows = src.conversations(spark, sf).withColumn("text", F.when(phrase, hidden).otherwise(F.col("text")))
+    """Messages behind a phrase in base64, hex, percent escapes, twice base64, or as it is."""
+    phrase = hidden(F.lit(PHRASES[1]), F.col("txn_id") + F.col("turn"))
+    rows = src.conversations(spark, sf).withColumn("text", F.concat(phrase, F.lit(" "), "text"))
     found = detect.scan(rows, [detect.prompt_injection()], src.SALT)
     return found.where(F.col("category") == "ENCODED_PAYLOAD").select(
         "txn_id", "turn", F.col("decoded_depth").cast("bigint").alias("decoded_depth")
@@ -376,7 +376,60 @@ def scan_tool_bad_json(spark, sf):
 # --- everything at once ------------------------------------------------------------------------------
 
 
-@query("scan_all")
+_PATTERN_OF = {k.name: k.pattern_id for k in (*detect.PII_KINDS.values(), *detect.SECRET_KINDS.values())}
+_SCORE_OF = {k.name: k.score for k in (*detect.PII_KINDS.values(), *detect.SECRET_KINDS.values())}
+
+
+def text_findings_sql(texts: str) -> str:
+    """CTEs ending in ``found_in(txn_id, plane, detector_id, category, pattern_id, score)``.
+
+    ``texts`` is SQL for (real, turn, plane, norm). The default policy names no topics.
+    """
+    kinds = [*detect.PII_KINDS, *detect.SECRET_KINDS]
+    docs = f"""docs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY plane, real, turn, norm) AS txn_id, real, plane, norm,
+      {src.word_fold_sql('norm')} AS folded FROM ({texts}))"""
+    values = value_sql(kinds).replace(src.DOCS_SQL, docs)
+    score = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in _SCORE_OF.items())
+
+    def family(patterns, plane: str, value: str = "{score}") -> str:
+        rows = f"(SELECT txn_id, 0 AS turn, folded AS f FROM docs WHERE plane = '{plane}')"
+        return family_sql(patterns, rows, "txn_id, turn", value)
+
+    parts = [
+        ("input", "prompt_injection", "PROMPT_INJECTION", family(d.INJECTION_PATTERNS, "input")),
+        ("input", "prompt_injection", "JAILBREAK", family(d.JAILBREAK_PATTERNS, "input")),
+        ("context", "indirect_injection", "INDIRECT_INJECTION", family(d.INJECTION_PATTERNS, "context", "greatest({score}, 0.85)")),
+        ("context", "indirect_injection", "INDIRECT_INJECTION", family(d.JAILBREAK_PATTERNS, "context", "greatest({score}, 0.85)")),
+    ]
+    injected = " UNION ALL ".join(
+        f"SELECT txn_id, '{plane}' AS plane, '{who}' AS detector_id, '{category}' AS category, pattern_id, score FROM ({rows})"
+        for plane, who, category, rows in parts
+    )
+    secret = f"kind IN ({src.sql_list(detect.SECRET_KINDS)})"
+    return f"""{values}, raised AS ({injected} UNION ALL
+      SELECT txn_id, plane, CASE WHEN {secret} THEN 'secrets' ELSE 'pii' END, CASE WHEN {secret} THEN 'SECRET_DETECTED' ELSE 'PII_DETECTED' END,
+        {src.case_sql('kind', _PATTERN_OF)}, CASE kind {score} END FROM found JOIN docs USING (txn_id)),
+    found_in AS (SELECT real AS txn_id, r.plane, detector_id, category, pattern_id, score FROM raised r JOIN docs USING (txn_id))"""
+
+
+def decided_sql(texts: str) -> str:
+    """The same, decided by the category rules: CTEs ending in ``decided(txn_id, verdict, ...)``."""
+    hits = src.DECISIONS_SQL.replace(src.FINDINGS_SQL, "findings AS (SELECT * FROM found_in)")
+    return f"{text_findings_sql(texts)}, {hits}"
+
+
+_PROBED = f"""SELECT txn_id AS real, turn, plane, {src.norm_sql(f'({_PROBE_TEXT})')} AS norm
+  FROM messages m JOIN phrases p ON p.i = (m.txn_id + m.turn) % {len(PHRASES)}"""
+_AS_CONTEXT = f"SELECT doc_id AS real, 0 AS turn, 'context' AS plane, {src.norm_sql('text')} AS norm FROM documents"
+SCAN_DECIDE_SQL = f"""WITH {PROBES_SQL}, {decided_sql(_PROBED)}
+  SELECT txn_id, coalesce(verdict, 'ALLOW') AS verdict FROM (SELECT DISTINCT txn_id FROM messages) LEFT JOIN decisions USING (txn_id)"""
+
+
+@query(
+    "scan_all",
+    f"""WITH {PROBES_SQL}, {text_findings_sql(f"{_PROBED} UNION ALL {_AS_CONTEXT}")}
+    SELECT plane, detector_id, category, pattern_id, count(*) AS n FROM found_in GROUP BY ALL""",
+)
 def scan_all(spark, sf):
     texts = probes(spark, sf).select("txn_id", "turn", "plane", "text").unionByName(
         src.documents(spark, sf).select("txn_id", "turn", "plane", "text")
@@ -385,12 +438,22 @@ def scan_all(spark, sf):
     return found.groupBy("plane", "detector_id", "category", "pattern_id").agg(F.count("*").alias("n"))
 
 
+
+
+# A user's own detector that gives up on some texts.
+FRAGILE = detect.DetectorSpec(
+    "fragile", frozenset({"context"}), lambda salt: f"CASE WHEN length(norm) % 7 <> 0 THEN {detect.NO_FINDINGS} END"
+)
+
+
 @query(
     "scan_quarantine",
-    f"""WITH {value_sql(detect.PII_KINDS)}, long AS (SELECT doc_id FROM documents WHERE length(text) > 20000)
-    SELECT 'PII_DETECTED' AS category, count(*) AS n FROM found WHERE txn_id NOT IN (SELECT doc_id FROM long) HAVING count(*) > 0
-    UNION ALL SELECT 'DETECTOR_TIMEOUT', count(*) FROM long HAVING count(*) > 0""",
+    f"""WITH {value_sql(detect.PII_KINDS)}
+    SELECT 'pii' AS detector_id, 'PII_DETECTED' AS category, count(*) AS n, count(DISTINCT txn_id) AS n_texts FROM found
+    UNION ALL SELECT 'fragile', 'DETECTOR_TIMEOUT', count(*), count(DISTINCT txn_id) FROM docs WHERE length(norm) % 7 = 0""",
 )
 def scan_quarantine(spark, sf):
-    found, _ = detect.quarantine(src.documents(spark, sf), 20000, [detect.pii()], src.SALT)
-    return found.groupBy("category").agg(F.count("*").alias("n"))
+    found, _ = detect.quarantine(src.documents(spark, sf), [detect.pii(), FRAGILE], src.SALT)
+    return found.groupBy("detector_id", "category").agg(
+        F.count("*").alias("n"), F.count_distinct("txn_id").alias("n_texts")
+    )

@@ -8,7 +8,7 @@ from siftwarden import domains as d
 from siftwarden.operators import approvals as ap
 from siftwarden.operators import audit, decide, leak
 from siftwarden.operators import messages as ms
-from siftwarden.operators.policy import rules_table
+from siftwarden.operators.policy import governed_categories, rules_table
 from siftwarden.plans import inputs as src
 from siftwarden.plans.registry import query
 from siftwarden.sources.readers import table
@@ -186,7 +186,7 @@ def join_rules_referenced(spark, sf):
 )
 def join_category_coverage(spark, sf):
     seen = src.findings(spark, sf).groupBy("category").agg(F.count("*").alias("n"))
-    return seen.join(rules_table(spark, src.POLICY).select("category"), "category", "left_anti")
+    return seen.join(governed_categories(spark, src.POLICY), "category", "left_anti")
 
 
 def decision_requests(spark, sf):

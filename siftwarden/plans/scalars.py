@@ -42,7 +42,8 @@ _RUNS = {"base64": d.BASE64_RUN, "hex": d.HEX_RUN, "percent": d.PERCENT_RUN}
     "decode_candidates",
     f"WITH {src.DOCS_SQL} "
     + " UNION ALL ".join(
-        f"SELECT txn_id, '{name}' AS encoding, unnest(regexp_extract_all(norm, {src.quote(run)})) AS run FROM docs"
+        f"""SELECT txn_id, '{name}' AS encoding, unnest(regexp_extract_all(norm, {src.quote(run)})) AS run FROM docs
+          WHERE regexp_matches(norm, '[A-Za-z0-9+/]{{16}}|%[0-9A-Fa-f]{{2}}')"""
         for name, run in _RUNS.items()
     ),
 )
@@ -50,9 +51,58 @@ def decode_candidates(spark, sf):
     return variants.candidate_runs(src.documents(spark, sf)).select("txn_id", "encoding", "run")
 
 
-@query("decode_variants")
+def hidden_sql(phrase: str, i: str) -> str:
+    """SQL for the oracle: a phrase in one of four hidings, or as it is, by ``i``."""
+    once = f"base64(encode({phrase}))"
+    return f"""CASE {i} % 5 WHEN 0 THEN {once} WHEN 1 THEN hex(encode({phrase}))
+      WHEN 2 THEN regexp_replace(hex(encode({phrase})), '(..)', '%\\1', 'g') WHEN 3 THEN base64(encode({once})) ELSE {phrase} END"""
+
+
+def hidden(phrase, i):
+    """The same as a column."""
+    once, hexed = F.base64(F.encode(phrase, "utf-8")), F.hex(F.encode(phrase, "utf-8"))
+    return (
+        F.when(i % 5 == 0, once).when(i % 5 == 1, hexed).when(i % 5 == 2, F.regexp_replace(hexed, "(..)", "%$1"))
+        .when(i % 5 == 3, F.base64(F.encode(once, "utf-8"))).otherwise(phrase)
+    )
+
+
+_SAID = {
+    "base64": "CASE WHEN length(r) % 4 <> 1 THEN TRY(decode(from_base64(r || repeat('=', ((4 - length(r) % 4) % 4)::INT)))) END",
+    "hex": "TRY(decode(unhex(r)))",
+    "percent": f"CASE WHEN len(regexp_extract_all(r, '{d.PERCENT_ESCAPE}')) >= {d.MIN_PERCENT_ESCAPES} THEN TRY(url_decode(r)) END",
+}
+
+
+def _layer_sql(level: int) -> str:
+    runs = " UNION ALL ".join(
+        f"""SELECT txn_id, '{name}' AS encoding, r, {_SAID[name]} AS inside FROM (SELECT txn_id,
+          unnest(regexp_extract_all(text, {src.quote(run)})) AS r FROM l{level - 1})"""
+        for name, run in _RUNS.items()
+    )
+    met = " ".join(f"AND NOT EXISTS (SELECT 1 FROM l{k} WHERE l{k}.txn_id = x.txn_id AND l{k}.inside = x.inside)" for k in range(level))
+    hidden_chars = "length(regexp_replace(regexp_replace(inside, '[ \\n\\r\\t]', '', 'g'), '[^\\p{C}\\p{Z}]', '', 'g'))"
+    return f"""l{level} AS MATERIALIZED (SELECT txn_id, inside, min(encoding) AS encoding, {src.norm_sql('inside')} AS text
+      FROM ({runs}) x WHERE inside <> r AND length(inside) > 0 AND inside IS NOT NULL
+      AND (length(inside) - {hidden_chars}) / length(inside) >= {d.MIN_PRINTABLE_RATIO} {met} GROUP BY txn_id, inside)"""
+
+
+DECODED_SQL = ", ".join(_layer_sql(k) for k in (1, 2, 3))
+
+
+@query(
+    "decode_variants",
+    f"""WITH l0 AS MATERIALIZED (SELECT txn_id, text, text AS inside FROM (SELECT doc_id AS txn_id,
+      {src.norm_sql(f"({hidden_sql("'note ' || doc_id || ' is hidden here'", 'doc_id')} || ' ' || text)")} AS text FROM documents)),
+    {DECODED_SQL}
+    SELECT txn_id, 0::BIGINT AS turn, text, depth::INT AS decoded_depth, encoding FROM (
+      SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3)""",
+)
 def decode_variants(spark, sf):
-    return variants.text_variants(src.documents(spark, sf)).where(F.col("decoded_depth") > 0)
+    """Every text behind a phrase that is hidden in one of four ways."""
+    phrase = F.concat(F.lit("note "), F.col("txn_id").cast("string"), F.lit(" is hidden here"))
+    docs = src.documents(spark, sf).withColumn("text", F.concat(hidden(phrase, F.col("txn_id")), F.lit(" "), "text"))
+    return variants.text_variants(docs).where(F.col("decoded_depth") > 0)
 
 
 @query(
@@ -103,9 +153,16 @@ def salted_hash(spark, sf):
     )
 
 
-@query("material_hash")
+@query(
+    "material_hash",
+    f"""WITH {src.MESSAGES_SQL} SELECT txn_id, 'sha256:' || sha256('{{"messages":[' || string_agg(
+      '{{"content":' || to_json(text) || ',"role":' || to_json(role) || '}}', ',' ORDER BY turn) || '],"tools":[]}}') AS material_hash
+    FROM (SELECT txn_id, turn, role, regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g') AS text FROM messages) GROUP BY txn_id""",
+)
 def material_hash(spark, sf):
-    return ms.material_text(src.conversations(spark, sf)).select(
+    # SQL has no escapes beyond ASCII; a test covers those.
+    plain = src.conversations(spark, sf).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "~"))
+    return ms.material_text(plain).select(
         "txn_id", hashing.sha256_tag(F.col("material")).alias("material_hash")
     )
 
@@ -230,9 +287,14 @@ def token_estimate(spark, sf):
     )
 
 
-@query("tool_candidates")
+@query(
+    "tool_candidates",
+    f"""WITH {src.CALLS_SQL} SELECT txn_id, 0::INT AS pos, tool, CASE WHEN txn_id % 3 = 0 THEN '{{}}' ELSE '{{"n":' || txn_id || '}}' END AS args FROM calls""",
+)
 def tool_candidates(spark, sf):
-    c = src.calls(spark, sf)
+    # Every third call has parameters that are no object.
+    args = F.when(F.col("txn_id") % 3 == 0, "[1]").otherwise(F.concat(F.lit('{"n":'), F.col("txn_id").cast("string"), F.lit("}")))
+    c = src.calls(spark, sf).withColumn("args", args)
     function = F.struct(F.col("tool").alias("name"), F.col("args").alias("parameters"))
     entries = F.array(
         F.struct(F.lit("function").alias("type"), function.alias("function")),
@@ -241,9 +303,14 @@ def tool_candidates(spark, sf):
     return tools.candidates(c.select("txn_id", entries.alias("tools")))
 
 
-@query("first_tool_call")
+@query(
+    "first_tool_call",
+    f"""WITH {src.CALLS_SQL} SELECT txn_id, tool, '{{"n":' || txn_id || '}}' AS args FROM calls WHERE txn_id % 3 <> 0""",
+)
 def first_tool_call(spark, sf):
-    c = src.calls(spark, sf)
+    # Every third response has a call without arguments.
+    args = F.when(F.col("txn_id") % 3 != 0, F.concat(F.lit('{"n":'), F.col("txn_id").cast("string"), F.lit("}")))
+    c = src.calls(spark, sf).withColumn("args", args)
     call = F.struct(F.struct(F.col("tool").alias("name"), F.col("args").alias("arguments")).alias("function"))
     message = F.struct(F.array(call, call).alias("tool_calls"))
     body = F.to_json(F.struct(F.array(F.struct(message.alias("message"))).alias("choices")))
@@ -302,12 +369,15 @@ def bounded_tool_label(spark, sf):
     return src.calls(spark, sf).groupBy(label.alias("tool_name")).agg(F.count("*").alias("n"))
 
 
+_LATER = "2003-01-01 00:00:00"  # after the newest approval
+
+
 @query(
     "age_and_deadline",
     f"""WITH {src.APPROVALS_SQL}, s AS (SELECT approval_id,
-      (epoch_us(TIMESTAMP '{src.NOW}') - epoch_us(created_at)) // 1000000 AS a,
-      (epoch_us(expires_at) - epoch_us(TIMESTAMP '{src.NOW}')) // 1000000 AS l
-      FROM approvals WHERE created_at <= TIMESTAMP '{src.NOW}')
+      (epoch_us(TIMESTAMP '{_LATER}') - epoch_us(created_at)) // 1000000 AS a,
+      (epoch_us(expires_at) - epoch_us(TIMESTAMP '{_LATER}')) // 1000000 AS l
+      FROM approvals)
     SELECT approval_id, a AS age_seconds, l AS left_seconds,
       CASE WHEN a < 45 THEN 'just now' WHEN a < 3600 THEN (a // 60) || 'm ago'
            WHEN a < 86400 THEN (a // 3600) || 'h ago' ELSE (a // 86400) || 'd ago' END AS age_text,
@@ -316,9 +386,8 @@ def bounded_tool_label(spark, sf):
     FROM s""",
 )
 def age_and_deadline(spark, sf):
-    now = F.lit(src.NOW).cast("timestamp")
-    rows = src.approvals(spark, sf).where(F.col("created_at") <= now)
-    return ap.age_and_deadline(rows, now).select(
+    now = F.lit(_LATER).cast("timestamp")
+    return ap.age_and_deadline(src.approvals(spark, sf), now).select(
         "approval_id", "age_seconds", "left_seconds", "age_text", "left_text"
     )
 

@@ -32,10 +32,16 @@ def scan_messages(spark, sf):
     return ms.from_requests(requests)
 
 
-@query("scan_corpus_jsonl")
+@query(
+    "scan_corpus_jsonl",
+    """SELECT CASE WHEN conv_id % 10 <> 0 THEN 'CASE-' || conv_id END AS case_id,
+      CASE WHEN conv_id % 10 <> 0 THEN count(*)::INT END AS n_messages, CASE WHEN conv_id % 10 <> 0 THEN 'ALLOW' END AS expected_verdict,
+      conv_id % 10 = 0 AS broken FROM conversations GROUP BY conv_id""",
+)
 def scan_corpus_jsonl(spark, sf):
     """Conversations written as corpus lines and read back, with one broken line per tenth case."""
     turns = readers.table(spark, sf, "conversations")
+    # A case is one conversation.
     cases = turns.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m")
     )
@@ -49,7 +55,7 @@ def scan_corpus_jsonl(spark, sf):
     cases.select(line.alias("value")).write.text(path)
     read = readers.read_corpus(spark, path)
     return read.select(
-        "case_id", "category", F.size("payload.messages").alias("n_messages"), "expected_verdict",
+        "case_id", F.when(F.col("payload").isNotNull(), F.size("payload.messages")).alias("n_messages"), "expected_verdict",
         F.col("_corrupt_record").isNotNull().alias("broken"),
     )
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siftwarden.plans import inputs as src
 from siftwarden.plans.aggregates import _CHAIN_SQL, _LIMIT, _WINDOW
-from siftwarden.plans.approvals import _REPLAY_SQL
+from siftwarden.plans.approvals import _PAIRS_SQL
+from siftwarden.plans.detection import SCAN_DECIDE_SQL, probes
 from siftwarden.plans.registry import ORACLES, query
 from siftwarden.plans.sources import scratch
 from siftwarden.sources import readers
@@ -17,7 +18,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def feed(spark, sf: str, name: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream, be it one file or a folder of files: the pattern is on its own name."""
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def request_feed(spark, sf) -> DataFrame:
@@ -39,13 +41,23 @@ def source_request_stream(spark, sf):
     return caught_up(rows, "requests")
 
 
-@query("stream_scan_decide")
+def request_messages(spark, sf) -> DataFrame:
+    """Conversations as nested requests, each with a phrase in front of its messages."""
+    turns = probes(spark, sf)
+    nested = turns.groupBy("txn_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return nested.select(
+        "txn_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")
+    )
+
+
+@query("stream_scan_decide", SCAN_DECIDE_SQL)
 def stream_scan_decide(spark, sf):
     path = scratch(spark, "scan-decide")
-    turns = feed(spark, sf, "conversations", "conv_id bigint, turn bigint, role string, text string")
-    jobs.scan_and_decide(turns, src.POLICY, src.SALT, path, f"{path}/checkpoint").awaitTermination()
-    done = spark.read.parquet(f"{path}/decisions")
-    return done.select("txn_id", "verdict", "transformation", "risk_level", "payload_bytes")
+    requests = request_messages(spark, sf)
+    requests.repartition(4).write.parquet(f"{path}/requests")
+    feed_ = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/requests")
+    jobs.scan_and_decide(feed_, src.POLICY, src.SALT, path, f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/decisions").select("txn_id", "verdict")
 
 
 @query("stream_rate_limit", ORACLES["win_rate_limit"])
@@ -78,22 +90,40 @@ def stream_idempotency(spark, sf):
 @query(
     "stream_metrics",
     """WITH w AS (SELECT date_trunc('hour', ts) AS s, event_type, count(*) AS n FROM events GROUP BY ALL)
-    SELECT epoch_us(s) // 1000000 AS start_s, event_type, n FROM w
-    WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    SELECT epoch_us(s) // 1000000 AS start_s, event_type, n FROM w""",
 )
 def stream_metrics(spark, sf):
-    out = caught_up(jobs.metrics(request_feed(spark, sf)), "metrics")
+    """Every window, those still open at the end included: updates are kept and the last one counts."""
+    path = scratch(spark, "metrics")
+    jobs.updates(jobs.metrics(request_feed(spark, sf)), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{path}/out").groupBy("start", "event_type").agg(F.max_by("n", "batch_id").alias("n"))
     return out.select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
 
 
-@query("stream_approvals", f"WITH {_REPLAY_SQL} SELECT approval_id, state, n_events FROM folded")
+EXPIRY_HOUR = 15  # approvals of a day expire then
+
+# A late event, or the watermark passing the deadline, expires an open approval.
+_LIVE_SQL = f"""{src.APPROVAL_EVENTS_SQL},
+seqs AS (SELECT approval_id, date_trunc('day', min(ts)) + INTERVAL {EXPIRY_HOUR} HOUR AS deadline, count(*) AS n_events,
+  list_prepend('PENDING', list(CASE WHEN ts >= date_trunc('day', ts) + INTERVAL {EXPIRY_HOUR} HOUR THEN '!' ELSE '' END || to_state
+    ORDER BY ts, seq)) AS path FROM approval_events GROUP BY 1),
+folded AS (SELECT approval_id, deadline, n_events, list_reduce(path, lambda s, e:
+  CASE WHEN starts_with(e, '!') AND s IN ('PENDING', 'APPROVED') THEN 'EXPIRED'
+       WHEN (s || '>' || ltrim(e, '!')) IN ({_PAIRS_SQL}) THEN ltrim(e, '!') ELSE s END) AS state FROM seqs)"""
+
+
+@query(
+    "stream_approvals",
+    f"""WITH {_LIVE_SQL} SELECT approval_id, n_events, CASE WHEN state IN ('PENDING', 'APPROVED')
+      AND deadline <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE THEN 'EXPIRED' ELSE state END AS state FROM folded""",
+)
 def stream_approvals(spark, sf):
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     rows = request_feed(spark, sf).select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("approval_id"),
         "ts", F.col("event_id").alias("seq"), src.case_col("event_type", src.STATE_OF_EVENT).alias("to_state"),
-        F.lit(None).cast("timestamp").alias("expires_at"),
+        (F.date_trunc("day", "ts") + F.make_interval(hours=F.lit(EXPIRY_HOUR))).alias("expires_at"),
     )
     spark.conf.set(setting, ROCKSDB)
     try:
@@ -101,7 +131,9 @@ def stream_approvals(spark, sf):
     finally:
         spark.conf.set(setting, before)
     return changes.groupBy("approval_id").agg(
-        F.max_by("state", F.struct("ts", "seq")).alias("state"), F.count("*").alias("n_events")
+        # An expiry row has no seq; nothing leaves the expired state.
+        F.coalesce(F.max(F.when(F.col("state") == "EXPIRED", "EXPIRED")), F.max_by("state", F.struct("ts", "seq"))).alias("state"),
+        F.count("seq").alias("n_events"),
     )
 
 

@@ -1,7 +1,7 @@
 """Structured Streaming twins of the batch jobs.
 
-Inputs are streaming tables of requests (event_id, ts, user_id, event_type,
-value, props) or turns (conv_id, turn, role, text). Writers take the folder of
+Inputs are streaming tables of request events (event_id, ts, user_id, event_type,
+value, props) or of whole requests (txn_id, messages). Writers take the folder of
 the query's checkpoint; every sink is idempotent per micro-batch, so a batch
 that is repeated after a failure leaves the same result.
 """
@@ -40,12 +40,15 @@ def for_each_batch(
 
 
 def scan_and_decide(
-    turns: DataFrame, policy: Policy, salt: str, out: str, checkpoint: str, once: bool = True
+    requests: DataFrame, policy: Policy, salt: str, out: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """Findings and decisions of each micro-batch of requests."""
+    """Findings and decisions of each micro-batch of requests (txn_id, messages).
+
+    A request comes whole, with all its messages, so it is decided once.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        msgs = messages.from_turns(batch)
+        msgs = messages.from_requests(batch)
         findings = detect.scan(msgs, detect.text_detectors(policy), salt)
         write_batch(findings, f"{out}/findings", batch_id)
         # Read back what was written instead of scanning the texts again.
@@ -55,7 +58,7 @@ def scan_and_decide(
         sized = messages.payload_bytes(msgs)
         write_batch(decide.decide_requests(written, policy, sized), f"{out}/decisions", batch_id)
 
-    return for_each_batch(turns, handle, checkpoint, once)
+    return for_each_batch(requests, handle, checkpoint, once)
 
 
 # --- rate limits -------------------------------------------------------------------
@@ -170,6 +173,15 @@ def metrics(
     )
 
 
+def updates(aggregated: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Write every change of an aggregate, batch by batch; the newest row of a group is its value."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, out, batch_id)
+
+    return start(aggregated.writeStream.outputMode("update").foreachBatch(handle), checkpoint, once)
+
+
 # --- live approvals ------------------------------------------------------------------
 
 
@@ -177,7 +189,7 @@ class ApprovalMachine(StatefulProcessor):
     """The approval life cycle per approval, with expiry as an event-time timer.
 
     Input rows: approval_id, ts, seq, to_state, expires_at. Illegal events leave
-    the state alone. Rows are taken one at a time; only the state is held.
+    the state alone. An event at or after the deadline meets the expired state.
     """
 
     COLUMNS = ["approval_id", "ts", "seq", "from_state", "asked", "state"]
@@ -188,18 +200,24 @@ class ApprovalMachine(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         current, expires, rejected = self.state.get() if self.state.exists() else ("PENDING", None, 0)
+        # In order over all chunks of the micro-batch, which bounds what is held.
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        deadlines = batch["expires_at"].dropna()
+        if expires is None and len(deadlines):
+            expires = int(deadlines.iloc[0].timestamp() * 1000)
+            self.handle.registerTimer(expires)
+        limit = None if expires is None else pd.Timestamp(expires, unit="ms")
         out = []
-        for batch in rows:
-            for row in batch.sort_values(["ts", "seq"]).itertuples():
-                if expires is None and not pd.isna(row.expires_at):
-                    expires = int(row.expires_at.timestamp() * 1000)
-                    self.handle.registerTimer(expires)
-                source = current
-                if (source, row.to_state) in d.APPROVAL_EDGES:
-                    current = row.to_state
-                else:
-                    rejected += 1
-                out.append((key[0], row.ts, row.seq, source, row.to_state, current))
+        for ts, seq, asked in zip(batch["ts"], batch["seq"], batch["to_state"]):
+            if limit is not None and ts >= limit and (current, "EXPIRED") in d.APPROVAL_EDGES:
+                out.append((key[0], limit, None, current, "EXPIRED", "EXPIRED"))
+                current = "EXPIRED"
+            source = current
+            if (source, asked) in d.APPROVAL_EDGES:
+                current = asked
+            else:
+                rejected += 1
+            out.append((key[0], ts, seq, source, asked, current))
         self.state.update((current, expires, rejected))
         yield pd.DataFrame(out, columns=self.COLUMNS)
 
