@@ -24,6 +24,7 @@ from siftwarden.operators.variants import with_variants
 
 GRAM = 3  # tokens per hashed run
 WINDOW = 4  # runs per selection window
+MOST_SHORT = 10_000
 LONG = GRAM + WINDOW - 1  # inner tokens that guarantee a shared selected run
 
 
@@ -70,20 +71,11 @@ def protected_keys(protected: DataFrame) -> DataFrame:
     return keyed.select("canary_id", "canary", "kind", "key", F.length("canary").alias("width"))
 
 
-def _text_keys(kinds: list[int], widths: list[int]) -> Column:
+def _text_keys(kinds: list[int]) -> Column:
     """All keys a text offers for the kinds of protected texts at hand."""
     parts = []
     for kind in kinds:
-        if kind == 0:
-            # Two neighbouring tokens cover any text of at most two tokens.
-            lengths = ", ".join(str(w) for w in widths)
-            keys = f"""array_distinct(flatten(flatten(transform(_pairs, p ->
-              transform(filter(array({lengths}), w -> w <= length(p)), w ->
-                transform(sequence(1, length(p) - w + 1), i -> xxhash64(substring(p, i, w))))))))"""
-        elif kind < LONG:
-            keys = f"array_distinct({_grams('_tokens', kind)})"
-        else:
-            keys = _selected("_runs")
+        keys = f"array_distinct({_grams('_tokens', kind)})" if kind < LONG else _selected("_runs")
         parts.append(f"transform({keys}, k -> named_struct('kind', {kind}, 'key', k))")
     return F.expr("concat(" + ", ".join(f"coalesce({p}, array())" for p in parts) + ")")
 
@@ -104,49 +96,60 @@ def numbered_texts(messages: DataFrame, decode: bool, keep: tuple[str, ...] = ()
     )
 
 
-def canary_hits(messages: DataFrame, protected: DataFrame, decode: bool = True) -> DataFrame:
-    """Which text holds which protected text, and where first.
+_HELD = ["txn_id", "turn", "vidx", "decoded_depth", "canary_id", "canary", "start"]
 
-    ``messages`` has (txn_id, turn, text), one row per key; ``protected`` has
-    (canary_id, canary). One row per message and protected text: the first of
-    the message's texts, decoded ones included, that holds it.
+
+def _short_hits(texts: DataFrame, short: DataFrame) -> DataFrame:
+    """Texts that hold a protected text of one or two tokens, looked for in the row.
+
+    Such texts are a policy's own few; they are one array, of ``MOST_SHORT`` at most.
     """
-    keys = protected_keys(protected)
-    # At most LONG + 1 kinds; widths only of the one- and two-token texts.
-    shape = keys.groupBy("kind").agg(
-        F.collect_set(F.when(F.col("kind") == 0, F.col("width"))).alias("widths")
-    ).collect()
-    kinds = sorted(r["kind"] for r in shape) or [LONG]
-    widths = sorted({w for r in shape for w in r["widths"]})
+    listed = F.collect_list(F.struct("canary_id", "canary"))
+    few = F.when(F.size(listed) <= MOST_SHORT, listed).otherwise(
+        F.raise_error(F.lit(f"more than {MOST_SHORT} protected texts of one or two tokens"))
+    )
+    one = short.agg(few.alias("short")).withColumn("k", F.lit(1))
+    held = F.filter("short", lambda c: F.col("text").contains(c["canary"]))
+    hits = texts.withColumn("k", F.lit(1)).join(F.broadcast(one), "k").withColumn("c", F.explode(held))
+    start = F.instr(F.col("text"), F.col("c.canary")) - 1
+    return hits.select("txn_id", "turn", "vidx", "decoded_depth", "c.canary_id", "c.canary", start.alias("start"))
+
+
+def _keyed_hits(messages: DataFrame, keys: DataFrame, kinds: list[int], decode: bool) -> DataFrame:
+    """Texts that share a key with a protected text and hold it in full."""
     tokens = numbered_texts(messages, decode).withColumn("_tokens", F.split("text", " "))
-    derived = {}
     if LONG in kinds:
-        derived["_runs"] = F.expr(_grams("_tokens", GRAM))
-    if 0 in kinds:
-        derived["_pairs"] = F.expr(
-            """transform(sequence(0, size(_tokens) - 1), i ->
-                 CASE WHEN i + 1 < size(_tokens) THEN concat(_tokens[i], ' ', _tokens[i + 1])
-                      ELSE _tokens[i] END)"""
-        )
-    prepared = tokens.select("txn_id", "turn", "vidx", "_tokens").withColumns(derived)
+        tokens = tokens.withColumn("_runs", F.expr(_grams("_tokens", GRAM)))
     offered = (
-        prepared.select("txn_id", "turn", "vidx", F.explode_outer(_text_keys(kinds, widths)).alias("k"))
+        tokens.select("txn_id", "turn", "vidx", F.explode_outer(_text_keys(kinds)).alias("k"))
         .where(F.col("k").isNotNull())
         .select("txn_id", "turn", "vidx", "k.kind", "k.key")
     )
     # Spark broadcasts the protected side only if its size allows it; otherwise
     # the join is on the hashed key and adaptive execution splits hot keys.
-    pairs = offered.join(keys, ["kind", "key"]).select(
-        "txn_id", "turn", "vidx", "canary_id", "canary"
-    )
+    pairs = offered.join(keys, ["kind", "key"]).select("txn_id", "turn", "vidx", "canary_id", "canary")
     # Only messages with a candidate are normalised again, for the full check.
-    suspects = messages.select("txn_id", "turn", "text").join(
-        pairs.withColumnRenamed("vidx", "_vidx"), ["txn_id", "turn"]
-    )
+    suspects = messages.select("txn_id", "turn", "text").join(pairs.withColumnRenamed("vidx", "_vidx"), ["txn_id", "turn"])
     checked = numbered_texts(suspects, decode, ("canary_id", "canary", "_vidx"))
-    held = checked.where(F.col("vidx") == F.col("_vidx")).withColumn(
-        "start", F.expr("instr(text, canary) - 1")
-    )
+    return checked.where(F.col("vidx") == F.col("_vidx")).withColumn("start", F.expr("instr(text, canary) - 1")).select(*_HELD)
+
+
+def canary_hits(messages: DataFrame, protected: DataFrame, decode: bool = True) -> DataFrame:
+    """Which text holds which protected text, and where first.
+
+    ``messages`` has (txn_id, turn, text), one row per key; ``protected`` has
+    (canary_id, canary). One row per message and protected text: the first of
+    the message's texts, decoded ones included, that holds it.
+    """
+    keys = protected_keys(protected)
+    # At most LONG + 1 kinds.
+    kinds = sorted(r["kind"] for r in keys.select("kind").distinct().collect())
+    found = []
+    if 0 in kinds:
+        found.append(_short_hits(numbered_texts(messages, decode), keys.where("kind = 0")))
+    if kinds[-1:] != [0]:
+        found.append(_keyed_hits(messages, keys.where("kind > 0"), [k for k in kinds if k] or [LONG], decode))
+    held = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     return (
         held.where(F.col("start") >= 0)
         .groupBy("txn_id", "turn", "canary_id")

@@ -162,8 +162,8 @@ _FOUND_VALUES = f"""SELECT txn_id, kind, start_pos, end_pos, 'sha256:' || sha256
   FROM found"""
 
 
-def _values(spark, sf, spec):
-    found = detect.scan(src.documents(spark, sf), [spec], src.SALT)
+def _values(spark, sf, spec, docs=None):
+    found = detect.scan(src.documents(spark, sf) if docs is None else docs, [spec], src.SALT)
     kind = F.coalesce("pii_type", F.regexp_replace("pattern_id", "_v1$", ""))
     return found.select(
         "txn_id", F.when(kind == "pem_private_key", "pem_block").otherwise(kind).alias("kind"),
@@ -172,9 +172,30 @@ def _values(spark, sf, spec):
     )
 
 
+# Values of kinds that the documents have none of, in front of every third text.
+PLANTED = {"ssn": ("123-45-", 6789), "iban": ("DE44 5001 0517 5407 3249 ", 31)}
+
+
+def _planted_sql(kind: str) -> str:
+    if kind not in PLANTED:
+        return value_sql([kind])
+    head, base = PLANTED[kind]
+    text = f"CASE WHEN doc_id % 3 = 0 THEN '{head}' || ({base} + doc_id % 3000)::VARCHAR || '. ' ELSE '' END || text"
+    return value_sql([kind]).replace("FROM documents", f"FROM (SELECT doc_id, source, {text} AS text FROM documents)")
+
+
+def _planted(spark, sf, kind: str):
+    docs = src.documents(spark, sf)
+    if kind not in PLANTED:
+        return docs
+    head, base = PLANTED[kind]
+    value = F.concat(F.lit(head), (base + F.col("txn_id") % 3000).cast("string"), F.lit(". "))
+    return docs.withColumn("text", F.concat(F.when(F.col("txn_id") % 3 == 0, value).otherwise(""), "text"))
+
+
 def _register_kind(short: str, kind: str) -> None:
-    query(f"scan_pii_{short}", f"WITH {value_sql([kind])} {_FOUND_VALUES}")(
-        lambda spark, sf: _values(spark, sf, detect.pii([kind]))
+    query(f"scan_pii_{short}", f"WITH {_planted_sql(kind)} {_FOUND_VALUES}")(
+        lambda spark, sf: _values(spark, sf, detect.pii([kind]), _planted(spark, sf, kind))
     )
 
 
@@ -257,16 +278,26 @@ def scan_message_schema(spark, sf):
 # --- leaks -------------------------------------------------------------------------------------
 
 
+SHORT_IDS = 1_000_000
+CANARIES_SQL = f"""b AS (SELECT item_id, {src.norm_sql('text')} AS c FROM (SELECT item_id, text FROM benchmark
+  UNION ALL SELECT item_id + {SHORT_IDS}, array_to_string(string_split(text, ' ')[1:CASE WHEN item_id % 20 = 0 THEN 1 ELSE 2 END], ' ')
+  FROM benchmark WHERE item_id % 10 = 0))"""
+
+
 def document_canaries(spark, sf):
-    protected = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("canary_id"), F.col("text").alias("canary")
+    """Benchmark items, and for every tenth also its first word or two as a short canary."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("canary_id"), F.col("text").alias("canary"))
+    words = F.when(F.col("canary_id") % 20 == 0, 1).otherwise(2)
+    short = items.where("canary_id % 10 = 0").select(
+        (F.col("canary_id") + SHORT_IDS).alias("canary_id"),
+        F.array_join(F.slice(F.split("canary", " "), F.lit(1), words), " ").alias("canary"),
     )
-    return leak.canary_hits(src.documents(spark, sf), protected)
+    return leak.canary_hits(src.documents(spark, sf), items.unionByName(short))
 
 
 @query(
     "scan_canary_leak",
-    f"""WITH {src.DOCS_SQL}, b AS (SELECT item_id, {src.norm_sql('text')} AS c FROM benchmark)
+    f"""WITH {src.DOCS_SQL}, {CANARIES_SQL}
     SELECT txn_id, item_id AS canary_id, (instr(norm, c) - 1)::BIGINT AS start_pos FROM docs JOIN b ON contains(norm, c)""",
 )
 def scan_canary_leak(spark, sf):
@@ -412,22 +443,22 @@ def text_findings_sql(texts: str) -> str:
     found_in AS (SELECT real AS txn_id, r.plane, detector_id, category, pattern_id, score FROM raised r JOIN docs USING (txn_id))"""
 
 
-def decided_sql(texts: str) -> str:
+def decided_sql(texts: str, which: str = "true") -> str:
     """The same, decided by the category rules: CTEs ending in ``decided(txn_id, verdict, ...)``."""
-    hits = src.DECISIONS_SQL.replace(src.FINDINGS_SQL, "findings AS (SELECT * FROM found_in)")
+    hits = src.DECISIONS_SQL.replace(src.FINDINGS_SQL, f"findings AS (SELECT * FROM found_in WHERE {which})")
     return f"{text_findings_sql(texts)}, {hits}"
 
 
 _PROBED = f"""SELECT txn_id AS real, turn, plane, {src.norm_sql(f'({_PROBE_TEXT})')} AS norm
   FROM messages m JOIN phrases p ON p.i = (m.txn_id + m.turn) % {len(PHRASES)}"""
-_AS_CONTEXT = f"SELECT doc_id AS real, 0 AS turn, 'context' AS plane, {src.norm_sql('text')} AS norm FROM documents"
+AS_CONTEXT = f"SELECT doc_id AS real, 0 AS turn, 'context' AS plane, {src.norm_sql('text')} AS norm FROM documents"
 SCAN_DECIDE_SQL = f"""WITH {PROBES_SQL}, {decided_sql(_PROBED)}
   SELECT txn_id, coalesce(verdict, 'ALLOW') AS verdict FROM (SELECT DISTINCT txn_id FROM messages) LEFT JOIN decisions USING (txn_id)"""
 
 
 @query(
     "scan_all",
-    f"""WITH {PROBES_SQL}, {text_findings_sql(f"{_PROBED} UNION ALL {_AS_CONTEXT}")}
+    f"""WITH {PROBES_SQL}, {text_findings_sql(f"{_PROBED} UNION ALL {AS_CONTEXT}")}
     SELECT plane, detector_id, category, pattern_id, count(*) AS n FROM found_in GROUP BY ALL""",
 )
 def scan_all(spark, sf):

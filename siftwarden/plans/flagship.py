@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siftwarden.operators import decide, detect, redact
 from siftwarden.plans import inputs as src
+from siftwarden.plans.detection import AS_CONTEXT, decided_sql
+from siftwarden.plans.redaction import REBUILT_SQL
 from siftwarden.plans.registry import query
 
 
@@ -22,6 +24,13 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("flagship")
+@query(
+    "flagship",
+    f"""SELECT d.txn_id AS doc_id, source, verdict, transformation, reasons AS reason_codes, risk_level,
+      coalesce(span_count, 0) AS span_count, coalesce(redacted, text) AS redacted
+    FROM (WITH {decided_sql(AS_CONTEXT, "detector_id IN ('pii', 'secrets')")} SELECT * FROM decisions) d
+    JOIN documents ON doc_id = d.txn_id
+    LEFT JOIN (WITH {REBUILT_SQL} SELECT * FROM rebuilt) r ON r.txn_id = d.txn_id""",
+)
 def flagship_query(spark: SparkSession, sf: str) -> DataFrame:
     return flagship(spark, sf)

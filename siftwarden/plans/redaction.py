@@ -36,7 +36,7 @@ def redact_spans(spark, sf):
     )
 
 
-_REBUILT_SQL = f"""{MERGED_SQL},
+REBUILT_SQL = f"""{MERGED_SQL},
 pieces AS (SELECT m.txn_id, m.start_pos, coalesce(lag(m.end_pos) OVER w, 0) AS prev_end, m.end_pos, m.label,
   row_number() OVER (PARTITION BY m.txn_id ORDER BY m.start_pos DESC) = 1 AS last FROM merged m WINDOW w AS (PARTITION BY m.txn_id ORDER BY m.start_pos)),
 rebuilt AS (SELECT p.txn_id, string_agg(substring(text, prev_end + 1, start_pos - prev_end) || '[REDACTED:' || label || ']', '' ORDER BY start_pos)
@@ -46,7 +46,7 @@ rebuilt AS (SELECT p.txn_id, string_agg(substring(text, prev_end + 1, start_pos
 
 @query(
     "redact_text",
-    f"""WITH {_REBUILT_SQL} SELECT doc_id AS txn_id, coalesce(redacted, text) AS redacted FROM documents LEFT JOIN rebuilt ON doc_id = txn_id""",
+    f"""WITH {REBUILT_SQL} SELECT doc_id AS txn_id, coalesce(redacted, text) AS redacted FROM documents LEFT JOIN rebuilt ON doc_id = txn_id""",
 )
 def redact_text(spark, sf):
     return redact.redact(src.documents(spark, sf)).select("txn_id", "redacted")
@@ -54,7 +54,7 @@ def redact_text(spark, sf):
 
 @query(
     "redact_record",
-    f"""WITH {_REBUILT_SQL}, s AS (SELECT txn_id, string_agg(start_pos || '+' || (end_pos - start_pos), ';' ORDER BY start_pos) AS spans FROM merged GROUP BY 1)
+    f"""WITH {REBUILT_SQL}, s AS (SELECT txn_id, string_agg(start_pos || '+' || (end_pos - start_pos), ';' ORDER BY start_pos) AS spans FROM merged GROUP BY 1)
     SELECT txn_id, span_count, labels, spans FROM rebuilt JOIN s USING (txn_id)""",
 )
 def redact_record(spark, sf):
@@ -70,7 +70,7 @@ def redact_record(spark, sf):
 
 @query(
     "redact_conversation",
-    f"""WITH {_REBUILT_SQL}, {src.DECISIONS_SQL}
+    f"""WITH {REBUILT_SQL}, {src.DECISIONS_SQL}
     SELECT doc_id AS txn_id, CASE WHEN transformation = 'REDACT' THEN coalesce(r.redacted, text) ELSE text END AS text
     FROM documents LEFT JOIN decisions d ON d.txn_id = doc_id LEFT JOIN rebuilt r ON r.txn_id = doc_id""",
 )
@@ -126,7 +126,16 @@ def rewrite_text(spark, sf):
     return rows.select("doc_id", redact.rewrite(F.col("text"), flagged, "[REMOVED BY POLICY]").alias("text"))
 
 
-@query("transform_order")
+# Cut, cleaned, then redacted; what is redacted leaves nothing to mask.
+_CLEANED = r"""(SELECT doc_id, source, regexp_replace(regexp_replace(CASE WHEN length(text) > 5000 THEN left(text, 5000) || '[TRUNCATED]' ELSE text END,
+  '(?i)###\s*system\s*###|</?\s*(?:system|user|assistant)\s*>', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') AS text FROM documents)"""
+
+
+@query(
+    "transform_order",
+    f"""WITH {REBUILT_SQL.replace('FROM documents', f'FROM {_CLEANED}')}
+    SELECT doc_id AS txn_id, coalesce(redacted, text) AS text FROM {_CLEANED} LEFT JOIN rebuilt ON doc_id = txn_id""",
+)
 def transform_order(spark, sf):
     docs = src.documents(spark, sf).select("txn_id", "text")
     return redact.transform_all(docs, {"MASK", "REDACT", "SANITIZE", "TRUNCATE"}, limit=5000)
