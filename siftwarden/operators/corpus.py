@@ -11,11 +11,14 @@ from siftwarden.operators.policy import Policy
 
 
 def guard_responses(
-    responses: DataFrame, prompts: DataFrame, policy: Policy, salt: str, canaries: DataFrame
-) -> DataFrame:
-    """Decide responses (txn_id, turn, text) on the response plane.
-
-    ``canaries`` has (canary_id, canary); ``prompts`` has (txn_id, system_prompt).
+    responses: DataFrame, prompts: DataFrame, policy: Policy, salt: str, canaries: DataFrame,
+    bodies: DataFrame | None = None,
+) -> DataFrame:
+    """Decide responses (txn_id, turn, text): their text, and the first tool call they propose.
+
+    ``canaries`` has (canary_id, canary); ``prompts`` has (txn_id, system_prompt);
+    ``bodies`` has (txn_id, body), the whole response as JSON. A call whose arguments
+    are no JSON object leaves its finding, and tells the policy nothing more.
     """
     on_plane = responses.withColumn("plane", F.lit("response"))
     found = detect.scan(on_plane, [detect.pii(), detect.secrets()], salt)
@@ -23,8 +26,13 @@ def guard_responses(
     leaks = leak.canary_findings(hits, salt).unionByName(
         leak.prompt_leak_findings(leak.prompt_similarity(responses, prompts), salt)
     )
-    findings = found.unionByName(leaks)
-    decided = decide.decide_requests(findings, policy, responses.select("txn_id"))
+    findings, calls = found.unionByName(leaks), None
+    if bodies is not None:
+        proposed = tools.first_response_call(bodies)
+        action = tools.scan_calls(proposed, policy, salt).withColumn("turn", F.lit(0).cast("bigint"))
+        findings = findings.unionByName(action.drop("tool"))
+        calls = proposed.where(F.schema_of_variant(F.try_parse_json("args")).startswith("OBJECT"))
+    decided = decide.decide_requests(findings, policy, responses.select("txn_id"), calls)
     return decide.guard_output(decided)
 
 

@@ -8,6 +8,7 @@ from siftwarden import domains as d
 from siftwarden.operators import approvals as ap
 from siftwarden.operators import audit, decide, limits, metrics, redact
 from siftwarden.plans import inputs as src
+from siftwarden.plans.detection import decided_sql
 from siftwarden.plans.registry import query
 from siftwarden.plans.scalars import HTTP_SQL, http_log
 from siftwarden.sources.readers import table
@@ -99,13 +100,44 @@ def agg_combine_decisions(spark, sf):
     )
 
 
+# What answers say in front of their text, and the tool call they propose, by request number.
+_ANSWERS = ("", "Your record shows 123-45-6789 on file.", "Write to dana.reyes@example.com.", "")
+_PROPOSED = (
+    None, ("wire_transfer", '{"amount": 5000}'), ("run_sql", '{"query": "DROP TABLE customers;"}'), ("search_docs", '{"query": "terms"}'),
+    ("search_docs", '{"query": '),
+)
+_ANSWER_CASE = " ".join(f"WHEN {i} THEN {src.quote(a)}" for i, a in enumerate(_ANSWERS))
+_ANSWERED_SQL = f"""SELECT txn_id AS real, 0 AS turn, 'response' AS plane,
+  {src.norm_sql(f"(CASE txn_id % 4 {_ANSWER_CASE} END || ' ' || text)")} AS norm
+  FROM (SELECT conv_id AS txn_id, arg_max(coalesce(text, ''), turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1)"""
+
+
 @query(
     "agg_output_guard",
-    f"""WITH {src.DECISIONS_SQL} SELECT txn_id, CASE verdict WHEN 'NEED_APPROVAL' THEN 'DENY' ELSE verdict END AS verdict,
-      CASE verdict WHEN 'NEED_APPROVAL' THEN 'NONE' ELSE transformation END AS transformation FROM decisions""",
+    f"""WITH {decided_sql(_ANSWERED_SQL)},
+    asked AS (SELECT DISTINCT conv_id AS txn_id FROM conversations WHERE role = 'assistant')
+    SELECT txn_id, CASE WHEN txn_id % 5 IN (1, 2) OR coalesce(verdict, 'ALLOW') <> 'ALLOW' THEN 'DENY' ELSE 'ALLOW' END AS verdict,
+      CASE WHEN txn_id % 5 IN (1, 2) OR coalesce(verdict, 'ALLOW') <> 'ALLOW' THEN 'NONE' ELSE coalesce(transformation, 'NONE') END AS transformation
+    FROM asked LEFT JOIN decisions USING (txn_id)""",
 )
 def agg_output_guard(spark, sf):
-    return decide.guard_output(src.decisions(spark, sf)).select("txn_id", "verdict", "transformation")
+    """Answers behind planted values, with planted tool calls in their bodies."""
+    from siftwarden.operators import messages as ms
+    from siftwarden.operators.corpus import guard_responses
+
+    msgs = src.conversations(spark, sf)
+    said = F.element_at(F.array(*[F.lit(a) for a in _ANSWERS]), (F.col("txn_id") % len(_ANSWERS) + 1).cast("int"))
+    answers = ms.responses(msgs).withColumn("text", F.concat(said, F.lit(" "), "text"))
+    call = F
+    for i, proposed in enumerate(_PROPOSED):
+        if proposed:
+            function = F.struct(F.lit(proposed[0]).alias("name"), F.lit(proposed[1]).alias("arguments"))
+            call = call.when(F.col("txn_id") % len(_PROPOSED) == i, F.array(F.struct(function.alias("function"))))
+    message = F.struct(F.col("text").alias("content"), call.alias("tool_calls"))
+    bodies = answers.select("txn_id", F.to_json(F.struct(F.array(F.struct(message.alias("message"))).alias("choices"))).alias("body"))
+    canaries = spark.createDataFrame(list(enumerate(src.POLICY.canaries)), "canary_id bigint, canary string")
+    decided = guard_responses(answers, ms.system_prompts(msgs), src.POLICY, src.SALT, canaries, bodies)
+    return decided.select("txn_id", "verdict", "transformation")
 
 
 @query(

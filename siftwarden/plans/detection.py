@@ -438,7 +438,9 @@ def text_findings_sql(texts: str) -> str:
     )
     secret = f"kind IN ({src.sql_list(detect.SECRET_KINDS)})"
     return f"""{values}, raised AS ({injected} UNION ALL
-      SELECT txn_id, plane, CASE WHEN {secret} THEN 'secrets' ELSE 'pii' END, CASE WHEN {secret} THEN 'SECRET_DETECTED' ELSE 'PII_DETECTED' END,
+      SELECT txn_id, plane, CASE WHEN {secret} THEN 'secrets' ELSE 'pii' END,
+        CASE WHEN plane = 'response' THEN CASE WHEN {secret} THEN 'OUTPUT_SECRET' ELSE 'OUTPUT_PII' END
+             WHEN {secret} THEN 'SECRET_DETECTED' ELSE 'PII_DETECTED' END,
         {src.case_sql('kind', _PATTERN_OF)}, CASE kind {score} END FROM found JOIN docs USING (txn_id)),
     found_in AS (SELECT real AS txn_id, r.plane, detector_id, category, pattern_id, score FROM raised r JOIN docs USING (txn_id))"""
 
