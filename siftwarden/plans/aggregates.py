@@ -9,7 +9,7 @@ from siftwarden.operators import approvals as ap
 from siftwarden.operators import audit, decide, limits, metrics, redact
 from siftwarden.plans import inputs as src
 from siftwarden.plans.detection import decided_sql
-from siftwarden.plans.registry import query
+from siftwarden.plans.registry import ORACLES, query
 from siftwarden.plans.scalars import HTTP_SQL, http_log
 from siftwarden.sources.readers import table
 
@@ -209,22 +209,6 @@ def agg_counters(spark, sf):
     return metrics.decision_counters(src.decisions(spark, sf))
 
 
-@query(
-    "sink_metrics_long",
-    f"""WITH {HTTP_SQL}, {src.CALLS_SQL}
-    SELECT 'http_requests_total' AS name, 'endpoint=' || endpoint || ',status_class=' || status_class AS labels,
-      count(*)::DOUBLE AS value FROM http GROUP BY ALL
-    UNION ALL SELECT 'tool_calls_total', 'tool=' || tool, count(*)::DOUBLE FROM calls GROUP BY ALL""",
-)
-def sink_metrics_long(spark, sf):
-    return metrics.counters(
-        {
-            "http_requests_total": (http_log(spark, sf), ["endpoint", "status_class"]),
-            "tool_calls_total": (src.calls(spark, sf), ["tool"]),
-        }
-    )
-
-
 @query(
     "agg_http_counters",
     f"""WITH {HTTP_SQL} SELECT endpoint, status_class, count(*) AS n, round(sum(seconds::DECIMAL(28,6))::DOUBLE, 4) AS seconds
@@ -572,3 +556,64 @@ def sink_audit_jsonl(spark, sf):
     )
     return audit.export_lines(rows, "2024-01-05T00:00:00Z", "2024-01-20T12:00:00Z")
 
+
+# --- all counters as rows -----------------------------------------------------------------------
+
+
+def _family_sql(name: str, labels: dict[str, str], rows: str) -> str:
+    rendered = " || ',' || ".join(f"'{k}=' || {v}" for k, v in labels.items())
+    return f"SELECT '{name}' AS name, {rendered} AS labels, count(*)::DOUBLE AS value FROM {rows} GROUP BY ALL"
+
+
+_ALLOWED_TOOLS = src.sql_list(src.POLICY.tool_allowlist)
+_TOOL_NAME = f"CASE WHEN tool IN ({_ALLOWED_TOOLS}) THEN tool ELSE 'other' END"
+_OPEN = "'PENDING', 'APPROVED'"
+_METRICS_SQL = " UNION ALL ".join(
+    _family_sql(*family)
+    for family in (
+        ("http_requests_total", {"endpoint": "endpoint", "status_class": "status_class"}, "http"),
+        ("errors_total", {"error_code": "code"}, "(SELECT * FROM http WHERE code >= 400)"),
+        ("tool_calls_total", {"tool": "tool"}, "calls"),
+        ("output_decisions_total", {"verdict": "CASE verdict WHEN 'NEED_APPROVAL' THEN 'DENY' ELSE verdict END"}, "decisions"),
+        ("detector_failures_total", {"detector_id": "detector_id", "reason": "'timeout'"}, "(SELECT * FROM findings WHERE category = 'DETECTOR_TIMEOUT')"),
+        ("degraded_transactions_total", {"reason": "'timeout'"}, "(SELECT * FROM decisions WHERE degraded)"),
+        ("approvals_total", {"state": "state"}, "approvals"),
+        ("approval_queue_depth", {"state": "state"}, f"(SELECT * FROM approvals WHERE state IN ({_OPEN}))"),
+        ("rate_limited_total", {"scope": "'identity'"}, f"(SELECT * FROM ({ORACLES['win_rate_limit']}) WHERE NOT allowed)"),
+        ("tool_findings_total", {"tool_name": _TOOL_NAME, "category": "'TOOL_NOT_ALLOWLISTED'"}, f"(SELECT * FROM calls WHERE tool NOT IN ({_ALLOWED_TOOLS}))"),
+        ("tool_findings_total", {"tool_name": _TOOL_NAME, "category": "'SENSITIVE_ACTION'"},
+         "(SELECT * FROM calls WHERE tool IN ('wire_transfer', 'create_payment', 'initiate_transfer') AND amount >= 1000)"),
+    )
+)
+
+
+@query(
+    "sink_metrics_long",
+    f"""WITH {HTTP_SQL}, {src.CALLS_SQL}, {src.APPROVALS_SQL}, {src.DECISIONS_SQL} {_METRICS_SQL}
+    UNION ALL SELECT 'policy_info', 'policy_version={src.POLICY.version},schema_version=1', 1::DOUBLE""",
+)
+def sink_metrics_long(spark, sf):
+    """Metric families with their labels, each counted with partial counts before the shuffle."""
+    from siftwarden.operators import tools
+
+    http, calls, approvals = http_log(spark, sf), src.calls(spark, sf), src.approvals(spark, sf)
+    decisions, timeout = src.decisions(spark, sf), F.lit("timeout")
+    bounded = metrics.bounded(F.col("tool"), src.POLICY.tool_allowlist, "other").alias("tool_name")
+    info = spark.range(1).select(F.lit(src.POLICY.version).alias("policy_version"), F.lit(1).alias("schema_version"))
+    return metrics.counters(
+        {
+            "http_requests_total": (http, ["endpoint", "status_class"]),
+            "errors_total": (http.where("code >= 400").withColumn("error_code", F.col("code")), ["error_code"]),
+            "tool_calls_total": (calls, ["tool"]),
+            "output_decisions_total": (decide.guard_output(decisions), ["verdict"]),
+            "detector_failures_total": (
+                src.findings(spark, sf).where(F.col("category") == d.OPERATIONAL_CATEGORY).withColumn("reason", timeout), ["detector_id", "reason"],
+            ),
+            "degraded_transactions_total": (decisions.where("degraded").withColumn("reason", timeout), ["reason"]),
+            "approvals_total": (approvals, ["state"]),
+            "approval_queue_depth": (approvals.where(f"state IN ({_OPEN})"), ["state"]),
+            "rate_limited_total": (win_rate_limit(spark, sf).where("NOT allowed").withColumn("scope", F.lit("identity")), ["scope"]),
+            "tool_findings_total": (tools.scan_calls(calls, src.POLICY, src.SALT).select(bounded, "category"), ["tool_name", "category"]),
+            "policy_info": (info, ["policy_version", "schema_version"]),
+        }
+    )
