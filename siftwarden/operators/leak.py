@@ -178,17 +178,15 @@ def _on_response(shaped: DataFrame) -> DataFrame:
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b, strict=True):
-        match = difflib.SequenceMatcher(None, x, y)
-        near = match.real_quick_ratio() >= d.MIN_SIMILARITY and match.quick_ratio() >= d.MIN_SIMILARITY
-        out.append(match.ratio() if near else 0.0)
+        out.append(difflib.SequenceMatcher(None, x, y).ratio())
     return pd.Series(out, dtype="float64")
 
 
 def prompt_similarity(responses: DataFrame, prompts: DataFrame) -> DataFrame:
     """Responses that resemble their request's system prompt: (txn_id, ratio, n_chars).
 
-    The exact ratio is costly, so only pairs whose lengths allow a ratio at the
-    floor are measured.
+    The exact ratio is costly, so only pairs whose lengths and whose counts of each
+    character allow a ratio at the floor are measured.
     """
     measure = F.pandas_udf(_ratio, "double")
     pairs = responses.join(prompts, "txn_id").select(
@@ -199,6 +197,11 @@ def prompt_similarity(responses: DataFrame, prompts: DataFrame) -> DataFrame:
     possible = pairs.where(
         (la > 0) & (lb > 0) & (2 * F.least(la, lb) / (la + lb) >= d.MIN_SIMILARITY)
     )
+    common = F.expr(
+        """aggregate(array_distinct(split(a, '')), 0, (n, ch) ->
+             n + least(length(a) - length(replace(a, ch, '')), length(b) - length(replace(b, ch, ''))))"""
+    )
+    possible = possible.where(2 * common / (la + lb) >= d.MIN_SIMILARITY)
     return (
         possible.withColumn("ratio", measure("a", "b"))
         .where(F.col("ratio") >= d.MIN_SIMILARITY)
