@@ -7,9 +7,11 @@ tokens times posterior, added up) come as close to the targets as least squares
 
     minimise |A w - T|^2 in the metric of (A diag(1/tokens) A')^-1,  w >= 0
 
-by projected gradient from w = 1. In that metric a full step meets the targets at once
-unless rates hit zero. A document's rate follows from its posteriors and the few steps so
-far, so a round is one pass over tokens and posteriors that returns a number per domain.
+by projected gradient from w = 1, the metric taken over the documents whose rate is above
+zero. In that metric a full step meets the targets at once unless more rates hit zero; a
+step that does not come closer is halved. A document's rate follows from its posteriors
+and the few steps so far, so a round is one pass over tokens and posteriors that returns a
+few numbers per domain.
 
 At most ``SAMPLE`` labelled rows, in expectation, are fitted on, chosen by a hash of the
 key; there may be ``MAX_DOMAINS`` domains.
@@ -101,31 +103,38 @@ def fit_rates(table: DataFrame, targets: np.ndarray, rounds: int = ROUNDS) -> li
     d = len(targets)
     narrow = table.select("tokens", "p")
 
-    def measured(steps, square):
+    def measured(steps: list) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of each domain at the rates so far, and their metric."""
+
         def run(batches):
             total = np.zeros(d + d * d)
             for batch in batches:
                 p, t = _arrays(batch, d)
-                total[:d] += (t * _moved(p, steps)) @ p
-                if square:
-                    total[d:] += ((p * t[:, None]).T @ p).ravel()
+                w = _moved(p, steps)
+                total[:d] += (t * w) @ p
+                free = w > 0
+                total[d:] += ((p[free] * t[free, None]).T @ p[free]).ravel()
             yield pa.RecordBatch.from_pydict({"i": np.arange(len(total), dtype=np.int32), "x": total})
 
         out = np.zeros(d + d * d)
         for r in narrow.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             out[r["i"]] = r["x"]
-        return out
+        gram = out[d:].reshape(d, d)
+        return out[:d], np.linalg.pinv(gram + 1e-6 * np.trace(gram) / d * np.eye(d), hermitian=True)
 
-    first = measured([], True)
-    metric = np.linalg.pinv(first[d:].reshape(d, d), rcond=1e-9, hermitian=True)
-    steps, reached = [], first[:d]
-    scale = max(np.abs(targets).sum(), 1.0)
+    steps: list[np.ndarray] = []
+    reached, metric = measured(steps)
+    scale, share = max(np.abs(targets).sum(), 1.0), 1.0
     for _ in range(rounds):
         off = reached - targets
-        if np.abs(off).max() <= CLOSE * scale:
+        if np.abs(off).max() <= CLOSE * scale or share < 1e-3:
             break
-        steps.append(metric @ off)
-        reached = measured(steps, False)[:d]
+        step = share * (metric @ off)
+        then, after = measured([*steps, step])
+        if np.abs(then - targets).max() < np.abs(off).max():
+            steps, reached, metric, share = [*steps, step], then, after, 1.0
+        else:
+            share /= 2
     return steps
 
 
