@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwarden.session import checkpoint_root
 
 BATCH_BYTES = 4 << 20
+BATCH_ROWS = 2000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -26,8 +27,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Bound what one Arrow batch holds by bytes as well as by rows, as texts may be very long."""
+    """Bound what one Arrow batch holds, on either side: by bytes where Spark heeds that, else by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def worker_cache(name: str) -> dict:
