@@ -29,7 +29,7 @@ from siftwarden.llm.tables import bounded_batches, worker_cache, written
 CAPACITY = 2048
 GROUP = 20_000
 CACHE = 100_000  # parts of words a worker keeps, twice; about 200 bytes each
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 SEPARATOR = 0
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
