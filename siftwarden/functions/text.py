@@ -138,7 +138,7 @@ def _possessive(pattern: str) -> str:
 
 
 # A text without such a run hides nothing: a hex run is of the first kind too, and a
-# percent run needs escapes.
+# percent run needs escapes to be decoded. (It may still have percent candidates.)
 ANY_RUN = r"[A-Za-z0-9+/]{16}|%[0-9A-Fa-f]{2}"
 
 RUNS = {

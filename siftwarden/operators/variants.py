@@ -34,16 +34,18 @@ def text_variants(df: DataFrame, depth: int = d.MAX_DECODE_DEPTH) -> DataFrame:
 
 
 def candidate_runs(df: DataFrame) -> DataFrame:
-    """Every run that may hide a text: (txn_id, turn, encoding, run)."""
+    """Every run that has the shape of an encoding: (txn_id, turn, encoding, run).
+
+    Escapes are not counted here, so there is no gate before the shapes themselves.
+    """
     base = df.withColumn("norm", tx.normalize(F.col("text")))
     kinds = ", ".join(
         f"transform(regexp_extract_all(norm, {literal(run)}, 0), "
         f"r -> named_struct('encoding', '{name}', 'run', r))"
         for name, run in tx.RUNS.items()
     )
-    live = f"CASE WHEN norm RLIKE {literal(tx.ANY_RUN)} THEN concat({kinds}) END"
     return (
-        base.select("txn_id", "turn", F.explode_outer(F.expr(live)).alias("c"))
+        base.select("txn_id", "turn", F.explode_outer(F.expr(f"concat({kinds})")).alias("c"))
         .where(F.col("c").isNotNull())
         .select("txn_id", "turn", "c.encoding", "c.run")
     )

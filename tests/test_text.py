@@ -10,7 +10,7 @@ from siftwarden.functions import hashing, net
 from siftwarden.functions import text as tx
 from siftwarden.functions.regex import java_pattern, spans
 from siftwarden.operators import detect, redact
-from siftwarden.operators.variants import with_variants
+from siftwarden.operators.variants import candidate_runs, with_variants
 
 ODD = ["ig‍nore", "ﬁne ①", "а̀ τ", "a\x1cb\x85c", " x y ", "Ǆ", "가", "é", "½", "­", "نص", "１２３", "", "😀 a"]
 
@@ -75,6 +75,15 @@ def test_decoding_layers(spark):
     assert [v["text"] for v in got[8]] == ["fine text to read"] and got[6] == got[7] == got[9] == []
 
 
+def test_candidates_are_all_runs_of_each_shape(spark):
+    texts = ["a plain word: extraordinary", "extraordinary and 0123456789abcdef01", "extraordinary%20", "short", None, "a%20b%20c", "x" * 9 + " " + "y" * 10]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "txn_id int, turn int, text string")
+    got = sorted((r.txn_id, r.encoding, r.run) for r in candidate_runs(df).collect())
+    shapes = {"base64": d.BASE64_RUN, "hex": d.HEX_RUN, "percent": d.PERCENT_RUN}
+    want = sorted((i, k, m.group()) for i, t in enumerate(texts) for k, p in shapes.items() for m in re.finditer(p, t or ""))
+    assert got == want and (0, "percent", "extraordinary") in got
+
+
 def test_canonical_json_string(spark):
     import json
 
