@@ -160,9 +160,8 @@ def salted_hash(spark, sf):
     FROM (SELECT txn_id, turn, role, regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g') AS text FROM messages) GROUP BY txn_id""",
 )
 def material_hash(spark, sf):
-    # SQL has no escapes beyond ASCII; a test covers those.
-    plain = src.conversations(spark, sf).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "~"))
-    return ms.material_text(plain).select(
+    # The SQL has no escapes beyond ASCII and tells the same of plain requests only; a test covers the others.
+    return ms.material_text(src.conversations(spark, sf)).select(
         "txn_id", hashing.sha256_tag(F.col("material")).alias("material_hash")
     )
 

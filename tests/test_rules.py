@@ -1,6 +1,8 @@
 """Cases that the tables cannot show: refusals, long texts, deadlines, folders as streams."""
 
 import datetime as dt
+import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from siftwarden import domains as d
 from siftwarden.operators import approvals, detect, leak, redact
 from siftwarden.operators.policy import DEFAULT_DOCUMENT, Policy, rule_categories
-from siftwarden.plans import streams
+from siftwarden.plans import scalars, streams
 from siftwarden.session import checkpoint_root
 from siftwarden.streaming import jobs
 
@@ -66,6 +68,18 @@ def test_short_protected_texts(spark):
     assert {(r.txn_id, r.canary_id) for r in only.collect()} == {(1, 1), (2, 2)}
 
 
+def test_material_is_hashed_as_it_stands(spark, tmp_path):
+    turns = [(1, 0, "user", "café"), (2, 0, "user", "cafё"), (3, 0, "user", "plain"), (3, 1, "assistant", "да 😀 \"q\"")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {}
+    for i in {t[0] for t in turns}:
+        said = [{"content": t, "role": r} for c, _, r, t in turns if c == i]
+        text = json.dumps({"messages": said, "tools": []}, separators=(",", ":"))
+        want[i] = "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    got = {r.txn_id: r.material_hash for r in scalars.material_hash(spark, str(tmp_path)).collect()}
+    assert got == want and len(set(got.values())) == 3
+
+
 def test_illegal_events_are_judged_by_the_real_state(spark):
     steps = ["COMPLETED", "APPROVED", "nonsense", "RESUMING", "COMPLETED", "APPROVED"]
     rows = [("a", T0 + dt.timedelta(minutes=50 * i), i, s) for i, s in enumerate(steps)]
