@@ -160,9 +160,13 @@ def records(source: Source, wanted, with_payload: bool) -> Iterator[tuple[dict,
             stated = magic[3] & 4 and magic[12:14] == b"sl"
             if stated:
                 size = struct.unpack("<I", magic[16:20])[0]
-                inflate = zlib.decompressobj(31)
-                data = inflate.decompress(source.peek(min(size, HEAD)), HEAD * 4)
-                head, blank, _ = data.partition(b"\r\n\r\n")
+                n = HEAD
+                while True:
+                    data = zlib.decompressobj(31).decompress(source.peek(min(size, n)), n * 4)
+                    head, blank, _ = data.partition(b"\r\n\r\n")
+                    if blank or n >= size and len(data) < n * 4:
+                        break
+                    n *= 2
                 if blank and not wanted(_headers(head)):
                     source.skip(size)
                     continue
@@ -179,7 +183,7 @@ def records(source: Source, wanted, with_payload: bool) -> Iterator[tuple[dict,
                 data = b"".join(parts)
             head, _, block = data.partition(b"\r\n\r\n")
             fields = _headers(head)
-            if not stated and not wanted(fields):
+            if not wanted(fields):
                 continue
         else:
             n = HEAD
@@ -196,7 +200,9 @@ def records(source: Source, wanted, with_payload: bool) -> Iterator[tuple[dict,
                 block = source.take(length)
                 source.skip(4)
             else:
-                block = source.peek(min(length, HEAD))
+                n = HEAD
+                while b"\r\n\r\n" not in (block := source.peek(min(length, n))) and n < length:
+                    n *= 2
                 source.skip(length + 4)
         length = int(fields.get("content-length", 0))
         http, _, payload = block[:length].partition(b"\r\n\r\n")

@@ -171,3 +171,28 @@ def test_unwanted_payloads_are_not_inflated(monkeypatch):
     monkeypatch.setattr(warc.zlib, "decompress", lambda *a: calls.append(1) or whole(*a))
     got = list(warc.records(warc.Source(io.BytesIO(data)), lambda f: f["warc-record-id"] == "<r1>", True))
     assert len(got) == 1 and len(got[0][2]) == 200_000 and len(calls) == 1
+
+
+def test_long_heads_meet_the_predicate(spark):
+    rng = np.random.default_rng(3)
+    url = lambda n: "http://a/" + "".join(chr(c) for c in rng.integers(97, 123, n))
+    body = "y" * 1500
+    rows = [(1, url(50_000), body), (2, url(50_000), body), (3, "http://b/" + "z" * 400_000, body), (4, "u", "small")]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    path = scratch(spark, "warc-test")
+    warc.write(warc.revisits(table, "page_id", "html", 1000), path)
+    kinds = {"response": [3, 4], "revisit": [1, 2]}
+    for kind, ids in kinds.items():
+        for columns in (["record_type", "record_id", "target_uri", "payload_bytes"], None):
+            got = warc.read(spark, path, columns).where(f"record_type = '{kind}'").collect()
+            assert sorted(r.record_id for r in got) == [f"<urn:page:{i}>" for i in ids]
+            assert all(r.target_uri == dict((f"<urn:page:{i}>", u) for i, u, _ in rows)[r.record_id] for r in got)
+            assert {r.payload_bytes for r in got} <= {1500, 5}
+
+
+def test_long_http_heads_in_plain_archives():
+    head = b"HTTP/1.1 200 OK\r\nX-Long: " + b"q" * 20_000 + b"\r\nContent-Length: 7\r\n\r\n"
+    data = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % (len(head) + 7) + head + b"payload\r\n\r\n"
+    for with_payload in (False, True):
+        got = list(warc.records(warc.Source(io.BytesIO(data * 2)), lambda f: True, with_payload))
+        assert [n for _, n, _ in got] == [7, 7]
