@@ -136,13 +136,13 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     """
     n, lengths = len(scores), np.diff(offsets)
     if not n:
-        return np.zeros(0, np.int8)
+        return np.zeros(0, np.int16)
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = offsets[:-1][order], lengths[order]
     active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-    moved, source = np.zeros(scores.shape, bool), np.zeros(n, np.int8)
+    moved, source = np.zeros(scores.shape, bool), np.zeros(n, np.int16)
     best = scores[starts[: active[0]]].astype(np.float32)
-    last = np.zeros(len(starts), np.int8)
+    last = np.zeros(len(starts), np.int16)
     for t in range(1, len(active)):
         m = active[t]
         if m < len(best):
@@ -154,7 +154,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
         moved[at] = change > best
         best = np.maximum(best, change) + scores[at]
     last[: len(best)] = best.argmax(1)
-    path = np.zeros(n, np.int8)
+    path = np.zeros(n, np.int16)  # holds MAX_LABELS numbers
     for t in range(len(active) - 1, -1, -1):
         m = active[t]
         at = starts[:m] + t

@@ -141,6 +141,20 @@ def test_viterbi_is_the_best_path():
         assert value(s, path[a:b].tolist()) == pytest.approx(best, abs=1e-4)
 
 
+def test_more_labels_than_a_byte_counts():
+    rng = np.random.default_rng(8)
+    names = ["".join(chr(97 + c) for c in rng.integers(0, 26, 12)) for _ in range(200)]
+    bucket, owner, script = langid.features(np.array(names, dtype=object))
+    counts = np.zeros((langid.BUCKETS + len(langid.SCRIPT_NAMES), 200))
+    np.add.at(counts, (bucket, owner), 50)
+    np.add.at(counts, (langid.BUCKETS + script, np.arange(200)), 1000)
+    model = langid.Model([f"l{k:03}" for k in range(200)], counts)
+    texts = pa.array([f"{w} {w} {w}" for w in names] + [f"{names[199]} " * 4 + f"{names[3]} " * 5])
+    got = langid.label_texts(texts, model, langid.SWITCH).to_pylist()
+    assert [g["lang_pred"] for g in got] == [*model.labels, "l003"]
+    assert [(s["lang"], s["first_word"], s["last_word"]) for s in got[200]["spans"]] == [("l199", 0, 3), ("l003", 4, 8)]
+
+
 def grams(text):
     w = (text or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
