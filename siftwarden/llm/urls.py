@@ -9,7 +9,10 @@ than ``least`` of both together is blocked; one that neither reaches is allowed.
 
 Rules are joined on host suffix and path beginning, by Spark's choice of join, over
 distinct URLs only. The host graph has one row per pair of linked hosts. A round is one
-join and one sum; rank at a host without links ends there.
+join and one sum; rank at a host without links ends there. Rounds go on until none
+reaches a new host or changes any host's rank by more than ``SETTLED`` of itself, so
+hosts at the end of long chains are judged by ranks as settled as those near the seeds.
+Only rank under ``FAINTEST``, near the smallest double, is not carried on.
 
 Cases: a null URL and one without ``://`` have empty host and path, and no rule fits an
 empty host; repeated rows get the same answer each; null html has no links; an empty
@@ -18,12 +21,17 @@ table gives no rows; other columns are left out.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwarden.llm.tables import written
 
-ROUNDS = 10
+ROUNDS = 10  # of the SQL, which cannot test whether ranks have settled
+CHECKED = 5  # rounds between two tests of that
+SETTLED = 1e-10
+FAINTEST = 1e-300
 DAMPING = 0.85
 LEAST = 0.5
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -62,8 +70,11 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """``kind``, ``node``, ``rank``. ``seeds``: ``kind`` (allow or block), ``node``, ``mass`` adding up to 1 by kind."""
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
+    """``kind``, ``node``, ``rank``. ``seeds``: ``kind`` (allow or block), ``node``, ``mass`` adding up to 1 by kind.
+
+    Without ``rounds``, until the ranks have settled.
+    """
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     into = links.groupBy("dst").agg(F.sum("n").alias("total"))
     along = links.join(out, "src").select(F.lit("allow").alias("kind"), F.col("src").alias("node"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("share"))
@@ -71,15 +82,24 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     flow = written(along.unionByName(against), "host-flow")
     start = seeds.select("kind", "node", (F.col("mass") * (1 - damping)).alias("rank"))
     rank = seeds.select("kind", "node", F.col("mass").alias("rank"))
-    for i in range(rounds):
+    for i in itertools.count() if rounds is None else range(rounds):
         moved = rank.join(flow, ["kind", "node"]).select("kind", F.col("to").alias("node"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = start.unionByName(moved).groupBy("kind", "node").agg(F.sum("rank").alias("rank"))
-        if i % 5 == 4:
-            rank = written(rank, "host-rank")
+        parts = start.unionByName(moved.where(F.col("rank") >= FAINTEST)).withColumn("old", F.lit(0.0))
+        if i % CHECKED == CHECKED - 1:
+            parts = parts.unionByName(rank.select("kind", "node", F.lit(0.0).alias("rank"), F.col("rank").alias("old")))
+        rank = parts.groupBy("kind", "node").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"))
+        if i % CHECKED == CHECKED - 1:
+            told = written(rank, "host-rank")
+            rank = told.where("rank > 0").drop("old")
+            # A host that this round was the first to reach has no old rank.
+            if rounds is None and told.where(F.abs(F.col("rank") - F.col("old")) > SETTLED * F.col("rank")).isEmpty():
+                break
+        else:
+            rank = rank.drop("old")
     return rank
 
 
-def judge(pages: DataFrame, rules: DataFrame, least: float = LEAST, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, least: float = LEAST, rounds: int | None = None) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and the host's ``trust`` share."""
     pages = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     found = written(fitting(pages.select("host", "path").distinct(), rules), "url-rules")

@@ -115,6 +115,29 @@ def test_propagation_is_the_power_iteration(spark):
         assert {n: round(x, 9) for n, x in rank.items() if x} == {n: round(x, 9) for n, x in have.items() if x}
 
 
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    hosts = [f"h{i}.org" for i in range(15)] + ["blocked.org"]
+    # Distrust goes against links: each host links to the next, the last to the blocked one.
+    rows = [(i, f"http://{h}/", f'<a href="http://{hosts[i + 1]}/">' if i < 15 else None) for i, h in enumerate(hosts)]
+    rows.append((99, "http://alone.org/", None))
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    rules = spark.createDataFrame([("block", "blocked.org", "/")], "verdict string, host string, path string")
+    got = {r.page_id: r.verdict for r in urls.judge(table, rules).collect()}
+    assert got == {**{i: "block" for i in range(16)}, 99: "allow"}
+
+
+def test_ranks_settle_in_a_cycle(spark):
+    links = [("a", "b", 2), ("a", "c", 1), ("b", "c", 4), ("c", "a", 1), ("d", "c", 3)]
+    seeds = [("allow", "a", 0.75), ("allow", "d", 0.25)]
+    got = urls.propagate(spark.createDataFrame(links, "src string, dst string, n bigint"), spark.createDataFrame(seeds, "kind string, node string, mass double"))
+    at = {n: i for i, n in enumerate("abcd")}
+    step, start = np.zeros((4, 4)), np.array([0.75, 0, 0, 0.25])
+    for s, d, n in links:
+        step[at[d], at[s]] = n / sum(k for x, _, k in links if x == s)
+    want = np.linalg.solve(np.eye(4) - urls.DAMPING * step, (1 - urls.DAMPING) * start)
+    assert all(abs(r["rank"] - want[at[r.node]]) <= 1e-9 * want[at[r.node]] for r in got.collect()) and got.count() == 4
+
+
 def pages(spark):
     big, wide = "x" * 1500, "é" * 600
     rows = [
