@@ -24,7 +24,8 @@ from siftwarden.operators.variants import with_variants
 
 GRAM = 3  # tokens per hashed run
 WINDOW = 4  # runs per selection window
-MOST_SHORT = 10_000
+MOST_SHORT = 10_000  # protected texts of one or two tokens in one array; more are joined
+CHARS = 8  # characters per hashed run where those are joined
 LONG = GRAM + WINDOW - 1  # inner tokens that guarantee a shared selected run
 
 
@@ -71,6 +72,25 @@ def protected_keys(protected: DataFrame) -> DataFrame:
     return keyed.select("canary_id", "canary", "kind", "key", F.length("canary").alias("width"))
 
 
+def short_keys(short: DataFrame) -> DataFrame:
+    """(canary_id, canary, kind, key) of texts looked for by their characters.
+
+    The key is the run of ``CHARS`` characters that the fewest of the texts have, or the
+    whole of a shorter text; ``kind`` is its length.
+    """
+    runs = " ".join(f"WHEN {k} THEN {_grams('_chars', k)}" for k in range(1, CHARS + 1))
+    chars = short.select("canary_id", "canary", F.split("canary", "").alias("_chars"))
+    each = chars.withColumn("kind", F.least(F.size("_chars"), F.lit(CHARS))).select(
+        "canary_id", "canary", "kind", F.explode(F.array_distinct(F.expr(f"CASE kind {runs} END"))).alias("key")
+    )
+    often = each.groupBy("kind", "key").agg(F.count("*").alias("n"))
+    return (
+        each.join(often, ["kind", "key"])
+        .groupBy("canary_id", "canary", "kind")
+        .agg(F.min(F.struct("n", "key"))["key"].alias("key"))
+    )
+
+
 def _text_keys(kinds: list[int]) -> Column:
     """All keys a text offers for the kinds of protected texts at hand."""
     parts = []
@@ -102,19 +122,36 @@ _HELD = ["txn_id", "turn", "vidx", "decoded_depth", "canary_id", "canary", "star
 def _short_hits(texts: DataFrame, short: DataFrame) -> DataFrame:
     """Texts that hold a protected text of one or two tokens, looked for in the row.
 
-    Such texts are a policy's own few; they are one array, of ``MOST_SHORT`` at most.
+    Such texts are mostly a policy's own few; they are one array.
     """
-    listed = F.collect_list(F.struct("canary_id", "canary"))
-    few = F.when(F.size(listed) <= MOST_SHORT, listed).otherwise(
-        F.raise_error(F.lit(f"more than {MOST_SHORT} protected texts of one or two tokens"))
-    )
-    one = short.agg(few.alias("short")).withColumn("k", F.lit(1))
+    one = short.agg(F.collect_list(F.struct("canary_id", "canary")).alias("short")).withColumn("k", F.lit(1))
     held = F.filter("short", lambda c: F.col("text").contains(c["canary"]))
     hits = texts.withColumn("k", F.lit(1)).join(F.broadcast(one), "k").withColumn("c", F.explode(held))
     start = F.instr(F.col("text"), F.col("c.canary")) - 1
     return hits.select("txn_id", "turn", "vidx", "decoded_depth", "c.canary_id", "c.canary", start.alias("start"))
 
 
+def _many_short_hits(messages: DataFrame, short: DataFrame, decode: bool) -> DataFrame:
+    """The same for any number of them: texts that share a run of characters, then looked for in full."""
+    keys = short_keys(short)
+    # At most CHARS kinds.
+    kinds = sorted(r["kind"] for r in keys.select("kind").distinct().collect())
+    chars = numbered_texts(messages, decode).withColumn("_chars", F.split("text", ""))
+    parts = [f"coalesce(transform(array_distinct({_grams('_chars', k)}), k -> named_struct('kind', {k}, 'key', k)), array())" for k in kinds]
+    offered = chars.select("txn_id", "turn", "vidx", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("k")).select(
+        "txn_id", "turn", "vidx", "k.kind", "k.key"
+    )
+    # A message is normalised again once for all its candidates.
+    found = offered.join(keys, ["kind", "key"]).groupBy("txn_id", "turn").agg(
+        F.collect_list(F.struct("vidx", "canary_id", "canary")).alias("_met")
+    )
+    checked = numbered_texts(messages.select("txn_id", "turn", "text").join(found, ["txn_id", "turn"]), decode, ("_met",))
+    held = F.filter("_met", lambda c: (c["vidx"] == F.col("vidx")) & F.col("text").contains(c["canary"]))
+    hits = checked.withColumn("c", F.explode(held))
+    start = F.instr(F.col("text"), F.col("c.canary")) - 1
+    return hits.select("txn_id", "turn", "vidx", "decoded_depth", "c.canary_id", "c.canary", start.alias("start"))
+
+
 def _keyed_hits(messages: DataFrame, keys: DataFrame, kinds: list[int], decode: bool) -> DataFrame:
     """Texts that share a key with a protected text and hold it in full."""
     tokens = numbered_texts(messages, decode).withColumn("_tokens", F.split("text", " "))
@@ -143,10 +180,13 @@ def canary_hits(messages: DataFrame, protected: DataFrame, decode: bool = True)
     """
     keys = protected_keys(protected)
     # At most LONG + 1 kinds.
-    kinds = sorted(r["kind"] for r in keys.select("kind").distinct().collect())
+    sizes = {r["kind"]: r["n"] for r in keys.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    kinds = sorted(sizes)
     found = []
     if 0 in kinds:
-        found.append(_short_hits(numbered_texts(messages, decode), keys.where("kind = 0")))
+        short = keys.where("kind = 0")
+        few = sizes[0] <= MOST_SHORT
+        found.append(_short_hits(numbered_texts(messages, decode), short) if few else _many_short_hits(messages, short, decode))
     if kinds[-1:] != [0]:
         found.append(_keyed_hits(messages, keys.where("kind > 0"), [k for k in kinds if k] or [LONG], decode))
     held = found[0] if len(found) == 1 else found[0].unionByName(found[1])

@@ -1,8 +1,10 @@
 """Cases that the tables cannot show: refusals, long texts, deadlines, folders as streams."""
 
+import base64
 import datetime as dt
 import hashlib
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,23 @@ def test_short_protected_texts(spark):
     assert {(r.txn_id, r.canary_id) for r in only.collect()} == {(1, 1), (2, 2)}
 
 
+def test_any_number_of_short_protected_texts(spark, monkeypatch):
+    texts = [
+        (1, 0, "the key is xRG-7F3A9C."), (2, 0, "two words here, two words here"), (3, 0, "no"), (4, 0, "x" * 30), (5, 0, "é😀b naïve"), (6, 0, ""),
+        (7, 0, base64.b64encode(b"here is RG-7F3A9C again").decode()), (7, 1, "password123 and password124"), (8, 0, "pass word12"), (9, 0, "a longer protected text of many words stands here"),
+    ]
+    canaries = ["RG-7F3A9C", "words her", "x", "xxxxxxxxxxxx", "😀b", "é😀b naïv", "password123", "password124", "password125", "", "no", "not", "here, two", "protected text of many words stands"]
+    canaries += [f"password9{i:03}" for i in range(100)]
+    table = spark.createDataFrame(texts, "txn_id int, turn int, text string")
+    secret = spark.createDataFrame(list(enumerate(canaries)), "canary_id int, canary string")
+    few = Counter(tuple(r) for r in leak.canary_hits(table, secret).collect())
+    monkeypatch.setattr(leak, "MOST_SHORT", 10)
+    many = Counter(tuple(r) for r in leak.canary_hits(table, secret).collect())
+    assert many == few
+    plain = {(i, j, t, k, x.find(c)) for i, j, x in texts for k, c in enumerate(canaries) if c and c in x for t in [0]}
+    assert {(r[0], r[1], r[4], r[2], r[5]) for r in many if r[4] == 0} == plain and (7, 0, 1, 0) in {(r[0], r[1], r[4], r[2]) for r in many}
+
+
 def test_material_is_hashed_as_it_stands(spark, tmp_path):
     turns = [(1, 0, "user", "café"), (2, 0, "user", "cafё"), (3, 0, "user", "plain"), (3, 1, "assistant", "да 😀 \"q\"")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
