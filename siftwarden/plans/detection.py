@@ -259,6 +259,13 @@ def scan_urls(spark, sf):
     )
 
 
+def faulty_messages(spark, sf):
+    """Conversations with an unknown role in every tenth and a number for the content of turn 2."""
+    rows = src.conversations(spark, sf)
+    rows = rows.withColumn("role", F.when(F.col("txn_id") % 10 == 3, "narrator").otherwise(F.col("role")))
+    return rows.withColumn("content_type", F.when(F.col("turn") == 2, "integer").otherwise("string"))
+
+
 @query(
     "scan_message_schema",
     f"""SELECT conv_id AS txn_id, turn, 'invalid_role_v1' AS pattern_id,
@@ -269,10 +276,7 @@ def scan_urls(spark, sf):
     FROM conversations WHERE turn = 2""",
 )
 def scan_message_schema(spark, sf):
-    rows = src.conversations(spark, sf)
-    rows = rows.withColumn("role", F.when(F.col("txn_id") % 10 == 3, "narrator").otherwise(F.col("role")))
-    rows = rows.withColumn("content_type", F.when(F.col("turn") == 2, "integer").otherwise("string"))
-    return detect.scan_message_schema(rows, src.SALT).select("txn_id", "turn", "pattern_id", "excerpt_hash")
+    return detect.scan_message_schema(faulty_messages(spark, sf), src.SALT).select("txn_id", "turn", "pattern_id", "excerpt_hash")
 
 
 # --- leaks -------------------------------------------------------------------------------------
@@ -284,7 +288,7 @@ CANARIES_SQL = f"""b AS (SELECT item_id, {src.norm_sql('text')} AS c FROM (SELEC
   FROM benchmark WHERE item_id % 10 = 0))"""
 
 
-def document_canaries(spark, sf):
+def protected(spark, sf):
     """Benchmark items, and for every tenth also its first word or two as a short canary."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("canary_id"), F.col("text").alias("canary"))
     words = F.when(F.col("canary_id") % 20 == 0, 1).otherwise(2)
@@ -292,7 +296,11 @@ def document_canaries(spark, sf):
         (F.col("canary_id") + SHORT_IDS).alias("canary_id"),
         F.array_join(F.slice(F.split("canary", " "), F.lit(1), words), " ").alias("canary"),
     )
-    return leak.canary_hits(src.documents(spark, sf), items.unionByName(short))
+    return items.unionByName(short)
+
+
+def document_canaries(spark, sf):
+    return leak.canary_hits(src.documents(spark, sf), protected(spark, sf))
 
 
 @query(
@@ -306,8 +314,7 @@ def scan_canary_leak(spark, sf):
     )
 
 
-@query("scan_system_prompt_leak")
-def scan_system_prompt_leak(spark, sf):
+def prompt_leaks(spark, sf):
     msgs = src.conversations(spark, sf)
     # Every third conversation answers with most of its system prompt.
     prompts = ms.system_prompts(msgs)
@@ -317,7 +324,12 @@ def scan_system_prompt_leak(spark, sf):
     answers = ms.responses(msgs).join(echo, "txn_id", "left")
     answers = answers.withColumn("text", F.coalesce("echo", "text"))
     similar = leak.prompt_similarity(answers, prompts)
-    return leak.prompt_leak_findings(similar, src.SALT).select(
+    return leak.prompt_leak_findings(similar, src.SALT)
+
+
+@query("scan_system_prompt_leak")
+def scan_system_prompt_leak(spark, sf):
+    return prompt_leaks(spark, sf).select(
         "txn_id", "category", F.round("score", 6).alias("score"), "confidence", "end"
     )
 
@@ -464,13 +476,29 @@ SCAN_DECIDE_SQL = f"""WITH {PROBES_SQL}, {decided_sql(_PROBED)}
     SELECT plane, detector_id, category, pattern_id, count(*) AS n FROM found_in GROUP BY ALL""",
 )
 def scan_all(spark, sf):
-    texts = probes(spark, sf).select("txn_id", "turn", "plane", "text").unionByName(
-        src.documents(spark, sf).select("txn_id", "turn", "plane", "text")
-    )
-    found = detect.scan(texts, detect.text_detectors(src.POLICY), src.SALT)
-    return found.groupBy("plane", "detector_id", "category", "pattern_id").agg(F.count("*").alias("n"))
-
+    """Every detector on every plane: texts of requests, documents and responses, leaks, tool calls, message schema.
 
+    Assistant messages are read twice: as context of the request and as responses. The SQL
+    tells the text detectors' findings on the input and context planes.
+    """
+    said = probes(spark, sf)
+    answers = said.where("role = 'assistant'").withColumn("plane", F.lit("response"))
+    texts = said.select("txn_id", "turn", "plane", "text")
+    for more in (src.documents(spark, sf), answers):
+        texts = texts.unionByName(more.select("txn_id", "turn", "plane", "text"))
+    faulty = faulty_messages(spark, sf).withColumn("plane", ms.plane_of(F.col("role")))
+    parts = [
+        detect.scan(texts, detect.text_detectors(src.POLICY), src.SALT),
+        leak.canary_findings(document_canaries(spark, sf), src.SALT),
+        leak.canary_findings(leak.canary_hits(answers, protected(spark, sf)), src.SALT),
+        prompt_leaks(spark, sf), tools.scan_calls(src.calls(spark, sf), src.POLICY, src.SALT),
+        *[detect.scan_message_schema(faulty.where(F.col("plane") == p), src.SALT).withColumn("plane", F.lit(p)) for p in ("input", "context")],
+    ]
+    kinds = ["plane", "detector_id", "category", "pattern_id"]
+    found = parts[0].select(*kinds)
+    for part in parts[1:]:
+        found = found.unionByName(part.select(*kinds))
+    return found.groupBy(*kinds).agg(F.count("*").alias("n"))
 
 
 # A user's own detector that gives up on some texts.
