@@ -12,9 +12,10 @@ members are one, and so each link counts once. Classes are the connected compone
 the links.
 
 Cases: null, empty and blank texts have no n-grams, no links and a class of their own;
-copies are links of each other; rows that repeat a key are one document (its text is that
-of the smallest hash if they differ) and share its answer; rows with a null key have a
-null class and no links; an empty table gives no rows; other columns are left out.
+copies are links of each other; rows that repeat a key and text share an answer, and
+those that repeat a key with another text have the answer of their own text; rows with a
+null key have a null class and no links; an empty table gives no rows; other columns are
+left out.
 """
 
 from __future__ import annotations
@@ -208,57 +209,76 @@ def join(
     recall: float = RECALL, block: int = BLOCK,
 ) -> DataFrame:
     """``doc_id``, ``class_id``, ``links`` (documents), ``text_links`` (different texts) and ``copies``."""
+    return _answers(docs, key, text, width, threshold, recall, block).drop("th", "class_th")
+
+
+def _answers(docs: DataFrame, key: str, text: str, width: int, threshold: float, recall: float, block: int) -> DataFrame:
+    """The same with ``th``, the hash of the row's text, and ``class_th``, that of the text that stands for the class."""
     bounded_batches(docs.sparkSession)
     bands, rows = banding(threshold, recall)
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     known = docs.where("id is not null")
     sketches = known.mapInArrow(_sketched(width, bands, rows), "id bigint, th bigint, c1 bigint, c2 bigint, bands array<bigint>")
     sketches = written(sketches, "sketches")
-    single = sketches.groupBy("id").agg(F.min_by(F.struct("th", "c1", "c2", "bands"), "th").alias("s"), F.count("*").alias("n"))
-    single = written(single.select("id", "s.*", "n"), "documents")
+    single = sketches.groupBy("id", "th").agg(F.first(F.struct("c1", "c2", "bands")).alias("s"), F.count("*").alias("n"))
+    single = written(single.select("id", "th", "s.*", "n"), "documents")
     texts = single.where(F.size("bands") > 0).groupBy("c1", "c2").agg(
-        F.min("id").alias("id"), F.min_by("th", "id").alias("th"), F.sum("n").alias("copies"), F.first("bands").alias("bands")
+        F.min(F.struct("id", "th")).alias("k"), F.sum("n").alias("copies"), F.first("bands").alias("bands")
     )
-    texts = written(texts, "texts")
-    met = texts.select("id", F.posexplode("bands").alias("band", "h"))
-    buckets = met.groupBy("band", "h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("low"))
+    # A key may have several texts, so texts are numbered; the written numbers stay.
+    texts = written(texts.select(F.monotonically_increasing_id().alias("node"), "k.*", "c1", "c2", "copies", "bands"), "texts")
+    met = texts.select("node", F.posexplode("bands").alias("band", "h"))
+    buckets = met.groupBy("band", "h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("low"))
     # Band hashes differ by band, and buckets with the same members are verified in the first of them.
     buckets = buckets.where("n > 1").groupBy("n", "x", "low").agg(F.min_by("h", "band").alias("h"), F.min("band").alias("band"))
     members = met.join(buckets.select("band", "h", "n"), ["band", "h"])
     blocks = F.ceil(F.col("n") / block).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "h"), F.col("blocks")).cast("int"))
+    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "h"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "id", "band", "h", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")
+        "node", "band", "h", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")
     )
     content = known.dropDuplicates(["id", "th"])
-    full = members.join(texts.select("id", "th", "copies", "bands"), "id").join(content, ["id", "th"])
+    full = members.join(texts.select("node", "id", "th", "copies", "bands"), "node").join(content, ["id", "th"])
+    full = full.drop("id").withColumnRenamed("node", "id")
     schema = "id bigint, root bigint, links bigint, texts bigint"
     found = full.groupBy("h", "a", "b").applyInArrow(_verified(width, threshold), schema)
     found = written(found, "links")
     labels = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
-    links = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    told = texts.select("id", "c1", "c2", "copies").join(links, "id", "left").join(labels, F.col("id") == F.col("node"), "left")
-    told = told.select("c1", "c2", F.coalesce("label", "id").alias("class_id"), "links", "texts", "copies")
-    worded = single.where(F.size("bands") > 0).join(told, ["c1", "c2"]).select("id", "class_id", "links", "texts", "copies", "n")
+    links = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts")).withColumnRenamed("id", "node")
+    classed = labels.join(texts.select("node", "id", "th"), "node")
+    smallest = classed.groupBy("label").agg(F.min(F.struct("id", "th")).alias("least"))
+    stands = classed.join(smallest, "label").select("node", "least")
+    told = texts.join(links, "node", "left").join(stands, "node", "left")
+    told = told.withColumn("least", F.coalesce("least", F.struct("id", "th"))).select(
+        "c1", "c2", F.col("least.id").alias("class_id"), F.col("least.th").alias("class_th"), "links", "texts", "copies"
+    )
+    answer = ["id", "th", "class_id", "class_th", "links", "texts", "copies", "n"]
+    worded = single.where(F.size("bands") > 0).join(told, ["c1", "c2"]).select(*answer)
     wordless = single.where(F.size("bands") == 0).select(
-        "id", F.col("id").alias("class_id"), F.lit(None).alias("links"), F.lit(None).alias("texts"), F.lit(1).cast("bigint").alias("copies"), "n",
+        "id", "th", F.col("id").alias("class_id"), F.col("th").alias("class_th"), F.lit(None).alias("links"), F.lit(None).alias("texts"),
+        F.lit(1).cast("bigint").alias("copies"), "n",
     )
     each = worded.unionByName(wordless)
-    # A key that repeats has its answer on each of its rows.
+    # A key and text that repeat have their answer on each of their rows.
     each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
     result = each.select(
         F.col("id").alias("doc_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
-        F.coalesce("texts", F.lit(0)).cast("bigint").alias("text_links"), "copies",
+        F.coalesce("texts", F.lit(0)).cast("bigint").alias("text_links"), "copies", "th", "class_th",
     )
     void = docs.where("id is null").select(
         F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("links"),
-        F.lit(0).cast("bigint").alias("text_links"), F.lit(1).cast("bigint").alias("copies"),
+        F.lit(0).cast("bigint").alias("text_links"), F.lit(1).cast("bigint").alias("copies"), "th",
+        F.col("th").alias("class_th"),
     )
     return result.unionByName(void)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest key of each class; rows without a key stay."""
-    classes = join(docs, key, text)
-    others = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(others, key, "left_anti").select(*docs.columns)
+    """The document with the smallest key of each class, of texts under that key the one of the smallest hash.
+
+    Rows without a key stay.
+    """
+    classes = _answers(docs, key, text, WIDTH, THRESHOLD, RECALL, BLOCK)
+    others = classes.where("doc_id <> class_id or th <> class_th").select("doc_id", "th").distinct()
+    same = (docs[key].cast("bigint") == others["doc_id"]) & (F.xxhash64(docs[text]) == others["th"])
+    return docs.join(others, same, "left_anti").select(*docs.columns)

@@ -209,6 +209,24 @@ def test_near_join_odd_rows(docs, none):
     assert near.keep_one(docs).where("doc_id is null").count() == 2
 
 
+def test_reused_keys_keep_each_their_texts(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    base, alone = [[" ".join(word() for _ in range(80)) for _ in range(6)] for _ in range(2)]
+    near_copy = [t + " more" for t in base]
+    rows = [(i, t) for i, t in enumerate(base)] + [(10 + i, t) for i, t in enumerate(near_copy)] + [(10 + i, t) for i, t in enumerate(alone)]
+    rows += [(0, alone[0] + " " + alone[1]), (30, base[0] + " end of it"), (31, base[1]), (31, base[1])]
+    twice = " ".join(word() for _ in range(80))
+    table = make(spark, [(i, t, "en") for i, t in rows + [(40, twice), (40, twice + " more")]])
+    got = near.join(table).collect()
+    classes = Counter((r.doc_id, r.class_id, r.links) for r in got)
+    assert len(got) == len(rows) + 2 and classes[(10, 0, 2)] == 1 and classes[(10, 10, 0)] == 1 and classes[(0, 0, 0)] == 1
+    assert all(classes[(10 + i, i, 1)] == classes[(10 + i, 10 + i, 0)] == 1 for i in range(2, 6)) and classes[(40, 40, 1)] == 2
+    kept = Counter((r.doc_id, r.text) for r in near.keep_one(table).collect())
+    want = Counter([(i, t) for i, t in enumerate(base)] + [(10 + i, t) for i, t in enumerate(alone)] + [(0, alone[0] + " " + alone[1])])
+    assert Counter({k: n for k, n in kept.items() if k[0] != 40}) == want and sum(n for k, n in kept.items() if k[0] == 40) == 1
+
+
 def test_bands_reach_the_recall():
     bands, rows = near.banding(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= near.MOST_HASHES
