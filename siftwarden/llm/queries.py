@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwarden.llm import covertree, exact, importance, langid, mixing, near, packing, sharding, urls, warc
+from siftwarden.llm import centroids, covertree, exact, importance, langid, mixing, near, packing, periodic, sharding, urls, warc
 from siftwarden.llm.tables import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +176,58 @@ def op6_mixing(spark, sf):
     )
 
 
+def _cluster_sql(k: int = centroids.K, dims: int = centroids.DIMS, rounds: int = centroids.ROUNDS) -> str:
+    def assigned(name: str, after: str) -> str:
+        apart = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"""{name} AS MATERIALIZED (SELECT row, min(struct_pack(d := CAST({apart} AS BIGINT), i := i)) AS best
+          FROM kept CROSS JOIN {after} GROUP BY row)"""
+
+    steps = "".join(
+        f""",
+{assigned(f"a{r}", f"c{r}")},
+sums{r} AS (SELECT i, j, sum(v[j]) AS s, count(*) AS n FROM (
+  SELECT best.i AS i, v, unnest(range(1, {dims + 1})) AS j FROM a{r} JOIN kept USING (row)) GROUP BY i, j),
+means{r} AS (SELECT i, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM sums{r} GROUP BY i),
+c{r + 1} AS MATERIALIZED (SELECT i, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN means{r} m USING (i))"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id,
+  list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id) NULLS LAST, vec_id, v) - 1 AS INTEGER) AS i,
+  v AS c FROM kept QUALIFY i < {k}){steps},
+{assigned("last", f"c{rounds}")},
+found AS MATERIALIZED (SELECT row, best.i AS cluster, best.d AS distance FROM last)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM found JOIN kept USING (row) JOIN c{rounds} ON cluster = i"""
+
+
+@query("op11_centroid_clustering", _cluster_sql())
+def op11_centroid_clustering(spark, sf):
+    found, middles = centroids.cluster(table(spark, sf, "embeddings"))
+    return centroids.with_inertia(found, middles).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Key and text; that of a tenth of the documents goes on from word a by repeating its p words from there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    rows = docs.select("doc_id", "text", (h / 10).cast("bigint").alias("g"), F.when(h % 10 == 0, parts).alias("w"))
+    rows = rows.select("doc_id", "text", "w", "g", F.expr("g % nullif(size(w), 0)").alias("a"))
+    rows = rows.select("doc_id", "text", "w", "a", F.expr("1 + (size(w) - a) div (3 + g % 8)").alias("p"))
+    again = F.expr("array_join(transform(sequence(0, size(w) - 1), i -> w[cast(if(i >= a, a + (i - a) % p, i) as int)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(again).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf):
+    return periodic.summary(periodic.collapse(planted(table(spark, sf, "documents"))))
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline

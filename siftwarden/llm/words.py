@@ -46,6 +46,18 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, distinct, offsets
 
 
+def ascii_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words between blanks and control white space (9 to 13): codes, distinct words, row offsets. Null is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
+    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+    coded = lists.flatten().dictionary_encode()
+    codes, empty = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:
+        keep = codes != empty
+        offsets, codes = np.concatenate([[0], np.cumsum(keep)])[offsets], codes[keep]
+    return codes, coded.dictionary, offsets
+
+
 def word_hashes(distinct: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, the same in every process."""
     if not len(distinct):
