@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwarden.llm import centroids, covertree, exact, importance, langid, mixing, near, packing, periodic, sharding, urls, warc
+from siftwarden.llm import centroids, covertree, exact, importance, langid, mixing, near, packing, periodic, sharding, substrings, urls, warc
 from siftwarden.llm.tables import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,6 +228,27 @@ def op12_periodic_runs(spark, sf):
     return periodic.summary(periodic.collapse(planted(table(spark, sf, "documents"))))
 
 
+SUBSTRING_SQL = f"""
+WITH words AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+starts AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + {substrings.WINDOW - 1}], ' ') AS s FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) - {substrings.WINDOW - 2})) AS i FROM words WHERE len(w) >= {substrings.WINDOW})),
+again AS MATERIALIZED (SELECT doc_id, list(i) AS found FROM (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM starts) WHERE doc_id > first GROUP BY doc_id),
+gone AS (SELECT doc_id, list_distinct(flatten(list_transform(found, lambda i: range(i, i + {substrings.WINDOW})))) AS g FROM again),
+cut AS (SELECT doc_id, w, coalesce(len(g), 0) AS n_removed, CASE WHEN g IS NULL THEN w ELSE k END AS kept
+  FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN (
+    SELECT doc_id, list(w[i] ORDER BY i) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)
+      ANTI JOIN (SELECT doc_id, unnest(g) AS i FROM gone) USING (doc_id, i) GROUP BY doc_id) USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM cut"""
+
+
+@query("op13_substring_dedup", SUBSTRING_SQL)
+def op13_substring_dedup(spark, sf):
+    found = substrings.cut_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline

@@ -1,4 +1,4 @@
-"""Periodic runs against brute force, on texts that repeat themselves in many ways."""
+"""Periodic runs and passages shared between documents, against brute force."""
 
 import hashlib
 import random
@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from siftwarden.llm import periodic, queries
+from siftwarden.llm import periodic, queries, substrings
 
 SCHEMA = "doc_id bigint, text string, lang string, key string, runs string, h bigint, collapsed int, `a.b` int"
 
@@ -126,3 +126,74 @@ def test_query(spark, rows, tmp_path):
         )
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and many > 5
     assert [t for _, t in got.dtypes] == ["bigint"] * 6 + ["string"] * 2
+
+
+def slow_cut(rows, window):
+    first = {}
+    for i, t in rows:
+        w = split(t)
+        for j in range(len(w) - window + 1 if i is not None else 0):
+            k = tuple(w[j : j + window])
+            first[k] = min(first.get(k, i), i)
+    out = []
+    for i, t in rows:
+        w = split(t)
+        gone = set()
+        for j in range(len(w) - window + 1 if i is not None else 0):
+            if first[tuple(w[j : j + window])] < i:
+                gone.update(range(j, j + window))
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out, key=repr)
+
+
+def shared_rows(rng, n):
+    """Documents made of passages of a common stock, copied, edited, cut short or run on."""
+    word = lambda k=3000: "w%d" % rng.randrange(k)
+    stock = [[word() for _ in range(rng.choice([20, 49, 50, 51, 80, 300]))] for _ in range(25)] + [["la"] * 130, list("ab") * 90]
+    rows = []
+    for i in range(n):
+        w = []
+        for _ in range(rng.randint(0, 5)):
+            part = list(rng.choice(stock))
+            if rng.random() < 0.4 and len(part) > 60:
+                part[rng.randrange(len(part))] = word()
+            a = rng.randrange(len(part)) if rng.random() < 0.3 else 0
+            w += [word() for _ in range(rng.choice([0, 0, 1, 30]))] + part[a:] + [word(4) for _ in range(rng.choice([0, 1, 20]))]
+        rows.append((rng.randrange(n) - 5, rng.choice([" ", "\n", " \t"]).join(w)))
+    long = [word() for _ in range(3000)]
+    rows += [(n + 1, " ".join(long)), (n + 2, " ".join(long)), (n + 3, " ".join(long[100:])), (-99, " ".join(long[1000:1300]))]
+    rows += [(n + 5, "la " * 5000), (n + 6, "la " * 700), (n + 7, "x " * 3 + "la " * 55)]
+    rows += [(None, " ".join(stock[5] * 2)), (n + 8, None), (n + 9, ""), (n + 10, " \n"), (n + 11, "\x1c".join(long)), (None, None)]
+    return rows + [(i, t) for i, t in rows[:15]] + [(n + 12 + i, t) for i, (_, t) in enumerate(rows[:15])]
+
+
+@pytest.mark.parametrize("window,seed", [(50, 1), (50, 2), (7, 3), (62, 4)])
+def test_cut_repeats(spark, window, seed):
+    rows = shared_rows(random.Random(seed), 150)
+    got = substrings.cut_repeats(make(spark, rows).repartition(5), window=window).collect()
+    want = slow_cut(rows, window)
+    assert sorted(map(tuple, got), key=repr) == want
+    assert sum(r[2] > 0 for r in want) > 40 and sum(r[2] == 0 for r in want) > 20
+
+
+def test_cut_nothing(spark):
+    assert substrings.cut_repeats(make(spark, [])).count() == 0
+    got = substrings.cut_repeats(make(spark, [(1, None), (2, "a"), (None, "b " * 60)])).collect()
+    assert {tuple(r) for r in got} == {(1, 0, 0, ""), (2, 1, 0, "a"), (None, 60, 0, " ".join("b" * 60))}
+
+
+def test_symbols_are_cut_alike():
+    """A symbol stands wherever the words that it depends on stand."""
+    rng = np.random.default_rng(0)
+    middle = rng.integers(0, 40, 300)
+    texts = [np.concatenate([rng.integers(0, 40, k), middle, rng.integers(0, 40, 2 * k)]) for k in (0, 3, 17, 60)]
+    h = substrings.words.mixed(np.concatenate(texts).astype(np.uint64) + np.uint64(9))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = substrings.recompressed(h, offsets, 5)
+    inside = []
+    for row, k in enumerate((0, 3, 17, 60)):
+        base = offsets[row] + k
+        mine = (found["row"] == row) & (found["low"] >= base) & (found["high"] <= base + 300)
+        inside.append({(n, s - base, e - base) for n, s, e in zip(found["name"][mine], found["start"][mine], found["stop"][mine])})
+    assert all(x == inside[1] for x in inside[1:]) and inside[0] >= inside[1] and len(inside[1]) > 40
+    assert np.mean([e - s for _, s, e in inside[1]]) > 3
