@@ -22,7 +22,8 @@ for 21 words. Spark then groups these rows globally, in rounds that work on ever
    their 128-bit hashes with their words read again; the answer is a set of bits per context.
 
 Texts are needed three times, beside what has been found about them. They are written once,
-in buckets by the number of the task that read them, and joined there: only findings move.
+in buckets by the number of the task that read them, and what is found is sent there: no text
+is shuffled.
 
 Cases: null, empty and short texts lose nothing; rows with a null key lose nothing and take
 nothing from others; rows that share a key take nothing from each other; an empty table
@@ -183,35 +184,47 @@ def _contexts(window: int, rounds: int):
     return run
 
 
-def _lists(batch: pa.RecordBatch, column: str, fields: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The row of each struct in a list column, and the structs' fields."""
-    lists = batch.column(column)
-    row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-    flat = lists.flatten()
-    return row, [pc.struct_field(flat, f).to_numpy(zero_copy_only=False) for f in fields]
+def _told(texts: pa.Table, about: pa.Table):
+    """The texts in parts, each with the rows about them: number of the text, and the columns of ``about``."""
+    uid = about["uid"].to_numpy()
+    columns = {c: about[c].to_numpy() for c in about.column_names}
+    for batch in (part for whole in texts.to_batches() for part in words.slices(whole, "text", BATCH_BYTES)):
+        mine = batch.column("uid").to_numpy()
+        order = np.argsort(mine)
+        near = order[np.minimum(np.searchsorted(mine[order], uid), len(mine) - 1)]
+        known = np.flatnonzero(mine[near] == uid)
+        yield batch, near[known], {c: v[known] for c, v in columns.items()}
 
 
-def _windows(window: int):
-    def run(batches):
-        for batch in (part for whole in batches for part in words.slices(whole, "text", BATCH_BYTES)):
+def _each(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... for every one of ``n``."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _windows(window: int, schema: pa.Schema):
+    def run(texts: pa.Table, about: pa.Table) -> pa.Table:
+        out = []
+        for batch, row, asked in _told(texts, about):
+            some, row = np.unique(row, return_inverse=True)
+            batch = batch.take(pa.array(some))
             codes, distinct, offsets = words.ascii_words(batch.column("text"))
-            row, (group, at, n) = _lists(batch, "asked", ["group", "at", "n"])
-            off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            first = np.repeat(offsets[row] + at, n) + off
+            n, off = asked["n"], _each(asked["n"])
+            first = np.repeat(offsets[row] + asked["at"], n) + off
             hashes = [Stretches(lane(distinct, key)[codes], window).of(first, first + window).view(np.int64) for key in KEYS]
             ids = batch.column("id").take(pa.array(np.repeat(row, n)))
-            yield pa.RecordBatch.from_pydict({"id": ids, "group": np.repeat(group, n), "off": off, "w1": hashes[0], "w2": hashes[1]})
+            out.append(pa.Table.from_arrays([ids, *map(pa.array, (np.repeat(asked["group"], n), off, *hashes))], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
 
-def _cut(window: int):
-    def run(batches):
-        for batch in (part for whole in batches for part in words.slices(whole, "text", BATCH_BYTES)):
+def _cut(window: int, schema: pa.Schema):
+    def run(texts: pa.Table, about: pa.Table) -> pa.Table:
+        out = []
+        for batch, row, found in _told(texts, about):
             codes, distinct, offsets = words.ascii_words(batch.column("text"))
-            row, (at, n, bits) = _lists(batch, "found", ["at", "n", "bits"])
-            off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            bits, first = np.repeat(bits, n), np.repeat(offsets[row] + at, n) + off
+            n, off = found["n"], _each(found["n"])
+            bits, first = np.repeat(found["bits"], n), np.repeat(offsets[row] + found["at"], n) + off
             first = first[(bits == -1) | (bits >> np.minimum(off, 62) & 1 == 1)]
             cover = np.zeros(len(codes) + 1, np.int64)
             np.add.at(cover, first, 1)
@@ -220,9 +233,9 @@ def _cut(window: int):
             bounds = np.concatenate([[0], np.cumsum(~gone)])[offsets]
             kept = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), distinct.take(pa.array(codes[~gone])))
             total = np.diff(offsets)
-            yield pa.RecordBatch.from_pydict(
-                {"id": batch.column("id"), "n_words": total, "n_removed": total - np.diff(bounds), "kept": pc.binary_join(kept, " ")}
-            )
+            columns = [batch.column("id"), pa.array(total), pa.array(total - np.diff(bounds)), pc.binary_join(kept, " ")]
+            out.append(pa.Table.from_arrays(columns, schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
@@ -245,10 +258,12 @@ class Texts:
         rows.write.bucketBy(self.buckets, "part").option("path", place).option("compression", "zstd").saveAsTable(self.name)
         self.rows = spark.table(self.name)
 
-    def joined(self, about: DataFrame, how: str) -> DataFrame:
-        """``about`` has one row per ``uid``."""
-        placed = about.withColumn("part", _part()).repartition(self.buckets, "part")
-        return self.rows.join(placed, ["part", "uid"], how)
+    def told(self, about: DataFrame, work, schema: str) -> DataFrame:
+        """``work`` on each part of the texts and the rows about them; a part is at most a share of what one task has read."""
+        fields = [f.split() for f in schema.split(", ")]
+        arrow = pa.schema([(name, {"bigint": pa.int64(), "string": pa.string()}[kind]) for name, kind in fields])
+        placed = about.withColumn("part", _part())
+        return self.rows.groupBy("part").cogroup(placed.groupBy("part")).applyInArrow(work(arrow), schema)
 
     def forget(self) -> None:
         """Take the table's name from the catalogue; its files stay for what still reads them."""
@@ -263,25 +278,23 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     texts = Texts(docs, key, text)
     rows = texts.rows.where("id is not null and text is not null").select("id", "uid", "text")
     every = written(rows.mapInArrow(_contexts(window, rounds), CONTEXT), "contexts")
+    # Both sides of a join on what may be hot come from a table: what one key has too much of is then split.
     names = every.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("name")
-    shared = written(every.join(names, "name"), "shared")
+    shared = written(every.join(written(names, "names"), "name"), "shared")
     groups = shared.groupBy("name", "ctx").agg(F.min(F.struct("id", "uid", "at", "n")).alias("first"))
     groups = written(groups.withColumn("group", F.monotonically_increasing_id()), "groups")
-    several = groups.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    asked = groups.join(several, "name").select("group", "first.uid", "first.at", "first.n")
-    asked = asked.groupBy("uid").agg(F.collect_list(F.struct("group", "at", "n")).alias("asked"))
+    several = groups.groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name")
+    asked = groups.join(written(several, "several"), "name").select("group", "first.uid", "first.at", "first.n")
     schema = "id bigint, group bigint, off bigint, w1 bigint, w2 bigint"
-    looked = texts.joined(asked, "inner").select("id", "text", "asked").mapInArrow(_windows(window), schema)
-    looked = written(looked, "windows")
+    looked = written(texts.told(asked, lambda s: _windows(window, s), schema), "windows")
     earliest = looked.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    again = looked.join(earliest, ["w1", "w2"]).where("id > low")
+    again = looked.join(written(earliest, "earliest"), ["w1", "w2"]).where("id > low")
     bits = again.groupBy("group").agg(F.expr("bit_or(shiftleft(1L, cast(off as int)))").alias("bits"))
-    told = groups.join(bits, "group", "left").select("name", "ctx", F.col("first.id").alias("first"), "bits")
-    found = shared.join(told, ["name", "ctx"])
-    found = found.withColumn("bits", F.when(F.col("id") > F.col("first"), F.lit(-1)).otherwise(F.coalesce("bits", F.lit(0))))
-    found = found.where("bits <> 0").groupBy("uid").agg(F.collect_list(F.struct("at", "n", "bits")).alias("found"))
-    found = written(found, "found")
-    final = texts.joined(found, "left").select("id", "text", "found")
-    out = final.mapInArrow(_cut(window), "id bigint, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", key)
+    settled = groups.join(bits, "group", "left").select("name", "ctx", F.col("first.id").alias("first"), "bits")
+    found = shared.join(written(settled, "settled"), ["name", "ctx"])
+    found = found.withColumn("bits", F.when(F.col("id") > F.col("first"), F.lit(-1).cast("bigint")).otherwise(F.coalesce("bits", F.lit(0))))
+    found = written(found.where("bits <> 0").select("uid", "at", "n", "bits"), "found")
+    out = texts.told(found, lambda s: _cut(window, s), "id bigint, n_words bigint, n_removed bigint, kept string")
+    out = out.withColumnRenamed("id", key)
     texts.forget()
     return out
