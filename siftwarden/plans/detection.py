@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwarden import domains as d
+from siftwarden.functions import text as tx
 from siftwarden.operators import detect, leak, tools
 from siftwarden.operators import messages as ms
 from siftwarden.plans import inputs as src
@@ -314,20 +315,37 @@ def scan_canary_leak(spark, sf):
     )
 
 
+# Answers that hold their system prompt, by txn_id % 3: nearly alone, among as much else, among twice as much.
+# Longer prompts keep their own answers: there the measure passes over frequent characters, which SQL cannot tell.
+FULLY_MEASURED = 200
+ECHOES_SQL = """CASE txn_id % 3 WHEN 0 THEN 'I was told: ' || prompt WHEN 1 THEN prompt || ' ' || repeat('\u2603', length(prompt)::INTEGER)
+  ELSE prompt || ' ' || repeat('\u2603', 2 * length(prompt)::INTEGER) END"""
+PROMPT_LEAK_SQL = f"""prompted AS (SELECT txn_id, arg_min(text, turn) FILTER (role = 'system') AS prompt
+    FROM messages GROUP BY txn_id HAVING bool_or(role = 'assistant')),
+  echoed AS (SELECT txn_id, {src.norm_sql(f'({ECHOES_SQL})')} AS a, {src.norm_sql('prompt')} AS b FROM prompted WHERE prompt IS NOT NULL),
+  echo AS (SELECT *, 2 * length(b) / (length(a) + length(b)) AS ratio FROM echoed WHERE length(b) BETWEEN 1 AND {FULLY_MEASURED - 1}),
+  leaked AS (SELECT * FROM echo WHERE ratio >= {d.MIN_SIMILARITY})"""
+
+
 def prompt_leaks(spark, sf):
     msgs = src.conversations(spark, sf)
-    # Every third conversation answers with most of its system prompt.
     prompts = ms.system_prompts(msgs)
-    echo = prompts.where(F.col("txn_id") % 3 == 0).select(
-        "txn_id", F.concat(F.lit("I was told: "), "system_prompt").alias("echo")
-    )
-    answers = ms.responses(msgs).join(echo, "txn_id", "left")
+    prompt, other = F.col("system_prompt"), F.lit("\u2603")
+    filled = lambda times: F.concat(prompt, F.lit(" "), F.repeat(other, times * F.length(prompt)))
+    echo = F.when(F.col("txn_id") % 3 == 0, F.concat(F.lit("I was told: "), prompt)).when(F.col("txn_id") % 3 == 1, filled(1))
+    short = F.length(tx.normalize(prompt)).between(1, FULLY_MEASURED - 1)
+    planted = prompts.where(short).select("txn_id", echo.otherwise(filled(2)).alias("echo"))
+    answers = ms.responses(msgs).join(planted, "txn_id", "left")
     answers = answers.withColumn("text", F.coalesce("echo", "text"))
     similar = leak.prompt_similarity(answers, prompts)
     return leak.prompt_leak_findings(similar, src.SALT)
 
 
-@query("scan_system_prompt_leak")
+@query(
+    "scan_system_prompt_leak",
+    f"""WITH {src.MESSAGES_SQL}, {PROMPT_LEAK_SQL} SELECT txn_id, 'SYSTEM_PROMPT_LEAK' AS category, round(ratio, 6) AS score,
+      CASE WHEN ratio >= {d.HIGH_SIMILARITY} THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, length(a)::INTEGER AS "end" FROM leaked""",
+)
 def scan_system_prompt_leak(spark, sf):
     return prompt_leaks(spark, sf).select(
         "txn_id", "category", F.round("score", 6).alias("score"), "confidence", "end"
@@ -429,7 +447,7 @@ def text_findings_sql(texts: str) -> str:
     ``texts`` is SQL for (real, turn, plane, norm). The default policy names no topics.
     """
     kinds = [*detect.PII_KINDS, *detect.SECRET_KINDS]
-    docs = f"""docs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY plane, real, turn, norm) AS txn_id, real, plane, norm,
+    docs = f"""docs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY plane, real, turn, norm) AS txn_id, real, turn, plane, norm,
       {src.word_fold_sql('norm')} AS folded FROM ({texts}))"""
     values = value_sql(kinds).replace(src.DOCS_SQL, docs)
     score = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in _SCORE_OF.items())
@@ -465,21 +483,37 @@ def decided_sql(texts: str, which: str = "true") -> str:
 
 _PROBED = f"""SELECT txn_id AS real, turn, plane, {src.norm_sql(f'({_PROBE_TEXT})')} AS norm
   FROM messages m JOIN phrases p ON p.i = (m.txn_id + m.turn) % {len(PHRASES)}"""
-AS_CONTEXT = f"SELECT doc_id AS real, 0 AS turn, 'context' AS plane, {src.norm_sql('text')} AS norm FROM documents"
+AS_CONTEXT = f"SELECT doc_id AS real, -1 AS turn, 'context' AS plane, {src.norm_sql('text')} AS norm FROM documents"
 SCAN_DECIDE_SQL = f"""WITH {PROBES_SQL}, {decided_sql(_PROBED)}
   SELECT txn_id, coalesce(verdict, 'ALLOW') AS verdict FROM (SELECT DISTINCT txn_id FROM messages) LEFT JOIN decisions USING (txn_id)"""
 
 
+_ANSWERED = _PROBED.replace("plane,", "'response' AS plane,", 1) + " WHERE role = 'assistant'"
+_ALL_TEXTS = f"{_PROBED} UNION ALL {AS_CONTEXT} UNION ALL {_ANSWERED}"
+# The other detectors, each as its own query tells it.
+_ALL_OTHERS = f"""
+    SELECT 'response', 'system_prompt_leak', 'CANARY_LEAK', 'canary_token_v1' FROM docs JOIN b ON contains(norm, c)
+      WHERE plane = 'response' OR plane = 'context' AND turn < 0
+    UNION ALL SELECT 'response', 'system_prompt_leak', 'SYSTEM_PROMPT_LEAK', 'system_prompt_similarity_v1' FROM leaked
+    UNION ALL SELECT 'action', 'tool_calls', 'TOOL_NOT_ALLOWLISTED', NULL FROM calls WHERE tool NOT IN ({_ALLOW})
+    UNION ALL SELECT 'action', 'tool_calls', 'SENSITIVE_ACTION', NULL FROM calls
+      WHERE tool IN ('wire_transfer', 'create_payment', 'initiate_transfer') AND amount >= 1000
+    UNION ALL SELECT 'input', 'schema', 'SCHEMA_VIOLATION', 'invalid_role_v1' FROM messages WHERE txn_id % 10 = 3
+    UNION ALL SELECT CASE WHEN txn_id % 10 = 3 THEN 'input' ELSE plane END, 'schema', 'SCHEMA_VIOLATION', 'invalid_content_type_v1'
+      FROM messages WHERE turn = 2"""
+
+
 @query(
     "scan_all",
-    f"""WITH {PROBES_SQL}, {text_findings_sql(f"{_PROBED} UNION ALL {AS_CONTEXT}")}
-    SELECT plane, detector_id, category, pattern_id, count(*) AS n FROM found_in GROUP BY ALL""",
+    f"""WITH {PROBES_SQL}, {CANARIES_SQL}, {src.CALLS_SQL}, {PROMPT_LEAK_SQL}, {text_findings_sql(_ALL_TEXTS)},
+    every(plane, detector_id, category, pattern_id) AS (
+      SELECT plane, detector_id, category, pattern_id FROM found_in UNION ALL {_ALL_OTHERS})
+    SELECT plane, detector_id, category, pattern_id, count(*) AS n FROM every GROUP BY ALL""",
 )
 def scan_all(spark, sf):
     """Every detector on every plane: texts of requests, documents and responses, leaks, tool calls, message schema.
 
-    Assistant messages are read twice: as context of the request and as responses. The SQL
-    tells the text detectors' findings on the input and context planes.
+    Assistant messages are read twice: as context of the request and as responses.
     """
     said = probes(spark, sf)
     answers = said.where("role = 'assistant'").withColumn("plane", F.lit("response"))

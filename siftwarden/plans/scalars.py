@@ -42,8 +42,7 @@ _RUNS = {"base64": d.BASE64_RUN, "hex": d.HEX_RUN, "percent": d.PERCENT_RUN}
     "decode_candidates",
     f"WITH {src.DOCS_SQL} "
     + " UNION ALL ".join(
-        f"""SELECT txn_id, '{name}' AS encoding, unnest(regexp_extract_all(norm, {src.quote(run)})) AS run FROM docs
-          WHERE regexp_matches(norm, '[A-Za-z0-9+/]{{16}}|%[0-9A-Fa-f]{{2}}')"""
+        f"SELECT txn_id, '{name}' AS encoding, unnest(regexp_extract_all(norm, {src.quote(run)})) AS run FROM docs"
         for name, run in _RUNS.items()
     ),
 )
@@ -153,14 +152,22 @@ def salted_hash(spark, sf):
     )
 
 
+def ascii_json_sql(text: str) -> str:
+    """SQL for the oracle: a JSON string with all but printable ASCII escaped, in UTF-16 units."""
+    unit = "'\\u' || lpad(lower(to_hex({})), 4, '0')"
+    n = "unicode(c)"
+    pair = f"{unit.format(f'55296 + ({n} - 65536) // 1024')} || {unit.format(f'56320 + ({n} - 65536) % 1024')}"
+    escaped = f"CASE WHEN {n} BETWEEN 32 AND 126 THEN c WHEN {n} < 65536 THEN {unit.format(n)} ELSE {pair} END"
+    return f"array_to_string(list_transform(regexp_extract_all(to_json({text})::VARCHAR, '(?s).'), lambda c: {escaped}), '')"
+
+
 @query(
     "material_hash",
     f"""WITH {src.MESSAGES_SQL} SELECT txn_id, 'sha256:' || sha256('{{"messages":[' || string_agg(
-      '{{"content":' || to_json(text) || ',"role":' || to_json(role) || '}}', ',' ORDER BY turn) || '],"tools":[]}}') AS material_hash
-    FROM (SELECT txn_id, turn, role, regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g') AS text FROM messages) GROUP BY txn_id""",
+      '{{"content":' || {ascii_json_sql('text')} || ',"role":' || {ascii_json_sql('role')} || '}}', ',' ORDER BY turn) || '],"tools":[]}}') AS material_hash
+    FROM messages GROUP BY txn_id""",
 )
 def material_hash(spark, sf):
-    # The SQL has no escapes beyond ASCII and tells the same of plain requests only; a test covers the others.
     return ms.material_text(src.conversations(spark, sf)).select(
         "txn_id", hashing.sha256_tag(F.col("material")).alias("material_hash")
     )
