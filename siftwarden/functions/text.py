@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwarden import domains as d
-from siftwarden.functions.regex import java_pattern
+from siftwarden.functions.regex import java_pattern, literal
 
 _SPACES = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # White-space runs other than a lone blank: those are right as they are.
@@ -228,3 +228,37 @@ def hidden_texts(text: Column, depth: int = d.MAX_DECODE_DEPTH) -> Column:
     """
     live = F.when(text.rlike(ANY_RUN), text)
     return F.coalesce(_hidden_udf(depth)(live), F.array().cast(VARIANT_TYPE))
+
+
+# --- the same as SQL, for functions made in SQL ---------------------------------------
+
+FORM_NAME = "siftwarden_form_{}"
+HIDDEN_NAME = "siftwarden_hidden_texts"
+
+
+def register_forms(spark) -> None:
+    """Make the functions that the SQL below calls known to a session."""
+    for form in ("NFKC", "NFKD"):
+        spark.udf.register(FORM_NAME.format(form.lower()), _form_udf(form))
+    spark.udf.register(HIDDEN_NAME, _hidden_udf(d.MAX_DECODE_DEPTH))
+
+
+def normalize_sql(text: str) -> str:
+    """``normalize`` of an SQL expression."""
+    plain = f"octet_length({text}) = length({text})"
+    unsettled = f"CASE WHEN NOT {plain} AND {text} RLIKE {literal(_unsettled_class())} THEN {text} END"
+    composed = f"coalesce({FORM_NAME.format('nfkc')}({unsettled}), {text})"
+    folded = f"CASE WHEN {plain} THEN {text} ELSE translate({composed}, {literal(_TRANSLATE_FROM)}, {literal(_TRANSLATE_TO)}) END"
+    return f"regexp_replace(regexp_replace({folded}, {literal(_SPACE_RUN)}, ' '), {literal(_EDGE_SPACE)}, '')"
+
+
+def fold_diacritics_sql(text: str) -> str:
+    """``fold_diacritics`` of an SQL expression."""
+    unsettled = f"CASE WHEN octet_length({text}) <> length({text}) THEN {text} END"
+    plain = f"regexp_replace({FORM_NAME.format('nfkd')}({unsettled}), {literal(_combining_class())}, '')"
+    return f"lower(coalesce({plain}, {text}))"
+
+
+def hidden_texts_sql(text: str) -> str:
+    """``hidden_texts`` of an SQL expression, of the usual depth."""
+    return f"coalesce({HIDDEN_NAME}(CASE WHEN {text} RLIKE {literal(ANY_RUN)} THEN {text} END), CAST(array() AS {VARIANT_TYPE}))"
