@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftwarden import domains as d
 from siftwarden.functions.ordered import hour_slice, with_previous
+from siftwarden.sources.sinks import written
 
 # --- creation and expiry ------------------------------------------------------
 
@@ -196,25 +197,11 @@ def replayed_or_conflicting(requests: DataFrame) -> DataFrame:
     )
 
 
-def _first_applied(checked: DataFrame) -> DataFrame:
-    return (
-        checked.where(F.col("problem").isNull())
-        .groupBy("approval_id")
-        .agg(F.min(F.struct("ts", "request_id", "idempotency_key", "decision", "note")).alias("a"))
-        .select("approval_id", "a.*")
-    )
+_ASKED = ["ts", "request_id", "approval_id", "idempotency_key", "decision", "note"]
 
 
-def decide(requests: DataFrame, approvals: DataFrame) -> DataFrame:
-    """Outcome of every decision request, as if they had come one after another.
-
-    ``requests``: request_id, approval_id, decision, reviewer, note,
-    idempotency_key, ts. ``approvals``: approval_id, state, creator, expires_at.
-    The first sound request on a pending approval is applied. A request whose key
-    belongs to an earlier applied one is a replay or a conflict; a conflict can
-    hand an approval to the next request in line, so that is repeated until no
-    applied request is in conflict (as a rule, at once).
-    """
+def checked_requests(requests: DataFrame, approvals: DataFrame) -> DataFrame:
+    """The requests with ``problem``: why each is unsound on its own, null if it is sound."""
     state = approvals.select("approval_id", "state", "creator", "expires_at")
     joined = requests.join(state, "approval_id", "left")
     expired = (F.col("state") == "EXPIRED") | (
@@ -228,24 +215,90 @@ def decide(requests: DataFrame, approvals: DataFrame) -> DataFrame:
         .when((F.col("decision") == "DENY") & (F.trim(F.coalesce("note", F.lit(""))) == ""), "note_required")
         .when(~F.col("decision").isin("APPROVE", "DENY"), "bad_decision")
     )
-    checked = joined.withColumn("problem", problem)
+    return joined.withColumn("problem", problem)
+
+
+def contested(checked: DataFrame) -> DataFrame:
+    """Sound requests on approvals that share an idempotency key with another approval."""
+    sound = checked.where(F.col("problem").isNull())
+    used = sound.where(F.col("idempotency_key").isNotNull()).groupBy("idempotency_key")
+    crossing = used.agg(F.min("approval_id").alias("low"), F.max("approval_id").alias("high")).where("low <> high")
+    shared = sound.join(crossing.select("idempotency_key"), "idempotency_key", "left_semi").select("approval_id").distinct()
+    return sound.join(shared, "approval_id", "left_semi").select(*_ASKED)
+
+
+def components(asked: DataFrame) -> DataFrame:
+    """``approval_id`` and ``component`` of contested requests: approvals that keys tie together, directly or in a chain.
+
+    Every round an approval takes the smallest label that a key of its has, then that
+    label's own label, so a chain of n approvals takes about log2(n) rounds; each is a
+    table in the shared folder.
+    """
+    ties = asked.where(F.col("idempotency_key").isNotNull()).select("approval_id", "idempotency_key").distinct()
+    ties = written(ties, "ties")
+    labels = written(ties.select("approval_id", F.col("approval_id").alias("component")).distinct(), "components")
     while True:
-        applied = _first_applied(checked)
-        owners = applied.groupBy("idempotency_key").agg(
-            F.min(F.struct("ts", "request_id", "approval_id", "decision", "note")).alias("owner")
-        )
-        clash = (
-            applied.join(owners, "idempotency_key")
-            .where(F.col("request_id") != F.col("owner.request_id"))
-            .select("request_id", F.lit(True).alias("clashes"))
-        )
-        if clash.isEmpty():
-            break
-        checked = (
-            checked.join(clash, "request_id", "left")
-            .withColumn("problem", F.when(F.col("clashes"), "conflict").otherwise(F.col("problem")))
-            .drop("clashes")
+        by_key = ties.join(labels, "approval_id").groupBy("idempotency_key").agg(F.min("component").alias("near"))
+        lower = ties.join(by_key, "idempotency_key").groupBy("approval_id").agg(F.min("near").alias("near"))
+        above = labels.select(F.col("approval_id").alias("near"), F.col("component").alias("above"))
+        moved = lower.join(above, "near").select("approval_id", F.least("near", "above").alias("component"))
+        settled = labels.withColumnRenamed("component", "old").join(written(moved, "components"), "approval_id")
+        labels = settled.select("approval_id", "component")
+        if settled.where("old <> component").isEmpty():
+            return labels
+
+
+def _one_by_one(asked: Column) -> Column:
+    """The requests of a component that are applied, taken in order: the approval still open and the key unused."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    names, keys = F.transform(asked, lambda x: x["approval_id"]), F.transform(asked, lambda x: x["idempotency_key"])
+    start = F.struct(F.slice(names, 1, 0).alias("done"), F.slice(keys, 1, 0).alias("used"), none("int").alias("won"))
+
+    def step(acc: Column, x: Column) -> Column:
+        key = x["idempotency_key"]
+        refused = F.array_contains(acc["done"], x["approval_id"]) | F.coalesce(F.array_contains(acc["used"], key), F.lit(False))
+        # Positions, as an applied request is looked up in the ordered array.
+        taken = F.struct(
+            F.array_append(acc["done"], x["approval_id"]).alias("done"),
+            F.when(key.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], key)).alias("used"),
+            F.array_append(acc["won"], x["at"]).alias("won"),
         )
+        return F.when(refused, acc).otherwise(taken)
+
+    numbered = F.transform(asked, lambda x, i: x.withField("at", i))
+    won = F.aggregate(numbered, start, step)["won"]
+    return F.transform(won, lambda i: F.get(asked, i))
+
+
+def decide(requests: DataFrame, approvals: DataFrame, component: DataFrame | None = None) -> DataFrame:
+    """Outcome of every decision request, as if they had come one after another.
+
+    ``requests``: request_id, approval_id, decision, reviewer, note,
+    idempotency_key, ts. ``approvals``: approval_id, state, creator, expires_at.
+    The first sound request on a pending approval is applied, unless its key was
+    used by an earlier applied one: then it is a replay or a conflict, and the next
+    in line has its turn. Approvals whose keys are theirs alone are settled by one
+    aggregation. Those tied by shared keys (``component`` of ``components``) are taken
+    one request after another, component by component, as an ordered fold in one row:
+    a component is as large as the chain of shared keys, not as a tenant or day.
+
+    Without ``component`` it is found here, which runs jobs; with it nothing runs
+    before the result is read.
+    """
+    checked = checked_requests(requests, approvals)
+    disputed = contested(checked)
+    if component is None:
+        component = components(disputed)
+    alone = checked.where(F.col("problem").isNull()).join(component, "approval_id", "left_anti")
+    ordered = F.array_sort(F.collect_list(F.struct(*_ASKED)))
+    folded = disputed.join(component, "approval_id").groupBy("component").agg(ordered.alias("asked"))
+    applied = alone.groupBy("approval_id").agg(F.min(F.struct(*_ASKED)).alias("a")).select("a.*").unionByName(
+        folded.select(F.explode(_one_by_one(F.col("asked"))).alias("a")).select("a.*")
+    )
+    # A key has one applied request at most.
+    owners = applied.where(F.col("idempotency_key").isNotNull()).select(
+        "idempotency_key", F.struct("ts", "request_id", "approval_id", "decision", "note").alias("owner")
+    )
     winner = applied.select(
         "approval_id", F.col("request_id").alias("winner"), F.col("ts").alias("won_at")
     )
@@ -264,7 +317,7 @@ def decide(requests: DataFrame, approvals: DataFrame) -> DataFrame:
         "approval_id",
         F.when(owned & same, "replayed")
         .when(owned, "conflict")
-        .when(F.col("problem").isin("unknown", "expired", "wrong_state", "conflict"), F.col("problem"))
+        .when(F.col("problem").isin("unknown", "expired", "wrong_state"), F.col("problem"))
         .when(F.coalesce(F.col("winner").isNotNull() & too_late, F.lit(False)), "wrong_state")
         .when(F.col("problem").isNotNull(), F.col("problem"))
         .otherwise("applied")

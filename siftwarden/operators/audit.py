@@ -39,6 +39,10 @@ def decision_payload() -> Column:
     )
 
 
+def chain_hash(last: str, payload: str) -> str:
+    return "sha256:" + sha256((last + payload).encode()).hexdigest()
+
+
 def build_chain(
     events: DataFrame, stream: str = "stream_id", order: str = "event_id", seeds: DataFrame | None = None
 ) -> DataFrame:
@@ -63,7 +67,7 @@ def build_chain(
                 if key != current:
                     current, last = key, seed or GENESIS
                 before.append(last)
-                last = "sha256:" + sha256((last + payload).encode()).hexdigest()
+                last = chain_hash(last, payload)
                 after.append(last)
             yield batch.drop(columns="seed").assign(prev_hash=before, event_hash=after)
 

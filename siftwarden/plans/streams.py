@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+import posixpath
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwarden.plans import inputs as src
 from siftwarden.plans.aggregates import _CHAIN_SQL, _LIMIT, _WINDOW
@@ -60,31 +64,107 @@ def stream_scan_decide(spark, sf):
     return spark.read.parquet(f"{path}/decisions").select("txn_id", "verdict")
 
 
+@contextlib.contextmanager
+def keyed_state(spark):
+    """The state store that keyed state needs, set for as long as the streams run."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def arrivals(rows: DataFrame, slice_of: Column, slices: int, name: str, **streams) -> dict[str, DataFrame]:
+    """Rows that arrive slice by slice, and what the streams over them have written in the end.
+
+    After each slice every stream is run until it has caught up and stopped, and goes on
+    from its checkpoint with the next: a micro-batch a slice, whatever the number of files.
+    A stream is a function of the arriving rows that gives the rows to write, or starts a
+    query of its own, given its folder and checkpoint.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark, name)
+    rows.select("*", F.coalesce(slice_of, F.lit(0)).alias("slice")).write.partitionBy("slice").parquet(f"{path}/whole")
+    whole = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(f"{path}/whole")
+    schemas = {}
+    for k in range(slices):
+        whole.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{path}/in")
+        feed_ = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        for key, stream in streams.items():
+            made = stream(feed_, f"{path}/{key}", f"{path}/{key}-checkpoint")
+            if isinstance(made, DataFrame):
+                schemas[key] = made.schema
+                writer = made.writeStream.format("parquet").outputMode("append").option("path", f"{path}/{key}")
+                made = jobs.start(writer, f"{path}/{key}-checkpoint", True)
+            made.awaitTermination()
+    return {k: spark.read.schema(schemas[k]).parquet(f"{path}/{k}") if k in schemas else f"{path}/{k}" for k in streams}
+
+
+def by_time(rows: DataFrame, slices: int) -> Column:
+    """The slice of a row when its time range is cut into equal parts."""
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    return F.floor((F.unix_micros("ts") - F.lit(low or 0)) * F.lit(slices) / F.lit((high or 0) - (low or 0) + 1)).cast("int")
+
+
+SLICES = 4
+
+
 @query("stream_rate_limit", ORACLES["win_rate_limit"])
 def stream_rate_limit(spark, sf):
-    path = scratch(spark, "rate-limit")
-    jobs.rate_limit(request_feed(spark, sf), path, f"{path}/checkpoint", _LIMIT, _WINDOW).awaitTermination()
-    return spark.read.parquet(f"{path}/requests").drop("ts", "batch_id")
+    rows = src.requests(spark, sf)
+    with keyed_state(spark):
+        made = arrivals(rows, by_time(rows, SLICES), SLICES, "rate-limit", judged=lambda r, *_: jobs.rate_limit(r, _LIMIT, _WINDOW))
+    return made["judged"].drop("ts")
+
+
+LATE_SECONDS = 3 * 86_400
+_SLICE_SQL = f"CASE WHEN event_id % 7 = 0 THEN {SLICES - 1} ELSE (event_id // 3) % {SLICES} END"
 
 
 @query(
-    "stream_window_sweep",
-    f"""WITH w AS (SELECT user_id AS identity, (epoch_us(ts) // {_WINDOW * 1000000}) * {_WINDOW} AS window_start, count(*) AS request_count
-      FROM events GROUP BY ALL)
-    SELECT * FROM w WHERE window_start + {_WINDOW} <= (SELECT floor(epoch_ms(max(ts)) / 1000) FROM events) - {2 * _WINDOW}""",
+    "stream_late_rows",
+    f"""WITH arrived AS (SELECT event_id, ts, {_SLICE_SQL} AS slice FROM events),
+    newest AS (SELECT slice, max(max(ts)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+      FROM arrived GROUP BY slice)
+    SELECT event_id, coalesce(ts <= seen - INTERVAL {LATE_SECONDS} SECOND, false) AS late FROM arrived JOIN newest USING (slice)""",
 )
-def stream_window_sweep(spark, sf):
-    return caught_up(jobs.window_counts(request_feed(spark, sf), _WINDOW), "sweep")
+def stream_late_rows(spark, sf):
+    """Rows in shuffled order of arrival: those on time, as the rate limiter has judged them, and those set aside."""
+    slice_of = F.when(F.col("event_id") % 7 == 0, SLICES - 1).otherwise(F.floor(F.col("event_id") / 3) % SLICES).cast("int")
+    rows = src.requests(spark, sf)
+
+    def judged(_, out, checkpoint):
+        taken = jobs.on_time(spark, f"{posixpath.dirname(out)}/split", rows.schema)
+        return jobs.rate_limit(taken, _LIMIT, _WINDOW, LATE_SECONDS)
+
+    with keyed_state(spark):
+        made = arrivals(
+            rows, slice_of, SLICES, "late",
+            split=lambda r, out, checkpoint: jobs.split_late(r, out, checkpoint, LATE_SECONDS), judged=judged,
+        )
+    late = spark.read.schema(rows.schema).parquet(f"{made['split']}/late").select("event_id", F.lit(True).alias("late"))
+    return made["judged"].select(F.col("request_id").alias("event_id"), F.lit(False).alias("late")).unionByName(late)
 
 
 @query(
     "stream_idempotency",
-    "SELECT DISTINCT user_id || '-' || event_type || '-' || strftime(ts, '%Y%m%d') AS idempotency_key FROM events",
+    """WITH r AS (SELECT event_id AS request_id, user_id || '-' || event_type || '-' || strftime(ts, '%Y%m%d') AS idempotency_key,
+      json_extract_string(props, '$.k')::BIGINT % 3 AS body, ts FROM events),
+    f AS (SELECT *, first_value(request_id) OVER w AS owner_id, first_value(body) OVER w AS owned FROM r
+      WINDOW w AS (PARTITION BY idempotency_key ORDER BY ts, request_id))
+    SELECT request_id, idempotency_key, owner_id,
+      CASE WHEN request_id = owner_id THEN 'first' WHEN body = owned THEN 'replayed' ELSE 'conflict' END AS outcome FROM f""",
 )
 def stream_idempotency(spark, sf):
+    """Which request owns a key, and what the others with that key are; a key has the day in it and lives as long."""
     key = F.concat_ws("-", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyyMMdd"))
-    keyed = request_feed(spark, sf).withColumn("idempotency_key", key)
-    return caught_up(jobs.first_per_key(keyed, "idempotency_key").select("idempotency_key", "ts"), "keys").drop("ts")
+    body = (F.get_json_object("props", "$.k").cast("bigint") % 3).cast("string")
+    rows = src.requests(spark, sf).select(F.col("event_id").alias("request_id"), key.alias("idempotency_key"), body.alias("body"), "ts")
+    with keyed_state(spark):
+        made = arrivals(rows, by_time(rows, SLICES), SLICES, "keys", told=lambda r, *_: jobs.idempotency(r))
+    return made["told"].drop("ts")
 
 
 @query(
@@ -118,18 +198,13 @@ folded AS (SELECT approval_id, deadline, n_events, list_reduce(path, lambda s, e
       AND deadline <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE THEN 'EXPIRED' ELSE state END AS state FROM folded""",
 )
 def stream_approvals(spark, sf):
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
     rows = request_feed(spark, sf).select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("approval_id"),
         "ts", F.col("event_id").alias("seq"), src.case_col("event_type", src.STATE_OF_EVENT).alias("to_state"),
         (F.date_trunc("day", "ts") + F.make_interval(hours=F.lit(EXPIRY_HOUR))).alias("expires_at"),
     )
-    spark.conf.set(setting, ROCKSDB)
-    try:
+    with keyed_state(spark):
         changes = caught_up(jobs.approvals(rows), "approvals")
-    finally:
-        spark.conf.set(setting, before)
     return changes.groupBy("approval_id").agg(
         # An expiry row has no seq; nothing leaves the expired state.
         F.coalesce(F.max(F.when(F.col("state") == "EXPIRED", "EXPIRED")), F.max_by("state", F.struct("ts", "seq"))).alias("state"),
@@ -139,10 +214,11 @@ def stream_approvals(spark, sf):
 
 @query("stream_audit_chain", f"{_CHAIN_SQL} SELECT user_id AS stream_id, event_id, prev_hash, event_hash FROM c")
 def stream_audit_chain(spark, sf):
-    path = scratch(spark, "chain")
-    rows = request_feed(spark, sf).select(
+    rows = src.requests(spark, sf).select(
         F.col("user_id").alias("stream_id"), "event_id",
-        F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit("}")).alias("payload"),
+        F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit("}")).alias("payload"), "ts",
     )
-    jobs.audit_chain(rows, path, f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/events").select("stream_id", "event_id", "prev_hash", "event_hash")
+    slice_of = by_time(rows, SLICES)
+    with keyed_state(spark):
+        made = arrivals(rows, slice_of, SLICES, "chain", chained=lambda r, *_: jobs.audit_chain(r))
+    return made["chained"].drop("payload")

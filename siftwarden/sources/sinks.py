@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
-from siftwarden.operators.audit import export_lines
+from siftwarden.session import checkpoint_root
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: worked out once, and safe from lost executors."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -28,4 +37,6 @@ def write_audit_jsonl(
 
     The sort is a range sort over the cluster; file names follow the order.
     """
+    from siftwarden.operators.audit import export_lines
+
     export_lines(events, since, until).write.mode("overwrite").text(path)

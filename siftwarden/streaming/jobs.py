@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,7 +20,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from siftwarden import domains as d
 from siftwarden.operators import decide, detect, limits, messages
-from siftwarden.operators.audit import build_chain
+from siftwarden.operators.audit import GENESIS, chain_hash
 from siftwarden.operators.policy import Policy
 from siftwarden.sources.sinks import write_batch
 
@@ -64,52 +65,81 @@ def scan_and_decide(
 # --- rate limits -------------------------------------------------------------------
 
 
-def rate_limit(
-    requests: DataFrame, out: str, checkpoint: str, limit: int = d.RATE_LIMIT_REQUESTS,
-    seconds: int = d.RATE_LIMIT_WINDOW_SECONDS, once: bool = True,
-) -> StreamingQuery:
-    """Per-request refusal in fixed windows, in order of arrival batch by batch.
-
-    The counts of the last windows are a small table per batch; a batch reads the
-    one before it. Within a batch the ranking is the batch job's, so a burst of
-    one identity is not gathered in one task.
+def seconds_of(times: pd.Series) -> pd.Series:
+    """Epoch microseconds of naive UTC times."""
+    return times.astype("datetime64[us]").astype("int64")
+
+
+class WindowLimiter(StatefulProcessor):
+    """Requests of one identity and window, judged in order of time within a micro-batch.
+
+    State is one number, the requests so far; a timer drops it two windows after the
+    window's end. Of a batch only the first rows that there is room for are held, however
+    many come: the others are refused chunk by chunk.
     """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(
-            F.col("event_id").alias("request_id"), F.col("user_id").alias("identity"), "ts"
-        )
-        key = ["identity", "window_start"]
-        schema = "identity bigint, window_start bigint, request_count bigint"
-        before = (
-            spark.read.schema(schema).parquet(f"{out}/counts/batch_id={batch_id - 1}")
-            if batch_id > 0
-            else spark.createDataFrame([], schema)
-        )
-        ranked = limits.rate_limit(rows, limit, seconds)
-        position = F.when(F.col("allowed"), limit - F.col("remaining"))
-        judged = (
-            ranked.join(before, key, "left")
-            .withColumn("n", position + F.coalesce("request_count", F.lit(0)))
-            .withColumn("allowed", F.coalesce(F.col("n") <= limit, F.lit(False)))
-        )
-        result = judged.select(
-            "request_id", "identity", "ts", "window_start", "allowed",
-            F.when(F.col("allowed"), limit - F.col("n")).otherwise(0).cast("bigint").alias("remaining"),
-            F.when(F.col("allowed"), 0)
-            .otherwise(limits.retry_after(F.col("ts"), F.col("window_start"), seconds))
-            .cast("bigint").alias("retry_after"),
-        )
-        write_batch(result, f"{out}/requests", batch_id)
-        counts = before.unionByName(limits.window_counts(rows, seconds).select(*before.columns))
-        merged = counts.groupBy(*key).agg(F.sum("request_count").alias("request_count"))
-        # Windows more than two lengths behind the newest one are forgotten.
-        newest = merged.agg(F.max("window_start").alias("newest"))
-        kept = merged.join(F.broadcast(newest), F.col("window_start") >= F.col("newest") - 2 * seconds)
-        write_batch(kept.drop("newest"), f"{out}/counts", batch_id)
+    COLUMNS = ["request_id", "identity", "ts", "window_start", "allowed", "remaining", "retry_after"]
 
-    return for_each_batch(requests, handle, checkpoint, once)
+    def __init__(self, limit: int, seconds: int) -> None:
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", "n bigint")
+
+    def judged(self, rows: pd.DataFrame, key, remaining) -> pd.DataFrame:
+        allowed = remaining is not None
+        end = (key[1] + self.seconds) * 1_000_000
+        left = np.ceil((end - seconds_of(rows["ts"])) / 1_000_000).clip(lower=1).astype("int64")
+        return rows.assign(
+            identity=key[0], window_start=key[1], allowed=allowed, remaining=remaining if allowed else 0,
+            retry_after=0 if allowed else left,
+        )[self.COLUMNS]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        before = self.count.get()[0] if self.count.exists() else 0
+        if not before:
+            self.handle.registerTimer((key[1] + 3 * self.seconds) * 1000)
+        room, first, n = max(self.limit - before, 0), None, 0
+        for chunk in rows:
+            chunk = chunk[["request_id", "ts"]]
+            n += len(chunk)
+            both = (chunk if first is None else pd.concat([first, chunk])).sort_values(["ts", "request_id"])
+            first, refused = both.iloc[:room], both.iloc[room:]
+            if len(refused):
+                yield self.judged(refused, key, None)
+        self.count.update((before + n,))
+        if first is not None and len(first):
+            yield self.judged(first, key, room - 1 - np.arange(len(first)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.count.clear()
+        yield pd.DataFrame([], columns=self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit(
+    requests: DataFrame, limit: int = d.RATE_LIMIT_REQUESTS, seconds: int = d.RATE_LIMIT_WINDOW_SECONDS,
+    delay_seconds: int | None = None,
+) -> DataFrame:
+    """Every request with its refusal in fixed windows, in order of arrival batch by batch.
+
+    The counts are keyed state; nothing is written but the requests. Rows later than the
+    delay (two windows unless given) are not judged: see ``split_late``.
+    """
+    kind = dict(requests.dtypes)["user_id"]
+    rows = requests.withWatermark("ts", f"{2 * seconds if delay_seconds is None else delay_seconds} seconds").select(
+        F.col("event_id").cast("bigint").alias("request_id"), F.col("user_id").alias("identity"), "ts",
+        limits.window_start(F.col("ts"), seconds).alias("window_start"),
+    )
+    schema = (
+        f"request_id bigint, identity {kind}, ts timestamp, window_start bigint, allowed boolean, remaining bigint, retry_after bigint"
+    )
+    return rows.groupBy("identity", "window_start").transformWithStateInPandas(
+        WindowLimiter(limit, seconds), outputStructType=T.StructType.fromDDL(schema), outputMode="append", timeMode="EventTime"
+    )
 
 
 def window_counts(requests: DataFrame, seconds: int = d.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
@@ -123,10 +153,13 @@ def window_counts(requests: DataFrame, seconds: int = d.RATE_LIMIT_WINDOW_SECOND
     )
 
 
-def late_rows(requests: DataFrame, out: str, checkpoint: str, delay_seconds: int, once: bool = True):
-    """Rows that come later than the delay allows, kept aside instead of lost.
+def split_late(requests: DataFrame, out: str, checkpoint: str, delay_seconds: int, once: bool = True) -> StreamingQuery:
+    """Rows on time and late ones, each row once in ``on_time`` or ``late`` below ``out``.
 
-    The newest time seen so far is carried from batch to batch as a one-row table.
+    One watermark for all streams that read what is on time: a row is late if it is not
+    after the newest time of the batches before less the delay. That newest time goes from
+    batch to batch as a one-row table. A stream over the rows on time (``on_time``) with the
+    same delay or a longer one refuses none of them, as its own watermark is never ahead.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -137,14 +170,20 @@ def late_rows(requests: DataFrame, out: str, checkpoint: str, delay_seconds: int
             else spark.createDataFrame([(None,)], "newest timestamp")
         )
         bound = F.col("newest") - F.make_interval(secs=F.lit(delay_seconds))
-        late = batch.join(F.broadcast(seen), F.col("ts") < bound).drop("newest")
-        write_batch(late, f"{out}/late", batch_id)
+        marked = batch.join(F.broadcast(seen), how="cross").withColumn("late", F.coalesce(F.col("ts") <= bound, F.lit(False))).drop("newest")
+        write_batch(marked.where("not late").drop("late"), f"{out}/on_time", batch_id)
+        write_batch(marked.where("late").drop("late"), f"{out}/late", batch_id)
         now = batch.agg(F.max("ts").alias("newest")).unionByName(seen).agg(F.max("newest").alias("newest"))
         write_batch(now, f"{out}/newest", batch_id)
 
     return for_each_batch(requests, handle, checkpoint, once)
 
 
+def on_time(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The stream of rows that ``split_late`` found on time, batch after batch."""
+    return spark.readStream.schema(schema).parquet(f"{out}/on_time/batch_id=*")
+
+
 # --- idempotency, metrics ------------------------------------------------------------
 
 
@@ -153,6 +192,59 @@ def first_per_key(requests: DataFrame, key: str, ttl_seconds: int = d.IDEMPOTENC
     return requests.withWatermark("ts", f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark([key])
 
 
+class KeyOwner(StatefulProcessor):
+    """Requests under one idempotency key: the one that owns it, its replays and conflicts.
+
+    State is the owner and when the key is free again. A request at or after that time is
+    an owner in its turn; a timer drops the state when no such request comes.
+    """
+
+    COLUMNS = ["request_id", "idempotency_key", "ts", "outcome", "owner_id"]
+
+    def __init__(self, ttl_seconds: int) -> None:
+        self.ttl = 1_000_000 * ttl_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.owner = handle.getValueState("owner", "request_id bigint, body string, free_us bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        owner = tuple(self.owner.get()) if self.owner.exists() else None
+        # In order over all chunks of the micro-batch, which bounds what is held.
+        batch = pd.concat(list(rows)).sort_values(["ts", "request_id"])
+        out = []
+        for number, body, ts, at in zip(batch["request_id"], batch["body"], batch["ts"], seconds_of(batch["ts"])):
+            if owner is None or at >= owner[2]:
+                owner = (int(number), body, int(at) + self.ttl)
+                self.handle.registerTimer(owner[2] // 1000 + 1)
+                out.append((number, key[0], ts, "first", number))
+            else:
+                out.append((number, key[0], ts, "replayed" if body == owner[1] else "conflict", owner[0]))
+        self.owner.update(owner)
+        yield pd.DataFrame(out, columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        # A later owner has a later timer of its own.
+        if self.owner.exists() and self.owner.get()[2] < 1000 * expiredTimerInfo.getExpiryTimeInMs():
+            self.owner.clear()
+        yield pd.DataFrame([], columns=self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def idempotency(requests: DataFrame, ttl_seconds: int = d.IDEMPOTENCY_TTL_SECONDS, delay_seconds: int = 600) -> DataFrame:
+    """What each request (request_id, idempotency_key, body, ts) is: ``first``, ``replayed`` or ``conflict``, and whose key it has.
+
+    Bodies are compared as they are; a hash of the body serves as well.
+    """
+    rows = requests.select("request_id", "idempotency_key", "body", "ts").withWatermark("ts", f"{delay_seconds} seconds")
+    schema = "request_id bigint, idempotency_key string, ts timestamp, outcome string, owner_id bigint"
+    return rows.groupBy("idempotency_key").transformWithStateInPandas(
+        KeyOwner(ttl_seconds), outputStructType=T.StructType.fromDDL(schema), outputMode="append", timeMode="EventTime"
+    )
+
+
 def metrics(
     requests: DataFrame, size: str = "1 hour", slide: str | None = None, gap: str | None = None,
     delay: str = "10 minutes",
@@ -253,26 +345,32 @@ def approvals(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 # --- live audit chain -----------------------------------------------------------------
 
 
-def audit_chain(events: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Chain a stream of audit events (stream_id, event_id, payload).
+class ChainLink(StatefulProcessor):
+    """The audit chain of one stream of events; state is its last hash, for as long as the stream may go on."""
 
-    The last hash of every stream is a table per batch; a batch goes on from the
-    one before it.
-    """
-    key_type = dict(events.dtypes)["stream_id"]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "event_hash string")
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        schema = f"stream_id {key_type}, seed string"
-        before = (
-            spark.read.schema(schema).parquet(f"{out}/last/batch_id={batch_id - 1}")
-            if batch_id > 0
-            else spark.createDataFrame([], schema)
-        )
-        write_batch(build_chain(batch, seeds=before), f"{out}/events", batch_id)
-        chained = spark.read.parquet(f"{out}/events/batch_id={batch_id}")
-        newest = chained.groupBy("stream_id").agg(F.max_by("event_hash", "event_id").alias("newest"))
-        merged = before.join(newest, "stream_id", "full_outer")
-        write_batch(merged.select("stream_id", F.coalesce("newest", "seed").alias("seed")), f"{out}/last", batch_id)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        last = self.last.get()[0] if self.last.exists() else GENESIS
+        # In order over all chunks of the micro-batch, which bounds what is held.
+        batch = pd.concat(list(rows)).sort_values("event_id")
+        before, after = [], []
+        for payload in batch["payload"]:
+            before.append(last)
+            last = chain_hash(last, payload)
+            after.append(last)
+        self.last.update((last,))
+        yield batch.assign(prev_hash=before, event_hash=after)[["stream_id", "event_id", "payload", "prev_hash", "event_hash"]]
+
+    def close(self) -> None:
+        pass
 
-    return for_each_batch(events, handle, checkpoint, once)
+
+def audit_chain(events: DataFrame) -> DataFrame:
+    """Chain a stream of audit events (stream_id, event_id, payload), each stream from its last hash on."""
+    kind = dict(events.dtypes)["stream_id"]
+    schema = f"stream_id {kind}, event_id bigint, payload string, prev_hash string, event_hash string"
+    return events.select("stream_id", F.col("event_id").cast("bigint").alias("event_id"), "payload").groupBy("stream_id").transformWithStateInPandas(
+        ChainLink(), outputStructType=T.StructType.fromDDL(schema), outputMode="append", timeMode="None"
+    )

@@ -119,6 +119,57 @@ def test_decisions_one_after_another(spark):
     }
 
 
+ASKS = "request_id int, approval_id string, decision string, note string, reviewer string, idempotency_key string, ts timestamp"
+
+
+def one_after_another(asks, open_approvals):
+    done, owner, out = {}, {}, {}
+    for r, a, verdict, note, _, key, _ in sorted(asks, key=lambda x: (x[6], x[0])):
+        if key in owner:
+            out[r] = "replayed" if owner[key] == (a, verdict, note or None) else "conflict"
+        elif a not in open_approvals:
+            out[r] = "unknown"
+        elif a in done:
+            out[r] = "wrong_state"
+        else:
+            done[a], out[r] = r, "applied"
+            if key is not None:
+                owner[key] = (a, verdict, note or None)
+    return out
+
+
+def test_a_chain_of_clashing_keys(spark):
+    """Request i uses the key of approval i on approval i + 1, in the order that makes each wait for the one before."""
+    n = 1000
+    names = [f"a{i:04d}" for i in range(n + 1)]
+    asks = [(2 * i + j, names[i + j], "APPROVE", None, "bob", f"k{i}", at(2 * i + j)) for i in range(n) for j in (0, 1)]
+    approvals = spark.createDataFrame([(a, "PENDING", "ann", at(10**6)) for a in names], "approval_id string, state string, creator string, expires_at timestamp")
+    df = spark.createDataFrame(asks, ASKS)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    component = ap.components(ap.contested(ap.checked_requests(df, approvals)))
+    # Some ten rounds; adaptive execution makes a job of every shuffle.
+    assert len(tracker.getJobIdsForGroup("chain")) < 300
+    spark.sparkContext.setJobGroup("frame", "frame")
+    out = ap.decide(df, approvals, component)
+    assert not tracker.getJobIdsForGroup("frame")
+    assert component.select("component").distinct().count() == 1
+    assert dict(rows(out, "request_id", "outcome")) == one_after_another(asks, set(names))
+
+
+def test_decisions_by_hand_and_by_fold(spark):
+    rng = random.Random(11)
+    names = [f"a{i}" for i in range(120)]
+    asks = [
+        (i, rng.choice(names + ["zz"]), rng.choice(["APPROVE", "DENY"]), rng.choice(["n", "m"]), "bob", rng.choice([None] + [f"k{j}" for j in range(160)]), at(rng.randrange(300)))
+        for i in range(500)
+    ]
+    asks += [(500 + i, *asks[i][1:6], at(400 + i)) for i in range(60)]
+    approvals = spark.createDataFrame([(a, "PENDING", "ann", at(10**6)) for a in names], "approval_id string, state string, creator string, expires_at timestamp")
+    got = dict(rows(ap.decide(spark.createDataFrame(asks, ASKS).repartition(5), approvals), "request_id", "outcome"))
+    assert got == one_after_another(asks, set(names)) and set(got.values()) == {"applied", "replayed", "conflict", "wrong_state", "unknown"}
+
+
 def test_sweep_and_reconcile(spark):
     df = spark.createDataFrame([("a", "PENDING", at(0), 0), ("b", "APPROVED", at(9), 0), ("c", "RESUMING", at(0), 2), ("e", "RESUMING", at(0), 3)],
                                "approval_id string, state string, expires_at timestamp, resume_attempts int")
