@@ -14,6 +14,8 @@ packed once each; an empty table gives no pieces; other columns are left out.
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
 import zlib
 
@@ -28,73 +30,121 @@ from siftwarden.llm.tables import bounded_batches, worker_cache, written
 
 CAPACITY = 2048
 GROUP = 20_000
-CACHE = 100_000  # parts of words a worker keeps, twice; about 200 bytes each
+CACHE = 200_000  # parts of words a worker keeps, twice; about 150 bytes each
 ENCODE_BYTES = 4 << 20
 SEPARATOR = 0
+WIDE = 8  # pieces of a bin that are looked at together with all other bins'
+STRETCH = 4096  # bins looked at together
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+# How a tokenizer has to prepare texts for its words to be told apart here.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Chunks of plain Latin characters without an apostrophe; in them a border is beside every digit and run of signs.
+PLAIN = r"^[\x21-\x26\x28-\x7e\x{a1}-\x{ff}]+$"
+BORDER = r"(\p{N}|[^\p{L}\p{N}]+)"
+
+
+WORD_END = "</w>"
+LINE = 256  # words encoded at a time
+
+
+def _plain(chunks: pa.Array) -> pa.Array:
+    return pc.and_(pc.match_substring_regex(chunks, PLAIN), pc.invert(pc.match_substring(chunks, "<|")))
+
+
+def _expanded(codes: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that each code stands for, one after another, and where each code's end."""
+    lengths = np.diff(ends, prepend=0)[codes]
+    after = np.cumsum(lengths)
+    total = int(after[-1]) if len(after) else 0
+    return flat[np.repeat(ends[codes] - after, lengths) + np.arange(total)], after
+
+
 class Encoder:
     """Ids by a public tokenizer; what recurs between blanks is encoded once per worker.
 
-    The tokenizer drops white space before it forms words, so a text's ids are those of
-    its chunks between ASCII blanks. Chunks of plain Latin characters are told apart
-    further where the tokenizer's own pattern always does: at the border between
-    letters, digits and signs. Apostrophes and special tokens are left alone.
+    A tokenizer that drops white space before it forms words, by the pattern above, gives a
+    text the ids of its chunks between ASCII blanks. Chunks of plain Latin characters are
+    told apart further where that pattern always does; apostrophes and special tokens are
+    left alone. Arrow works on all distinct chunks of a batch at once. Any other tokenizer
+    is given whole texts.
     """
 
     def __init__(self, path: str) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         kept = worker_cache("tokenizers")
         if path not in kept:
-            kept[path] = Tokenizer.from_file(path), {}, {}
+            tokenizer = Tokenizer.from_file(path)
+            set_up = json.loads(tokenizer.to_str())
+            steps = (set_up["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+            by_words = set_up["normalizer"] == NORMALIZER and steps[0].get("pattern") == {"Regex": WORDS} and steps[0]["invert"]
+            ends = np.array([(tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(tokenizer.get_vocab_size())])
+            kept[path] = tokenizer, by_words and set_up["model"].get("end_of_word_suffix") == WORD_END, ends, {}, {}
         self.path, self.kept = path, kept
-        self.plain = regex.compile(r"[\x21-\x26\x28-\x7e¡-ÿ]+")
-        self.part = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-
-    def parts(self, chunk: str) -> list[str]:
-        if "<|" in chunk or not self.plain.fullmatch(chunk):
-            return [chunk]
-        return self.part.findall(chunk.lower())
-
-    def encoded(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk as little-endian bytes."""
-        tokenizer, new, old = self.kept[self.path]
-        split = [self.parts(c) for c in chunks]
-        unseen = list({p for ps in split for p in ps if p not in new and p not in old})
-        for part, found in zip(unseen, tokenizer.encode_batch_fast(unseen, add_special_tokens=False)):
-            new[part] = np.array(found.ids, "<u4").tobytes()
-        out = []
-        for ps in split:
-            ids = []
-            for p in ps:
-                if p not in new:
-                    new[p] = old[p]
-                ids.append(new[p])
-            out.append(ids[0] if len(ids) == 1 else b"".join(ids))
+
+    def _learn(self, parts: list[str], single: bool) -> None:
+        """Encode parts. Single words are given in lines of many, and told apart by the ids that end words."""
+        tokenizer, _, ends, new, _ = self.kept[self.path]
+        lines = [" ".join(parts[i : i + LINE]) for i in range(0, len(parts), LINE)] if single else parts
+        found = [f.ids for f in tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.fromiter(itertools.chain.from_iterable(found), "<u4")
+        stops = np.flatnonzero(ends[ids]) + 1 if single else np.cumsum([len(f) for f in found])
+        if len(stops) != len(parts):
+            raise ValueError("the tokenizer forms other words than its file says")
+        blob, start = ids.tobytes(), 0
+        for part, stop in zip(parts, (4 * stops).tolist()):
+            new[part] = blob[start:stop]
+            start = stop
+
+    def encoded(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, one after another, and where each part's end."""
+        single = _plain(parts).to_numpy(zero_copy_only=False).tolist()
+        parts = parts.to_numpy(zero_copy_only=False).tolist()
+        tokenizer, by_words, ends, new, old = self.kept[self.path]
+        blobs = list(map(new.get, parts))
+        missing = [i for i, b in enumerate(blobs) if b is None]
+        again = [(parts[i], old.get(parts[i])) for i in missing]
+        new.update((p, b) for p, b in again if b is not None)
+        unseen = [i for i, (_, b) in zip(missing, again) if b is None]
+        for kind in (True, False):
+            self._learn([parts[i] for i in unseen if single[i] is kind], kind)
+        for i in missing:
+            blobs[i] = new[parts[i]]
         if len(new) > CACHE:
-            self.kept[self.path] = tokenizer, {}, new
-        return out
+            self.kept[self.path] = tokenizer, by_words, ends, {}, new
+        return np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)
+
+    def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for distinct chunks."""
+        apart = pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(chunks), BORDER, r" \1 "))
+        lists = pc.ascii_split_whitespace(pc.if_else(_plain(chunks), apart, chunks))
+        coded = lists.flatten().dictionary_encode()
+        flat, ends = self.encoded(coded.dictionary)
+        flat, after = _expanded(coded.indices.to_numpy(zero_copy_only=False), flat, ends)
+        last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        return flat, np.concatenate([[0], after])[last]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch, each text followed by the separator, and where texts begin."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        if not self.kept[self.path][1]:
+            found = self.kept[self.path][0].encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)
+            ids = [np.array([*f.ids, SEPARATOR], np.uint32) for f in found]
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([0, *map(len, ids)])
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
         offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
         coded = lists.flatten().dictionary_encode()
-        blobs = self.encoded(coded.dictionary.to_pylist()) + [np.array([SEPARATOR], "<u4").tobytes()]
-        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), offsets[1:], len(blobs) - 1)
-        ends = np.cumsum([len(b) // 4 for b in blobs])
-        flat = np.frombuffer(b"".join(blobs), "<u4")
-        lengths = np.diff(ends, prepend=0)[codes]
-        after = np.cumsum(lengths)
-        ids = flat[np.repeat((ends[codes] - lengths) - (after - lengths), lengths) + np.arange(after[-1] if len(after) else 0)]
-        last = offsets[1:] + np.arange(len(texts))
-        return ids, np.concatenate([[0], after[last]])
+        flat, ends = self.chunks(coded.dictionary)
+        flat, ends = np.append(flat, np.uint32(SEPARATOR)), np.append(ends, len(flat) + 1)
+        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), offsets[1:], len(ends) - 1)
+        ids, after = _expanded(codes, flat, ends)
+        return ids, np.concatenate([[0], after[offsets[1:] + np.arange(len(texts))]])
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
@@ -175,16 +225,49 @@ def _exchange(target: list[int], source: list[int], lengths: list[int], gap: int
 
 
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Local search over the underfull bins, as long as their room adds up to a bin."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    open_bins = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=fill.__getitem__)
-    room = sum(capacity - fill[b] for b in open_bins)
+    """Local search over the underfull bins, as long as their room adds up to a bin.
+
+    A source meets only bins that gain from it: which they are is worked out for all bins at
+    once, from their gaps and pieces. Bins of more than ``WIDE`` pieces are always tried.
+    """
+    fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+    width = min(max(map(len, bins), default=1), WIDE)
+    pieces = np.zeros((len(bins), width), np.int64)
+    wide, low = np.zeros(len(bins), bool), np.zeros(len(bins), np.int64)
+
+    def note(b: int) -> None:
+        low[b] = min((lengths[i] for i in bins[b]), default=0)
+        wide[b] = len(bins[b]) > width
+        pieces[b] = 0
+        pieces[b, : min(len(bins[b]), width)] = [lengths[i] for i in bins[b][:width]]
+
+    def gains(own: list[int], found: np.ndarray) -> np.ndarray:
+        sums = np.array(sorted({*own, *(a + b for a, b in itertools.combinations(own, 2))}))
+        gap = (capacity - fill[found])[:, None]
+        if gap.max() < min(own) and sums[-1] <= low[found].min():
+            return np.zeros(len(found), bool)
+        taken = pieces[found]
+        able = (np.searchsorted(sums, taken + gap, "right") > np.searchsorted(sums, taken, "right")) & (taken > 0)
+        return able.any(1) | (gap[:, 0] >= min(own)) | wide[found]
+
+    order = lambda found: found[np.argsort(fill[found], kind="stable")]
+    open_bins = order(np.flatnonzero(fill < capacity))
+    room = int((capacity - fill[open_bins]).sum())
+    if room >= capacity:
+        for b in open_bins.tolist():
+            note(b)
     tried = 0
     while room >= capacity and tried < len(open_bins):
-        source = open_bins[tried]
-        for target in reversed(open_bins[tried + 1 :]):
+        source, targets, at, moved = int(open_bins[tried]), open_bins[:tried:-1], 0, False
+        while at < len(targets) and bins[source]:
+            able = gains([lengths[i] for i in bins[source]], targets[at : at + STRETCH])
+            if not able.any():
+                at += len(able)
+                continue
+            at += int(able.argmax()) + 1
+            target, before = int(targets[at - 1]), fill[source]
             while bins[source] and fill[target] < capacity and fill[target] >= fill[source]:
-                give, take = _exchange(bins[target], bins[source], lengths, capacity - fill[target])
+                give, take = _exchange(bins[target], bins[source], lengths, int(capacity - fill[target]))
                 if not give:
                     break
                 bins[target] = [t for t in bins[target] if t not in take] + list(give)
@@ -192,14 +275,17 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
                 gain = sum(lengths[i] for i in give) - sum(lengths[t] for t in take)
                 fill[target] += gain
                 fill[source] -= gain
-            if not bins[source]:
-                break
+            if fill[source] != before:
+                note(target)
+                moved = True
         if bins[source]:
+            note(source)
             tried += 1
         else:
             room -= capacity
             tried = 0
-        open_bins = sorted((b for b in open_bins if bins[b] and fill[b] < capacity), key=fill.__getitem__)
+        if moved:
+            open_bins = order(np.array([b for b in open_bins.tolist() if bins[b] and fill[b] < capacity], np.int64))
     return [b for b in bins if b]
 
 
@@ -252,7 +338,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFr
         # Bins with more than 1/64 of room go to a round of all groups together.
         loose = F.col("fill") < capacity - capacity // 64
         left = packed.where(loose).count()
-        if left > n // 2:
+        if left > n - n // 10:  # what is left is too large to be combined, as a rule
             done.append(packed.select("item", name, "offset"))
             break
         done.append(packed.where(~loose).select("item", name, "offset"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -300,6 +301,15 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids + [0]
 
 
+def test_ids_of_another_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    ids, bounds = packing.Encoder(path).ids(pa.array(ODD_TEXTS))
+    for i, text in enumerate(ODD_TEXTS):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [0]
+
+
 def test_packing(spark, docs, none, tokenizer):
     from tokenizers import Tokenizer
 
@@ -328,6 +338,14 @@ def test_packing(spark, docs, none, tokenizer):
     assert packing.pack_documents(none, tokenizer).count() == 0
 
 
+def test_search_leaves_what_cannot_combine():
+    rng = random.Random(5)
+    lengths = [rng.randrange(1025, 2040) for _ in range(5000)]
+    start, took = packing.best_fit(lengths, 2048), time.process_time()
+    assert packing.improve([list(b) for b in start], lengths, 2048) == start and len(start) == 5000
+    assert time.process_time() - took < 5
+
+
 def test_search_empties_bins():
     rng = random.Random(3)
     for _ in range(30):
