@@ -66,7 +66,7 @@ def fit(docs: DataFrame, good: DataFrame, n_good: int, sample: int = SAMPLE) ->
     rate = min(1.0, sample / max(n_good, 1))
     chosen = good.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("doc_id").distinct()
     # About ``sample`` keys at most: that is what is broadcast, however long the table.
-    marked = docs.join(F.broadcast(chosen.withColumn("good", F.lit(True))), "doc_id", "left").select(
+    marked = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumn("good", F.lit(True))), "doc_id", "left").select(
         "text", F.coalesce("good", F.lit(False)).alias("good")
     )
     counts = marked.mapInArrow(_counted, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(

@@ -281,4 +281,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     classes = _answers(docs, key, text, WIDTH, THRESHOLD, RECALL, BLOCK)
     others = classes.where("doc_id <> class_id or th <> class_th").select("doc_id", "th").distinct()
     same = (docs[key].cast("bigint") == others["doc_id"]) & (F.xxhash64(docs[text]) == others["th"])
-    return docs.join(others, same, "left_anti").select(*docs.columns)
+    return docs.join(others, same, "left_anti")

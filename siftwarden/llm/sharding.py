@@ -24,13 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siftwarden.llm.tables import bounded_batches, scratch, written
 
 BUCKET_BYTES = 32 << 20
 SLICE_BYTES = 4 << 20
-MAX_BUCKETS = 10_000_000  # their offsets are broadcast: 16 bytes each
+RANGE = 4096  # buckets whose rows are added up together
+FEW_BUCKETS = 1 << 20  # up to here their starts, 16 bytes each, are sent to every task; beyond, they are joined
 
 
 def text_bytes(text: Column) -> Column:
@@ -60,6 +62,18 @@ def _shuffled(seed: int):
     return run
 
 
+def bucket_starts(kept: DataFrame) -> DataFrame:
+    """Rows before each bucket: counted within ranges of buckets, and over the ranges."""
+    sizes = kept.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("bucket") / RANGE))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.sum("n").over(earlier(Window.partitionBy("range").orderBy("bucket")))
+    # One row per range of buckets, hence for some gigabytes of rows.
+    ranges = sizes.groupBy("range").agg(F.sum("n").alias("all"))
+    ranges = ranges.select("range", F.sum("all").over(earlier(Window.orderBy("range"))).alias("before"))
+    both = sizes.withColumn("inside", inside).join(ranges, "range")
+    return written(both.select("bucket", (F.coalesce("inside", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("start")), "starts")
+
+
 def external_shuffle(
     df: DataFrame, shards: int, seed: int, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
@@ -69,22 +83,20 @@ def external_shuffle(
     keyed = F.xxhash64(F.lit(seed), F.col(key))
     total = df.agg(F.sum(text_bytes(F.col(text))).alias("bytes"), F.count("*").alias("n")).first()
     buckets = max(math.ceil((total["bytes"] or 0) / bucket_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if buckets > MAX_BUCKETS:
-        raise ValueError(f"more than {MAX_BUCKETS} buckets: raise bucket_bytes")
-    # At most twice as many keys as there are buckets can fill half a bucket each.
+    # A key that fills half a bucket or more: its rows are dealt out one by one.
     most = max(1000, total["n"] // (2 * buckets))
-    hot = [r["h"] for r in df.groupBy(keyed.alias("h")).count().where(F.col("count") > most).collect()]
-    apart = F.when(keyed.isin(hot), F.monotonically_increasing_id()).otherwise(F.lit(0)) if hot else F.lit(0).cast("bigint")
-    rows = df.select(F.struct("*").alias("row"), keyed.alias("hash"), F.xxhash64(F.col(text)).alias("tie"), apart.alias("apart"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("hash", "tie", "apart"), F.lit(buckets)).cast("int")).drop("apart")
-    schema = f"row {df.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}, bucket int, place bigint"
+    hot = written(df.groupBy(keyed.alias("hash")).count().where(F.col("count") > most).select("hash", F.lit(True).alias("hot")), "hot")
+    own = F.monotonically_increasing_id().alias("own")
+    rows = df.select(F.struct("*").alias("row"), keyed.alias("hash"), F.xxhash64(F.col(text)).alias("tie"), own)
+    # As large as Spark's own size check allows, the hot keys are sent to the rows and not the rows to them.
+    rows = rows.join(hot, "hash", "left").withColumn("apart", F.when(F.col("hot"), F.col("own")).otherwise(0))
+    bucket = F.pmod(F.xxhash64("hash", "tie", "apart"), F.lit(buckets)).cast("int")
+    rows = rows.select("row", "hash", "tie", bucket.alias("bucket"))
+    schema = T.StructType([rows.schema["row"], T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType())])
     kept = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_shuffled(seed), schema)
     kept = written(kept, "shuffled")
-    # One row per bucket: a few bytes for each of its megabytes.
-    sizes = kept.groupBy("bucket").count()
-    before = F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("bucket", F.coalesce(before, F.lit(0)).alias("start"))
-    placed = kept.join(F.broadcast(starts), "bucket").withColumn("at", F.col("start") + F.col("place"))
+    starts = bucket_starts(kept)
+    placed = kept.join(F.broadcast(starts) if buckets <= FEW_BUCKETS else starts, "bucket").withColumn("at", F.col("start") + F.col("place"))
     n = max(1, total["n"])
     placed = placed.withColumn("shard", F.expr(f"cast((at * {shards}L) div {n}L as int)"))
     first = F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")

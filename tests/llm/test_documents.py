@@ -13,7 +13,7 @@ import pytest
 
 from siftwarden.llm import exact, importance, langid, mixing, near, packing, sharding
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, row string, label string, h bigint, bucket int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, row string, label string, h bigint, bucket int, good int, `my col-x` int, `a.b` int, hash int"
 EN = "the of and to in is that for with this was from".split()
 DE = "der die und das nicht mit ist auf ein für über straße".split()
 RU = "это как для что его она они был при или".split()
@@ -21,7 +21,7 @@ RU = "это как для что его она они был при или".spl
 
 def make(spark, rows):
     """Documents of (doc_id, text, lang) with further columns named as operators name theirs."""
-    return spark.createDataFrame([(i, t, g, "s", len(t or ""), 7, "r", "l", 5, 3) for i, t, g in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, g, "s", len(t or ""), 7, "r", "l", 5, 3, 1, 2, 3, 4) for i, t, g in rows], SCHEMA)
 
 
 def prose(rng, words, n):
