@@ -180,6 +180,35 @@ def stream_metrics(spark, sf):
     return out.select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
 
 
+@query(
+    "stream_metrics_sliding",
+    """WITH w AS (SELECT unnest([epoch_us(ts) // 1800000000 - k FOR k IN range(0, 4)]) * 1800 AS start_s, event_type FROM events)
+    SELECT start_s, event_type, count(*) AS n FROM w GROUP BY ALL""",
+)
+def stream_metrics_sliding(spark, sf):
+    """Windows of two hours, one every half hour; the last update of each counts."""
+    path = scratch(spark, "metrics")
+    counted = jobs.metrics(request_feed(spark, sf), "2 hours", "30 minutes")
+    jobs.updates(counted, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{path}/out").groupBy("start", "event_type").agg(F.max_by("n", "batch_id").alias("n"))
+    return out.select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
+
+
+@query(
+    "stream_metrics_sessions",
+    """WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 3 HOUR, true)::INT AS fresh FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+    closed AS (SELECT user_id, min(ts) AS first, max(ts) + INTERVAL 3 HOUR AS last, count(*) AS n FROM s GROUP BY user_id, k)
+    SELECT user_id, epoch_us(first) AS start_us, epoch_us(last) AS end_us, n FROM closed
+    WHERE last <= (SELECT make_timestamp(epoch_ms(max(ts)) * 1000) FROM events) - INTERVAL 10 MINUTE""",
+)
+def stream_metrics_sessions(spark, sf):
+    """Sessions of each user, closed by three hours without a request; those open at the end are not told."""
+    told = caught_up(jobs.metrics(request_feed(spark, sf), gap="3 hours"), "sessions")
+    return told.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 EXPIRY_HOUR = 15  # approvals of a day expire then
 
 # A late event, or the watermark passing the deadline, expires an open approval.
