@@ -337,23 +337,19 @@ ROUTE_OF_EVENT = {
     "view": "/v1/chat/completions", "click": "/v1/firewall/approvals", "purchase": "/metrics",
     "error": "/v1/chat/completions", "signup": "/nowhere",
 }
-ROUTES = (
-    "/v1/chat/completions", "/v1/firewall/approvals", "/v1/firewall/approvals/{approval_id}/decision",
-    "/v1/firewall/requests/{transaction_or_request_id}", "/healthz", "/readyz", "/metrics", "/dashboard",
-)
 
 
 def http_log(spark, sf):
     code = src.case_col("event_type", CODE_OF_EVENT)
     return src.requests(spark, sf).select(
-        metrics.bounded(src.case_col("event_type", ROUTE_OF_EVENT), ROUTES, "unmatched").alias("endpoint"),
+        metrics.bounded(src.case_col("event_type", ROUTE_OF_EVENT), d.ROUTES, "unmatched").alias("endpoint"),
         metrics.status_class(code).alias("status_class"), code.alias("code"),
         (F.col("value") / 100).alias("seconds"), "ts", "event_type", "value",
     )
 
 
 HTTP_SQL = f"""http AS (
-  SELECT CASE WHEN r IN ({src.sql_list(ROUTES)}) THEN r ELSE 'unmatched' END AS endpoint,
+  SELECT CASE WHEN r IN ({src.sql_list(d.ROUTES)}) THEN r ELSE 'unmatched' END AS endpoint,
          (code // 100) || 'xx' AS status_class, code, value / 100 AS seconds
   FROM (SELECT *, {src.case_sql('event_type', ROUTE_OF_EVENT)} AS r,
           CASE event_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in CODE_OF_EVENT.items())} END AS code
