@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwarden import domains as d
 from siftwarden.functions import text as tx
-from siftwarden.operators import detect, leak, tools
+from siftwarden.operators import detect, leak, phrases, tools
 from siftwarden.operators import messages as ms
 from siftwarden.plans import inputs as src
 from siftwarden.plans.registry import query
@@ -243,6 +243,33 @@ def scan_topics(spark, sf):
     )
 
 
+# Every run of two and of three words within a sentence of the benchmark is a phrase to look for.
+_PHRASES_SQL = r"""spoken AS (SELECT item_id, unnest(regexp_split_to_array(lower(strip_accents(text)), '[^a-z ]+')) AS part FROM benchmark),
+  parted AS (SELECT string_split_regex(trim(part), ' +') AS w FROM spoken),
+  phrases AS (SELECT DISTINCT array_to_string(w[i:i + k], ' ') AS phrase FROM parted, range(1, 3) r(k), range(1, len(w) - k + 1) p(i))"""
+
+
+@query(
+    "scan_phrase_list",
+    rf"""WITH {_PHRASES_SQL}, t AS (SELECT doc_id AS txn_id, {src.word_fold_sql(f"lower(strip_accents({src.norm_sql('text')}))")} AS f
+        FROM documents),
+      near AS (SELECT txn_id, f, phrase, '\b' || replace(phrase, ' ', '\s+') || '\b' AS pattern FROM t, phrases WHERE contains(f, phrase))
+    SELECT txn_id, phrase, length(string_split_regex(f, pattern)[1])::BIGINT AS start_pos FROM near WHERE regexp_matches(f, pattern)""",
+)
+def scan_phrase_list(spark, sf):
+    """Where documents first say each of a long list of phrases."""
+    found = phrases.find_phrases(src.documents(spark, sf), benchmark_phrases(spark, sf), src.SALT)
+    return found.select("txn_id", F.regexp_replace("pattern_id", "^topic:", "").alias("phrase"), F.col("start").cast("bigint").alias("start_pos"))
+
+
+def benchmark_phrases(spark, sf):
+    part = F.explode(F.split(tx.fold_diacritics(F.col("text")), "[^a-z ]+"))
+    words = table(spark, sf, "benchmark").select(part.alias("part")).select(F.split(F.trim("part"), " +").alias("w"))
+    pairs = "transform(w, (x, i) -> concat_ws(' ', slice(w, i + 1, {k})))"
+    runs = [F.expr(f"slice({pairs.format(k=k)}, 1, greatest(size(w) - {k - 1}, 0))") for k in (2, 3)]
+    return words.select(F.explode(F.concat(*runs)).alias("phrase")).distinct().withColumn("category", F.lit("SENSITIVE_TOPIC"))
+
+
 @query(
     "scan_urls",
     """SELECT page_id AS txn_id, 4::BIGINT AS start_pos, (4 + length('http://' || page_id % 300 || '.0.0.1/x'))::BIGINT AS end_pos
