@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,16 +180,49 @@ def project_retention(findings: DataFrame, mode: str) -> DataFrame:
     return out
 
 
-def purge(
-    transactions: DataFrame, events: DataFrame, now: Column, content_days: int, audit_days: int
-) -> tuple[DataFrame, DataFrame]:
-    """Blank content past its age, drop audit rows past theirs, keep decisions."""
-    stale = F.col("created_at") < now - F.make_interval(days=F.lit(content_days))
-    kept = transactions
-    for name in ("request_content", "response_content"):
-        kept = kept.withColumn(name, F.when(~stale, F.col(name)))
-    fresh = F.col("created_at") >= now - F.make_interval(days=F.lit(audit_days))
-    return kept, events.where(fresh)
+DROPPED_AT_ONCE = 200
+OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
+
+
+def dated_table(df: DataFrame, name: str, created: str = "created_at", unit: str = "day") -> None:
+    """Write rows as a table of partitions by ``day`` (or by ``month``, where days are small), for ``purge_dated``.
+
+    A partition bears its first day; rows without a time are in the null day. Spark sizes
+    the files, so that a day with very many rows is written by many tasks.
+    """
+    first = F.trunc(F.to_date(created), "MM") if unit == "month" else F.to_date(created)
+    df.withColumn("day", first).hint("rebalance", "day").write.partitionBy("day").saveAsTable(name)
+
+
+def purge_dated(spark: SparkSession, name: str, oldest: datetime.datetime, created: str = "created_at", unit: str = "day") -> int:
+    """Drop what a table of ``dated_table`` holds from before ``oldest``: the number of partitions dropped.
+
+    Partitions that end before it are dropped whole, without reading them. Only the one it
+    falls in is read, and only that one's files are written anew; all others stay as they
+    are. Rows without a time are kept. Doing it again changes nothing, and a purge that is
+    cut short between its steps is made whole by the next one: the border is overwritten as
+    one partition, and each drop stands by itself.
+    """
+    border = oldest.date().replace(day=1) if unit == "month" else oldest.date()
+    day = F.col("day") == F.lit(border)
+    keep = spark.table(name).where(day & (F.col(created) >= F.lit(oldest)))
+    if not spark.table(name).where(day & (F.col(created) < F.lit(oldest))).isEmpty():
+        if keep.isEmpty():
+            border += datetime.timedelta(days=1)
+        else:
+            before = spark.conf.get(OVERWRITE)
+            spark.conf.set(OVERWRITE, "dynamic")  # only the partition of these rows is replaced, when all is written
+            try:
+                keep.write.insertInto(name, overwrite=True)
+            finally:
+                spark.conf.set(OVERWRITE, before)
+    # Names of partitions only: a few bytes for each there is.
+    days = [r[0].removeprefix("day=") for r in spark.sql(f"SHOW PARTITIONS {name}").collect()]
+    gone = sorted(day for day in days if day < border.isoformat())
+    for at in range(0, len(gone), DROPPED_AT_ONCE):
+        specs = ", ".join(f"PARTITION (day = DATE '{day}')" for day in gone[at : at + DROPPED_AT_ONCE])
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {specs}")
+    return len(gone)
 
 
 def allowlist_fields(logs: DataFrame, fields: str = "fields") -> DataFrame:

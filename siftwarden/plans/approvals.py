@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import functions as F
 
 from siftwarden import domains as d
 from siftwarden.functions.hashing import sha256_tag
+from siftwarden.functions.regex import literal
 from siftwarden.operators import approvals as ap
 from siftwarden.operators import audit
 from siftwarden.plans import inputs as src
 from siftwarden.plans.joins import REQUESTS_SQL, decision_requests
 from siftwarden.plans.registry import query
+from siftwarden.session import checkpoint_root
 from siftwarden.sources.readers import table
 
 
@@ -171,11 +176,23 @@ def approvals_resume_outcome(spark, sf):
       UNION ALL SELECT 'audit', count(*), count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '{src.NOW}' - INTERVAL 900 DAY""",
 )
 def retention_purge(spark, sf):
+    """Rows left after a purge: contents and audit rows lie in tables of partitions by month, decisions in one of their own.
+
+    The tables stand in a database of their own in the shared folder, as managed tables, so
+    that a dropped partition takes its files along.
+    """
+    now = datetime.datetime.fromisoformat(src.NOW)
+    home = f"retention_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {home} LOCATION {literal(checkpoint_root(spark).rstrip('/') + '/' + home)}")
     created = F.col("o_orderdate").cast("timestamp").alias("created_at")
-    txns = table(spark, sf, "orders").select(
-        created, F.col("o_orderpriority").alias("request_content"), F.col("o_orderstatus").alias("response_content")
+    orders = table(spark, sf, "orders")
+    content = orders.select("o_orderkey", created, F.col("o_orderpriority").alias("request_content"), F.col("o_orderstatus").alias("response_content"))
+    audit.dated_table(content, f"{home}.content", unit="month")
+    audit.dated_table(orders.select("o_orderkey", created), f"{home}.audit", unit="month")
+    audit.purge_dated(spark, f"{home}.content", now - datetime.timedelta(days=400), unit="month")
+    audit.purge_dated(spark, f"{home}.audit", now - datetime.timedelta(days=900), unit="month")
+    left = orders.agg(F.count("*").alias("n_rows")).crossJoin(  # one row each
+        spark.table(f"{home}.content").agg(F.count("request_content").alias("n_content"))
     )
-    kept, events = audit.purge(txns, table(spark, sf, "orders").select(created), F.lit(src.NOW).cast("timestamp"), 400, 900)
-    left = kept.agg(F.count("*").alias("n_rows"), F.count("request_content").alias("n_content"))
-    logs = events.agg(F.count("*").alias("n_rows"), F.count("*").alias("n_content"))
+    logs = spark.table(f"{home}.audit").agg(F.count("*").alias("n_rows"), F.count("*").alias("n_content"))
     return left.withColumn("kind", F.lit("transactions")).unionByName(logs.withColumn("kind", F.lit("audit")))
