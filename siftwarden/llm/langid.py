@@ -6,7 +6,12 @@ spans of words. A text's language is the one with most letters in its spans.
 
 Languages are whatever labels the training rows carry. The model is fitted on about
 ``SAMPLE`` rows per label, chosen by a hash of the row's key; it holds
-``BUCKETS`` floats per label, and there may be ``MAX_LABELS`` labels.
+``BUCKETS`` floats (256 KB) per label, however many labels there are.
+
+A word is scored only in the languages that its script admits. Texts are decoded in groups
+of at most ``CELLS`` words times labels; a longer one in runs of that size, twice: once
+forwards for the state at the start of each run, once backwards from run to run for the
+path. Its answer is that of one pass.
 
 Cases: a null text and a text without letters are ``und`` with score 0 and no spans;
 without any training row every text is ``und``; rows without a key or label do not
@@ -26,7 +31,7 @@ from siftwarden.llm.tables import BATCH_BYTES, bounded_batches
 
 BUCKETS = 1 << 16
 SAMPLE = 2000
-MAX_LABELS = 512
+CELLS = 1 << 24
 ORDERS = (2, 3, 4)
 SWITCH = 8.0
 UNDETERMINED = "und"
@@ -100,9 +105,8 @@ class Model:
         grams, scripts = counts[:BUCKETS], counts[BUCKETS:]
         self.scores = (np.log((grams + 0.5) / (grams.sum(0) + 0.5 * BUCKETS)) / len(ORDERS)).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(0), 1)
-        allowed = share >= 0.01
-        allowed[~allowed.any(1)] = True  # a script that no language is known to use excludes none
-        self.barred = np.where(allowed, 0.0, -100.0).astype(np.float32)
+        self.admits = share >= 0.01
+        self.admits[~self.admits.any(1)] = True  # a script that no language is known to use excludes none
 
 
 def fit(rows: DataFrame, label: str, text: str, key: str, sample: int = SAMPLE) -> Model:
@@ -111,9 +115,7 @@ def fit(rows: DataFrame, label: str, text: str, key: str, sample: int = SAMPLE)
     rows = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key).alias("h")).where(
         "label is not null and text is not null"
     )
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()}
-    if len(sizes) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS + len(SCRIPT_NAMES), 0)))
     span = float(1 << 40)
@@ -129,6 +131,24 @@ def fit(rows: DataFrame, label: str, text: str, key: str, sample: int = SAMPLE)
     return Model(labels, table)
 
 
+def word_scores(distinct: np.ndarray, model: Model) -> np.ndarray:
+    """Score of each word in each language; one that its script bars stands 100 below the worst that it admits."""
+    bucket, owner, script = features(distinct)
+    table = np.full((len(distinct), len(model.labels)), np.inf, np.float32)
+    for k in range(len(model.labels)):
+        admits = model.admits[script, k]
+        if admits.all():
+            table[:, k] = np.bincount(owner, model.scores[bucket, k], len(distinct))
+        elif admits.any():
+            on = admits[owner]
+            table[admits, k] = np.bincount(owner[on], model.scores[bucket[on], k], len(distinct))[admits]
+    barred = np.isinf(table)
+    if barred.any():
+        worst = np.where(barred, np.inf, table).min(1, keepdims=True) - np.float32(100)
+        table = np.where(barred, worst, table)
+    return table
+
+
 def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each word when every change of label within a row costs ``penalty``.
 
@@ -136,13 +156,13 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     """
     n, lengths = len(scores), np.diff(offsets)
     if not n:
-        return np.zeros(0, np.int16)
+        return np.zeros(0, np.int32)
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = offsets[:-1][order], lengths[order]
     active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-    moved, source = np.zeros(scores.shape, bool), np.zeros(n, np.int16)
+    moved, source = np.zeros(scores.shape, bool), np.zeros(n, np.int32)
     best = scores[starts[: active[0]]].astype(np.float32)
-    last = np.zeros(len(starts), np.int16)
+    last = np.zeros(len(starts), np.int32)
     for t in range(1, len(active)):
         m = active[t]
         if m < len(best):
@@ -154,7 +174,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
         moved[at] = change > best
         best = np.maximum(best, change) + scores[at]
     last[: len(best)] = best.argmax(1)
-    path = np.zeros(n, np.int16)  # holds MAX_LABELS numbers
+    path = np.zeros(n, np.int32)
     for t in range(len(active) - 1, -1, -1):
         m = active[t]
         at = starts[:m] + t
@@ -164,18 +184,64 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     return path
 
 
+def _forward(best: np.ndarray, scores: np.ndarray, penalty: float, moved=None, source=None) -> np.ndarray:
+    """The best scores by last label after the words, from those before them; null ``best``: the text begins."""
+    for t, own in enumerate(scores):
+        if best is None:
+            best = own.astype(np.float32)
+            continue
+        change = best.max() - np.float32(penalty)
+        if moved is not None:
+            source[t] = best.argmax()
+            moved[t] = change > best
+        best = np.maximum(best, change) + own
+    return best
+
+
+def in_runs(codes: np.ndarray, scored, penalty: float, run: int) -> np.ndarray:
+    """What ``viterbi`` gives for one text, holding the scores of ``run`` words at a time; ``scored`` maps codes to scores."""
+    starts, before, best = range(0, len(codes), run), [], None
+    for at in starts:
+        before.append(best)
+        best = _forward(best, scored(codes[at : at + run]), penalty)
+    path, label = np.zeros(len(codes), np.int32), int(best.argmax())
+    for at, best in zip(reversed(starts), reversed(before)):
+        scores = scored(codes[at : at + run])
+        moved, source = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int32)
+        _forward(best, scores, penalty, moved, source)
+        for t in range(len(scores) - 1, -1, -1):
+            path[at + t] = label
+            if moved[t, label]:
+                label = source[t]
+    return path
+
+
+def decode(codes: np.ndarray, distinct: np.ndarray, offsets: np.ndarray, model: Model, penalty: float) -> np.ndarray:
+    """The label of each word of each text, with at most about ``CELLS`` scores at a time."""
+    run = max(1, CELLS // max(1, len(model.labels)))
+    if len(codes) <= run:
+        return viterbi(word_scores(distinct, model)[codes], offsets, penalty)
+
+    def scored(part: np.ndarray) -> np.ndarray:
+        own, at = np.unique(part, return_inverse=True)
+        return word_scores(distinct[own], model)[at]
+
+    paths, first = [], 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + run, side="right")) - 1)
+        part = codes[offsets[first] : offsets[last]]
+        whole = len(part) <= run
+        paths.append(viterbi(scored(part), offsets[first : last + 1] - offsets[first], penalty) if whole else in_runs(part, scored, penalty, run))
+        first = last
+    return np.concatenate(paths)
+
+
 def label_texts(texts: pa.Array, model: Model, penalty: float) -> pa.Array:
     """Language, share of letters in it, and spans of each text."""
     codes, distinct, offsets = letter_words(texts)
-    bucket, owner, script = features(distinct)
     if not model.labels:
         codes, offsets = codes[:0], np.zeros_like(offsets)
-    table = np.zeros((len(distinct), len(model.labels)), np.float32)
-    for k in range(len(model.labels)):
-        table[:, k] = np.bincount(owner, model.scores[bucket, k], len(distinct))
-    if len(distinct):
-        table += model.barred[script]
-    path = viterbi(table[codes], offsets, penalty)
+    path = decode(codes, distinct, offsets, model, penalty)
     letters = np.array([len(w) for w in distinct], np.float64)
     row = np.repeat(np.arange(len(texts)), np.diff(offsets))
     names = len(model.labels)

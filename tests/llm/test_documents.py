@@ -156,6 +156,58 @@ def test_more_labels_than_a_byte_counts():
     assert [(s["lang"], s["first_word"], s["last_word"]) for s in got[200]["spans"]] == [("l199", 0, 3), ("l003", 4, 8)]
 
 
+def many_labels(n, seed=8):
+    """A model in which each of n made-up words is a language of its own."""
+    rng = np.random.default_rng(seed)
+    names = ["".join(chr(97 + c) for c in rng.integers(0, 26, 12)) for _ in range(n)]
+    bucket, owner, script = langid.features(np.array(names, dtype=object))
+    counts = np.zeros((langid.BUCKETS + len(langid.SCRIPT_NAMES), n))
+    np.add.at(counts, (bucket, owner), 50)
+    np.add.at(counts, (langid.BUCKETS + script, np.arange(n)), 1000)
+    return names, langid.Model([f"l{k:03}" for k in range(n)], counts)
+
+
+def test_long_texts_in_runs_of_words(monkeypatch):
+    names, model = many_labels(600)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(names[k] for k in rng.integers(0, 600, n) for _ in range(rng.integers(1, 4))) for n in (900, 1, 60, 200, 0, 7)]
+    texts = pa.array([*texts, None, "12", f"{names[599]} " * 3])
+    whole = langid.label_texts(texts, model, langid.SWITCH).to_pylist()
+    for words in (1, 2, 50, 64, 100, 333):
+        monkeypatch.setattr(langid, "CELLS", 600 * words)
+        assert langid.label_texts(texts, model, langid.SWITCH).to_pylist() == whole
+    assert whole[-1]["lang_pred"] == "l599" and len(whole[0]["spans"]) > 300
+
+
+def test_long_texts_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    names, model = many_labels(600)
+    text = pa.array([" ".join(names[k] for k in np.random.default_rng(5).integers(0, 600, 60_000))])
+    monkeypatch.setattr(langid, "CELLS", 1 << 20)
+    tracemalloc.start()
+    got = langid.label_texts(text, model, langid.SWITCH).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20 < 60_000 * 600 * 4  # the scores of all words would be 144 MB
+    assert got[0]["spans"][-1]["last_word"] == 59_999
+
+
+def test_words_are_scored_in_their_scripts_languages():
+    names = np.array(["hello", "привет", "ok"], dtype=object)
+    counts = np.zeros((langid.BUCKETS + len(langid.SCRIPT_NAMES), 3))
+    bucket, owner, script = langid.features(names)
+    np.add.at(counts, (bucket, owner), 50)
+    np.add.at(counts, (langid.BUCKETS + script, np.arange(3)), 1000)
+    model = langid.Model(["en", "ru", "xx"], counts)
+    table = langid.word_scores(names, model)
+    for w, admitted in enumerate(([0, 2], [1], [0, 2])):
+        barred = [k for k in range(3) if k not in admitted]
+        own = [model.scores[bucket[owner == w], k].sum() for k in admitted]
+        assert table[w, admitted] == pytest.approx(own, rel=1e-4)
+        assert table[w, barred] == pytest.approx(min(own) - 100, rel=1e-4)
+
+
 def grams(text):
     w = (text or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -281,6 +333,24 @@ def test_mixing(spark, docs, none):
     assert len(one) == len(odd_rows()) and all(r.p == [1.0, 0.0, 0.0] for r in one)
 
 
+def test_rates_of_many_domains(spark):
+    """Ninety domains, two to a document: the nonnegative rates meet the targets, so no others come closer."""
+    d, rng = 90, np.random.default_rng(6)
+    p = np.zeros((900, d))
+    for i in range(len(p)):
+        a, b = i % d, rng.integers(0, d)
+        p[i, a] += 0.9
+        p[i, b] += 0.1
+    tokens = rng.integers(20, 60, len(p))
+    table = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens bigint, p array<double>")
+    reached = tokens @ p
+    targets = reached * rng.uniform(0.5, 1.5, d)
+    got = mixing.with_rates(table, mixing.fit_rates(table, targets)).collect()
+    w = np.array([r.rate for r in got])
+    totals = sum(r.rate * r.tokens * np.array(r.p) for r in got)
+    assert (w >= 0).all() and np.abs(totals - targets).max() <= mixing.CLOSE * targets.sum()
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
