@@ -12,25 +12,33 @@ place is reported.
 Cases: null texts and phrases are never found; a phrase that does not begin and end with
 a letter, digit or underscore is not found, as no word ends there; repeated phrases of a
 category count once; messages alike in all of txn_id, turn, plane and text are one; an
-empty list or table finds nothing. The runs of a text are one array while it is read:
-about a hundred bytes for each of its words and each length of phrase.
+empty list or table finds nothing. The runs of a text are held while it is read, about a
+hundred bytes for each of its words and each length of phrase; a run that a text repeats is
+offered once.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwarden.functions import text as tx
 from siftwarden.functions.hashing import salted_hash
-from siftwarden.functions.regex import java_pattern, literal, spans_sql
+from siftwarden.functions.regex import java_pattern
 from siftwarden.operators.detect import VERSION
 
 WORD = java_pattern(r"\w+")
 GAP = java_pattern(r"\s+")
-_ODD_GAP = java_pattern(r"\s\s|(?! )\s")
 _WHOLE = java_pattern(r"^\w(?:[\s\S]*\w)?$")
 BROADCAST_BYTES = 64 << 20
+RUNS = 50_000  # runs given back at a time, and those of one text more
+_WORDS, _GAPS, _ODD_GAP = re.compile(r"\w+"), re.compile(r"\s+"), re.compile(r"\s\s|[^\S ]")
 
 
 def phrase_table(phrases: DataFrame) -> DataFrame:
@@ -40,25 +48,35 @@ def phrase_table(phrases: DataFrame) -> DataFrame:
     return rows.withColumn("words", F.regexp_count("form", F.lit(WORD)))
 
 
-def runs_sql(lengths: list[int]) -> str:
-    """SQL over ``folded``: every run of so many words: as it is compared, as it stands if that differs, and where."""
-
-    def run(k: int) -> str:
-        def spelt(gaps: str) -> str:
-            parts = ["w.text"]
-            for j in range(1, k):
-                parts += [f"get({gaps}, i + {j})", f"get(t.m, i + {j}).text"]
-            return f"concat({', '.join(parts)})"
-
-        # Nearly all texts have lone blanks only, and read as they are compared.
-        hit = f"CASE WHEN t.odd THEN {spelt('t.s')} END"
-        return f"named_struct('form', {spelt('g')}, 'hit', {hit}, 'start', w.start, 'end', get(t.m, i + {k - 1}).end)"
-
-    every = f"flatten(transform(t.m, (w, i) -> array({', '.join(run(k) for k in lengths)})))"
-    gaps = f"CASE WHEN t.odd THEN transform(t.s, x -> regexp_replace(x, {literal(GAP)}, ' ')) ELSE t.s END"
-    parts = f"'m', {spans_sql('folded', WORD)}, 's', split(folded, {literal(WORD)}, -1), 'odd', folded RLIKE {literal(_ODD_GAP)}"
-    return f"""element_at(transform(array(named_struct({parts})), t -> element_at(transform(array({gaps}), g ->
-        filter({every}, r -> r.form IS NOT NULL)), 1)), 1)"""
+def _word_runs(lengths: list[int], keys: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each run of so many words of a text, at its first place there: as it is compared, as it stands if that differs, and where."""
+
+    def table(kept: pa.RecordBatch, rows: list, forms: list, hits: list, starts: list, ends: list) -> pa.RecordBatch:
+        which = pa.array(rows, pa.int64())
+        found = [pa.array(forms, pa.string()), pa.array(hits, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+        return pa.RecordBatch.from_arrays([*(kept.column(k).take(which) for k in keys), *found], names=[*keys, "form", "hit", "start", "end"])
+
+    for batch in batches:
+        made = [], [], [], [], []
+        for row, text in enumerate(batch.column("folded").to_pylist()):
+            spans = [m.span() for m in _WORDS.finditer(text)]
+            starts, ends = [a for a, _ in spans], [b for _, b in spans]
+            # Nearly all texts have lone blanks only, and read as they are compared.
+            odd = _ODD_GAP.search(text) is not None
+            for k in lengths:
+                runs = [text[a:b] for a, b in zip(starts, ends[k - 1 :])]
+                forms = [_GAPS.sub(" ", r) for r in runs] if odd else runs
+                first = dict(zip(reversed(forms), reversed(range(len(forms)))))
+                at = list(first.values())
+                made[0].extend([row] * len(at))
+                made[1].extend(first)
+                made[2].extend([runs[i] for i in at] if odd else [None] * len(at))
+                made[3].extend([starts[i] for i in at])
+                made[4].extend([ends[i + k - 1] for i in at])
+            if len(made[0]) >= RUNS:
+                yield table(batch, *made)
+                made = [], [], [], [], []
+        yield table(batch, *made)
 
 
 def find_phrases(messages: DataFrame, phrases: DataFrame, salt: str, planes: tuple[str, ...] = ("input", "context")) -> DataFrame:
@@ -76,8 +94,9 @@ def find_phrases(messages: DataFrame, phrases: DataFrame, salt: str, planes: tup
     texts = messages.where(F.col("plane").isin(*planes) & F.col("text").isNotNull())
     texts = texts.select("txn_id", "turn", "plane", tx.fold_diacritics(tx.normalize(F.col("text"))).alias("folded"))
     texts = texts.withColumn("text_hash", F.xxhash64("folded"))
-    runs = texts.select("txn_id", "turn", "plane", "text_hash", F.explode(F.expr(runs_sql(about["lengths"] or [1]))).alias("run"))
-    runs = runs.select("txn_id", "turn", "plane", "text_hash", "run.*")
+    keys = ["txn_id", "turn", "plane", "text_hash"]
+    fields = [*texts.select(*keys).schema.fields, *T.StructType.fromDDL("form string, hit string, start int, end int").fields]
+    runs = texts.mapInArrow(functools.partial(_word_runs, about["lengths"] or [1], keys), T.StructType(fields))
     hits = runs.join(listed, "form")
     first = hits.groupBy("txn_id", "turn", "plane", "text_hash", "category", "phrase").agg(
         F.min(F.struct("start", "end", F.coalesce("hit", "form").alias("hit"))).alias("at")
