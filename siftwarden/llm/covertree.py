@@ -245,11 +245,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id
     fields = "vec_id bigint, v array<bigint>, is_query boolean, cell int"
     rows = written(rows.mapInArrow(placed, fields).withColumn("at", F.monotonically_increasing_id()), "vector-cells")
     kinds = {"candidates": (rows, BLOCK), "queries": (rows.where("is_query").dropDuplicates(["vec_id"]), QUERY_BLOCK)}
-    trees = {}
+    trees, salts = {}, {}
     for name, (some, size) in kinds.items():
         counts = {r["cell"]: r["count"] for r in some.groupBy("cell").count().collect()}  # a number per pivot
-        salts = F.create_map(*[F.lit(x) for c, m in counts.items() for x in (c, -(-m // size))]) if counts else F.create_map(F.lit(0), F.lit(1))
-        salted = some.withColumn("salt", F.pmod(F.xxhash64("at"), salts[F.col("cell")]).cast("int")).select("vec_id", "v", "cell", "salt")
+        salts[name] = F.create_map(*[F.lit(x) for c, m in counts.items() for x in (c, -(-m // size))]) if counts else F.create_map(F.lit(0), F.lit(1))
+        salted = some.withColumn("salt", F.pmod(F.xxhash64("at"), salts[name][F.col("cell")]).cast("int")).select("vec_id", "v", "cell", "salt")
         made = salted.groupBy("cell", "salt").applyInArrow(_trees(dim, pivots), TREES)
         trees[name] = written(made, f"{name}-trees")
     # A cell's ball holds the balls of its blocks.
@@ -258,16 +258,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id
     radii = np.array([balls[c] for c in cell_ids], float)
 
     sides = trees["queries"].select(F.col("cell").alias("q_cell"), F.col("salt").alias("q_salt"), F.col("tree").alias("queries"), "centre", "radius")
+    # All joins that carry trees shuffle: Spark estimates their sides by the files read, which tells nothing
+    # of the copies that routing makes, and would send them through the driver.
     whole = trees["candidates"].select("cell", "salt", F.col("tree").alias("candidates"))
     found = "query_id bigint, vec_id bigint, score bigint, q_cell int, q_salt int"
-    home = sides.join(whole.where("salt = 0"), F.col("q_cell") == F.col("cell")).select(
+    home = sides.join(whole.where("salt = 0").hint("merge"), F.col("q_cell") == F.col("cell")).select(
         "q_cell", "q_salt", "queries", "candidates", F.lit(None).cast("array<bigint>").alias("known"), F.lit(None).cast("array<double>").alias("least")
     )
     first = written(home.mapInArrow(_searched(k), found), "home-hits")
     full = first.groupBy("q_cell", "q_salt", "query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low")).where(F.col("n") >= k)
     # As many as a query block has rows at most.
     known = full.groupBy("q_cell", "q_salt").agg(F.collect_list(F.struct("query_id", "low")).alias("x"))
-    told = sides.join(known, ["q_cell", "q_salt"], "left").select(
+    told = sides.join(known.hint("merge"), ["q_cell", "q_salt"], "left").select(
         "q_cell", "q_salt", "queries", "centre", "radius", F.col("x.query_id").alias("known"), F.col("x.low").alias("least")
     )
 
@@ -284,7 +286,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id
     sent = told.mapInArrow(
         routed, "q_cell int, q_salt int, queries binary, centre array<double>, radius double, known array<bigint>, least array<double>, cells array<int>"
     )
-    pairs = sent.withColumn("cell", F.explode("cells")).join(whole, "cell").where("not (cell = q_cell and salt = 0)")
+    each = sent.withColumn("cell", F.explode("cells")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts["candidates"][F.col("cell")] - 1)))
+    pairs = each.where("not (cell = q_cell and salt = 0)").join(whole.hint("merge"), ["cell", "salt"])
     rest = pairs.select("q_cell", "q_salt", "queries", "candidates", "known", "least").mapInArrow(_searched(k), found)
     every = first.unionByName(rest).select("query_id", "vec_id", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

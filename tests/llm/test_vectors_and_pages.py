@@ -45,6 +45,28 @@ def test_top_k(spark, block, monkeypatch):
     assert few.count() == 0
 
 
+def test_top_k_sends_no_trees_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK", 64)
+    joined = set()
+    wrote = covertree.written
+
+    def watched(df, name):
+        joined.add(df._jdf.queryExecution().executedPlan().toString())
+        return wrote(df, name)
+
+    monkeypatch.setattr(covertree, "written", watched)
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        table = spark.createDataFrame(vectors(), "vec_id bigint, embedding array<float>, label int")
+        found = covertree.top_k(table, F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)), 5)
+        assert len(found.collect()) == len(brute_top(vectors(), 20, 5))
+        joined.add(found._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert any("SortMergeJoin" in plan for plan in joined) and not any("Broadcast" in plan for plan in joined)
+
+
 def test_tree_covers_and_prunes():
     rng = np.random.default_rng(1)
     centres = 100 * rng.normal(size=(20, 4))
